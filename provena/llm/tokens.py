@@ -1,22 +1,29 @@
 """Exact, cached tokenisation: texts are cut where a tokenizer cannot join, and pieces are encoded once.
 
 Both tokenizer files used here split words before their merges run, and no word holds white
-space behind a visible character. So a text may be cut in front of each run of white space and
-encoded piecewise, with the same ids as in one go. Two sets of characters on whose kind the
-libraries disagree send the whole text through the tokenizer.
+space behind a visible character, or letters before a comma or a full stop. So a text may be cut
+there and encoded piecewise, with the same ids as in one go. Characters on whose kind the
+libraries may disagree send the whole text through the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 
-PIECE = re.compile(r"\s*\S+|\s+")
-UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PIECE = re.compile(rf"\s*[{LETTERS}]+(?=[.,;:!?\s]|$)|[.,;:!?]+(?=\s|$)|\s*\S+|\s+")
+#: The same without white space, for tokenizers that drop it.
+BARE = re.compile(rf"[{LETTERS}]+(?=[.,;:!?\s]|$)|[.,;:!?]+(?=\s|$)|\S+")
+WORD = re.compile(rf" ?[{LETTERS}]+|[.,;:!?]")
+UNSURE = re.compile("[\x1c-\x1f\x85\u180e]")
+#: Outside these, lower case may differ between libraries or stand for more characters.
+PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Pieces kept per generation and the longest piece kept; both bound a worker's memory.
-KEPT, LONGEST = 200_000, 48
+KEPT, LONGEST = 600_000, 40
 
 _made: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -28,50 +35,78 @@ def encoder(path: str, offsets: bool = False) -> "Encoder":
     return _made[path, offsets]
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE writes for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Piece to encoded bytes, in two generations; what is missing is encoded on the way."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.encode(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str, offsets: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.offsets = Tokenizer.from_file(path), offsets
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        if self.offsets:
-            out = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-            return [np.array([(i, a, b) for i, (a, b) in zip(x.ids, x.offsets, strict=True)], "<u4").tobytes() for x in out]
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """The cache with all the pieces in it, and long pieces beside it."""
-        if len(self.young) > KEPT:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for p in pieces - young.keys():
-            if p in old:
-                young[p] = old[p]
-            else:
-                new.append(p)
-        long = {}
-        for p, got in zip(new, self._encode(new) if new else [], strict=True):
-            (young if len(p) <= LONGEST else long)[p] = got
-        return {**young, **long} if long else young
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.bare = "Lowercase" in repr(self.tokenizer.normalizer)
+        self.known = Pieces(self._spans if offsets else self._piece)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece; one word goes straight to the merges."""
+        if not WORD.fullmatch(piece) or self.bare and piece != piece.lower():
+            return self._whole(piece)
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _spans(self, text: str) -> bytes:
+        x = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.array([(i, a, b) for i, (a, b) in zip(x.ids, x.offsets, strict=True)], "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [None if UNSURE.search(t) else PIECE.findall(t) for t in texts]
-        known = self._known({p for pieces in cut if pieces for p in pieces})
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]) if None in cut else ())
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        self.known.turn()
+        find, known = (BARE if self.bare else PIECE).findall, self.known.__getitem__
+        out = []
+        for text in texts:
+            if UNSURE.search(text):
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(map(known, find(text.lower() if self.bare and not PLAIN.search(text) else text))))
+        return out
 
     def spans(self, text: str) -> np.ndarray:
         """Rows (id, first code point, end) of one whole text; needs ``offsets``."""
         if UNSURE.search(text):
-            return np.frombuffer(self._encode([text])[0], "<u4").reshape(-1, 3).astype(np.int64)
+            return np.frombuffer(self._spans(text), "<u4").reshape(-1, 3).astype(np.int64)
+        self.known.turn()
         pieces = PIECE.findall(text)
-        known = self._known(set(pieces))
-        got = [known[p] for p in pieces]
+        got = [*map(self.known.__getitem__, pieces)]
         rows = np.frombuffer(b"".join(got), "<u4").reshape(-1, 3).astype(np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         begins = np.repeat(np.cumsum(sizes) - sizes, np.fromiter(map(len, got), np.int64, len(got)) // 12)
