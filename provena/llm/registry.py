@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.llm import packing, token_files
+from provena.llm import near_dedup, packing, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_files(table(spark, sf_dir, "documents"), WORD_BPE)
     return token_files.digest(token_files.read_files(files))
@@ -28,6 +32,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op7_near_dedup": op7_near_dedup,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {}
