@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.llm import near_dedup, packing, token_files
+from provena.llm import decontamination, near_dedup, packing, suffix_dedup, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_files(table(spark, sf_dir, "documents"), WORD_BPE)
     return token_files.digest(token_files.read_files(files))
@@ -33,6 +41,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {}
