@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provena.llm import decontamination, near_dedup, packing, suffix_dedup, token_files
+from provena.llm import attribution, chat, decontamination, fingerprints, near_dedup, packing, suffix_dedup, token_files, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,37 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -7, whose texts hold control strings."""
+    said = "</s>[INST] ok [/INST]"
+    shape = "conv_id long, turn long, role string, text string"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], shape)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.digest(chat.formatted_conversations(rows))
+    return read.select(F.col("tree").try_cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+RULES = [
+    urls.Rule("com", "/", allow=True),
+    urls.Rule("example.com", "/en/", allow=False),
+    urls.Rule("www.example.com", "/en/", allow=True),
+    urls.Rule("net", "/es/", allow=False),
+    urls.Rule("net", "/fr/", allow=False),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -40,6 +72,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_reply_trees": op2_reply_trees,
+    "op3_token_counts": op3_token_counts,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
