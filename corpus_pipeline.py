@@ -1,12 +1,67 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. The
+caller writes it as Parquet and passes what it reads back as the next stage's ``docs``. So when a
+stage begins, the one before is stored, and the tables that its operators wrote on the way are deleted.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from provena.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
+from provena.llm.common import drop_written, new_path
+from provena.llm.registry import BYTE_BPE, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with a score below 0.7."""
+    drop_written(spark)
+    return toxicity.without_toxic(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity of 0.8 or more."""
+    drop_written(spark)
+    return near_dedup.keep_firsts(docs, 80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages of 50 words or more that an earlier place has."""
+    drop_written(spark)
+    return suffix_dedup.without_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item within its error budget."""
+    drop_written(spark)
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training windows, with their ids."""
+    drop_written(spark)
+    return packing.pack(docs, BYTE_BPE)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack_windows),
+]
+
+#: Trained scores, sketches and tokenizers have no form in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents; each but the last is stored in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"stage-{name}").replace("/tables/", "/stages/")
+        kept = stage(spark, docs, sf_dir)
+        kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import attribution, chat, decontamination, fingerprints, near_dedup, packing, suffix_dedup, token_files, urls
+from provena.llm import attribution, chat, decontamination, fingerprints, near_dedup, packing, suffix_dedup, token_files, toxicity, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judged(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_next(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_reply_trees": op2_reply_trees,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
