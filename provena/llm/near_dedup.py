@@ -36,10 +36,12 @@ from provena.llm.components import components
 
 WORDS = 5
 COORDS = 128
+#: Coordinates of the candidates' second sketch, by which pairs are ruled out.
+FINE = 256
 #: Candidates up to this number are sent to the tasks that read the texts; beyond it they are joined.
 SMALL_IDS = 1_000_000
 #: Rounds of leader pairs before pairs across components are made.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: An estimate so many standard deviations below the threshold rules a pair out: once in 800,000.
 GIVE_UP = 4.7
 
@@ -150,7 +152,7 @@ def _sets(wanted) -> object:
                         rows["doc_id"].append(doc)
                         rows["n"].append(len(items))
                         rows["items"].append(items.tobytes())
-                        rows["drawn"].append((stir(sketch(items)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                        rows["drawn"].append((stir(sketch(items, FINE)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 yield pd.DataFrame(rows)
 
     return run
@@ -180,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame, cent: int) -> DataFrame:
 
 def _across(cent: int):
     """Pairs of one bucket across components that an exact bound and the estimate allow."""
-    least = cent / 100 - GIVE_UP * math.sqrt(cent / 100 * (1 - cent / 100) / COORDS)
+    least = cent / 100 - GIVE_UP * math.sqrt(cent / 100 * (1 - cent / 100) / FINE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, now = [], None
@@ -243,14 +245,24 @@ def near_duplicates(docs: DataFrame, cent: int = 85) -> DataFrame:
         sets = docs.join(members, "doc_id", "left_semi").mapInPandas(_sets(None), "doc_id long, n long, items binary, drawn binary")
     sets = written(sets, "sets") if n else None
 
-    links = None
+    links = tried = None
     comp = members.withColumn("comp", F.col("doc_id"))
+    if n:
+        sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+        placed = written(buckets.join(buckets.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("near")), "doc_id"), "placed")
     for turn in range(LEADER_ROUNDS if n else 0):
-        placed = buckets.join(comp, "doc_id")
-        order = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-        lead = placed.groupBy("key").agg(F.min_by(F.struct("doc_id", "comp"), order).alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "lead.*").toDF("key", "leader", "leader_comp")
-        mine = placed.join(lead, "key").where("comp <> leader_comp").groupBy("doc_id").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("leader"))
-        pairs = mine.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+        # The leader of a bucket is the member with most company over all buckets; later by lot, weighed so.
+        lot = F.lit(1.0) if not turn else F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1024)) + 16
+        order = F.struct(F.col("near") * lot, -F.col("doc_id"))
+        now = placed.join(comp, "doc_id")
+        lead = now.groupBy("key").agg(F.max_by(F.struct("doc_id", "comp"), order).alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "lead.*").toDF("key", "leader", "leader_comp")
+        votes = now.join(lead, "key").where("comp <> leader_comp").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
+        pairs = votes.select("doc_id", "leader", "votes", F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = F.max_by(F.struct("a", "b"), F.struct("votes", -F.col("leader")))
+        pairs = written(pairs.groupBy("doc_id").agg(best.alias("p")).select("p.*").distinct(), "pairs")
+        tried = pairs.union(tried) if tried is not None else pairs
         found = verified(pairs, sets, cent)
         links = written(found.union(links) if links is not None else found, "links")
         comp = _joined(members, links)
