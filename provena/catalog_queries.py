@@ -1,4 +1,496 @@
-"""Queries over the driver's tables for the engine's own operators."""
+"""Queries over the driver's tables, one for each operator of the engine, with their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The synthetic registry of ``provena.synthetic`` supplies corpora, catalog and lists. Arrays are returned as sorted text
+joined by commas, counts as bigint.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provena import synthetic as syn
+from provena.functions import identifiers as ids
+from provena.functions import wording
+from provena.operators import compare, keys, lookup, matching, verdict, views
+from provena.operators.keys import ASKED, CORPUS
+from provena.plans.check import findings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# Tables of the synthetic registry as DuckDB sees them, built upon one another.
+PARTS = dict(syn.BASE) | {
+    "corp": """SELECT *, CASE s % 3 WHEN 0 THEN ['accession'] WHEN 1 THEN ['accession','pmid'] ELSE ['accession','pmid','doi'] END AS have,
+        CASE WHEN s % 2 = 0 THEN CASE s % 3 WHEN 0 THEN ['accession'] WHEN 1 THEN ['accession','pmid'] ELSE ['accession','pmid','doi'] END ELSE ['accession'] END AS needs,
+        s % 4 = 3 AS only_ae, s % 5 = 0 AS doubt, s % 6 = 5 AS open FROM corpus""",
+    "tok": """SELECT model, stage, 'studies' AS source, k AS r, 'accession' AS key, 'GSE' || k AS value FROM study
+        UNION ALL SELECT model, stage, 'studies', k, 'pmid', CAST(k % 2000 + 1 AS VARCHAR) FROM study WHERE k % 7 IN (1, 2, 3, 5) AND k IN (SELECT o_orderkey FROM orders)
+        UNION ALL SELECT model, stage, 'studies', k, 'pmid', CAST(k % 1999 + 1 AS VARCHAR) FROM study WHERE k % 7 IN (2, 3) AND k % 1999 <> k % 2000 AND k IN (SELECT o_orderkey FROM orders)
+        UNION ALL SELECT model, stage, 'studies', k, 'doi', '10.1000/x' || k % 2000 FROM study WHERE k % 7 = 4 AND k IN (SELECT o_orderkey FROM orders)
+        UNION ALL SELECT model, stage, 'samples', k * 10 + n, 'accession', 'GSE' || k FROM sample
+        UNION ALL SELECT model, stage, 'samples', k * 10 + n, 'accession', 'GSM' || (k * 10 + n) FROM sample""",
+    "search": """SELECT p.* FROM pairs p JOIN corp c USING (model, stage) WHERE c.type NOT IN ('C-vague', 'D', 'by-design')""",
+    "target": """SELECT s.model, s.stage, s.dataset, CASE i.type WHEN 'pmid' THEN 'pmid' WHEN 'doi' THEN 'doi' ELSE 'accession' END AS key, i.type,
+        CASE i.type WHEN 'geo' THEN upper(i.value) WHEN 'doi' THEN lower(trim(i.value)) ELSE trim(i.value) END AS value, i.confirmed, i.basis, i.ord
+        FROM search s JOIN corp c USING (model, stage) JOIN identifiers i USING (dataset)
+        WHERE i.type <> 'url' AND i.confirmed IN ('true', 'provisional') AND NOT (i.type = 'geo' AND c.only_ae)""",
+    "att": """SELECT s.model, s.stage, s.dataset, list_sort(list_distinct(coalesce(list(t.key) FILTER (t.key IS NOT NULL AND list_contains(c.have, t.key)), []))) AS tried,
+        bool_or(a.key IS NOT NULL AND list_contains(c.have, 'pmid')) AND NOT coalesce(bool_or(t.key = 'pmid' AND list_contains(c.have, 'pmid')), false) AS no_pmid
+        FROM search s JOIN corp c USING (model, stage) LEFT JOIN target t USING (model, stage, dataset) LEFT JOIN absent a USING (dataset) GROUP BY ALL""",
+    "hit": """SELECT DISTINCT t.model, t.stage, t.dataset, t.key, k.source, k.r FROM target t JOIN att a USING (model, stage, dataset) JOIN tok k USING (model, stage, key, value) WHERE list_contains(a.tried, t.key)""",
+    "row_": """SELECT model, stage, 'studies' AS source, k AS r, k, CAST(NULL AS VARCHAR) AS sample, CAST(NULL AS BIGINT) AS cells FROM study
+        UNION ALL SELECT model, stage, 'samples', k * 10 + n, k, 'GEO-GSM' || (k * 10 + n), cells FROM sample""",
+    "evid": """SELECT DISTINCT h.model, h.stage, h.dataset, x.source, x.r, x.sample, x.cells FROM hit h JOIN row_ o USING (model, stage, source, r)
+        JOIN row_ x ON x.model = o.model AND x.stage = o.stage AND x.sample IS NOT NULL AND CASE WHEN o.sample IS NULL THEN x.k = o.k ELSE x.source = o.source AND x.r = o.r END""",
+    "hits_": """SELECT h.model, h.stage, h.dataset, list_sort(list_distinct(list(h.key))) AS found, list_sort(list_distinct(coalesce(list(h.key) FILTER (NOT (c.doubt AND h.source = 'studies')), []))) AS sure,
+        list_sort(list_distinct(list('GSE' || o.k))) AS listed FROM hit h JOIN corp c USING (model, stage) JOIN row_ o USING (model, stage, source, r) GROUP BY ALL""",
+    "evids": """SELECT model, stage, dataset, list_sort(list_distinct(list(substr(sample, 5)))) AS samples, CAST(sum(cells) AS BIGINT) AS cells FROM evid GROUP BY ALL""",
+    "prov": """SELECT model, stage, dataset, list(key) AS keys, string_agg(b, ' ' ORDER BY key) AS basis FROM
+        (SELECT model, stage, dataset, key, min(basis) AS b FROM target GROUP BY ALL HAVING bool_and(confirmed = 'provisional')) GROUP BY ALL""",
+    "summ": """SELECT a.model, a.stage, a.dataset, a.tried, a.no_pmid, coalesce(h.found, []) AS found, coalesce(h.sure, []) AS sure, coalesce(h.listed, []) AS listed, coalesce(e.samples, []) AS samples, e.cells,
+        CASE WHEN len(list_intersect(coalesce(p.keys, []), a.tried)) > 0 THEN 'provisional' END AS identity, CASE WHEN len(list_intersect(coalesce(p.keys, []), a.tried)) > 0 THEN p.basis END AS identity_basis,
+        c.type, c.can_prove_presence, c.needs, c.doubt, c.open
+        FROM att a JOIN corp c USING (model, stage) LEFT JOIN hits_ h USING (model, stage, dataset) LEFT JOIN evids e USING (model, stage, dataset) LEFT JOIN prov p USING (model, stage, dataset)""",
+    "dec": """SELECT *, CASE WHEN doubt THEN sure ELSE found END AS h FROM summ""",
+    "coded": """SELECT *, CASE WHEN doubt AND len(h) = 0 THEN 'unconfirmed_source' WHEN len(h) > 0 AND NOT can_prove_presence THEN 'superset' WHEN len(h) > 0 AND NOT list_contains(h, 'accession') THEN 'same_publication'
+        WHEN len(h) > 0 THEN 'present' WHEN len(tried) = 0 THEN 'no_exact_key'
+        WHEN len(list_filter(needs, lambda x: NOT list_contains(tried, x) AND NOT (x = 'pmid' AND no_pmid))) > 0 THEN 'missing_required_key' WHEN open THEN 'unresolved_entries' ELSE 'not_present' END AS code FROM dec""",
+    "split": """SELECT p.model, p.stage, p.dataset, 'part ' || CAST(substr(p.dataset, 2) AS BIGINT) % 2 AS held_out FROM pairs p JOIN corp c USING (model, stage) WHERE c.type = 'by-design' AND CAST(substr(p.dataset, 2) AS BIGINT) % 3 = 0""",
+    "final": """SELECT model, stage, dataset, CASE code WHEN 'present' THEN 'PRESENT' WHEN 'not_present' THEN 'NOT PRESENT' ELSE 'INCONCLUSIVE' END AS verdict, code, tried, no_pmid, found, listed, samples, cells, identity, identity_basis, CAST(NULL AS VARCHAR) AS by_design,
+        CASE WHEN len(found) = 0 THEN NULL WHEN len(samples) > 0 THEN 'sample' ELSE 'study' END AS overlap_level, CASE WHEN list_contains(found, 'accession') THEN 'dataset' WHEN len(found) > 0 THEN 'publication' END AS match_level FROM coded
+        UNION ALL SELECT p.model, p.stage, p.dataset, 'NOT CHECKABLE', 'no_manifest', [], false, [], [], [], NULL, NULL, NULL, NULL, NULL, NULL FROM pairs p JOIN corp c USING (model, stage) WHERE c.type IN ('C-vague', 'D')
+        UNION ALL SELECT model, stage, dataset, 'PRESENT', 'by_design', [], false, [], [], [], NULL, NULL, NULL, held_out, 'study', 'dataset' FROM split""",
+    "expo": """SELECT * FROM final WHERE verdict = 'PRESENT' AND by_design IS NULL""",
+}
+
+
+def with_(select: str) -> str:
+    """The statement with the parts that it needs before it."""
+    used: list[str] = []
+
+    def need(text: str) -> None:
+        for name, part in PARTS.items():
+            if name not in used and _names(name, text):
+                need(part)
+                used.append(name)
+
+    need(select)
+    return ("WITH " + ", ".join(f"{n} AS ({PARTS[n]})" for n in used) + " " if used else "") + select
+
+
+def _names(name: str, text: str) -> bool:
+    import re
+
+    return bool(re.search(rf"\b(FROM|JOIN)\s+{name}\b", text))
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = with_(sql)
+        return f
+
+    return keep
+
+
+def flat(column: str | Column) -> Column:
+    """An array as sorted text."""
+    return F.array_join(F.sort_array(F.col(column) if isinstance(column, str) else column), ",")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Tokens and scalar functions ------------------------------------------------------------------------------------------
+
+# RE2 has no look-behind: each character that can't be inside a token is doubled, so tokens have a guard of their own on both sides.
+GUARD = r"regexp_replace(' ' || c || ' ', '([^A-Za-z0-9])', '\1\1', 'g')"
+CELLS = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'GEO-gse' || o_orderkey || ';GSM' || o_orderkey || ' GSE' || o_orderkey WHEN 1 THEN 'xGSE' || o_orderkey || ' E-MTAB-' || o_orderkey
+    WHEN 2 THEN 'DISCO-HRA' || o_orderkey || '|prjna' || o_orderkey || '|SRP' || o_orderkey || 'a' WHEN 3 THEN 'egas' || o_orderkey || ', SCP' || o_orderkey || ', GSE' || o_orderkey || 'b' WHEN 4 THEN 'none' ELSE '' END AS c FROM orders"""
+
+
+@query(
+    "token_extract_accession",
+    f"""SELECT o_orderkey AS k, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({GUARD}, '(?i)[^A-Za-z0-9](GS[EM]\\d+|E--[A-Z]{{4}}--\\d+|[SED]R[APRSX]\\d+|PRJ[NED][A-Z]?\\d+|EGA[SD]\\d+|SCP\\d+|HRA\\d+)[^A-Za-z0-9]', 1), lambda x: upper(replace(x, '--', '-'))))), ','), '') AS found FROM ({CELLS})""",
+)
+def token_extract_accession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(CELLS.replace("FROM orders", "FROM {orders}"), orders=read(spark, sf_dir, "orders"))
+    return rows.select(F.col("o_orderkey").alias("k"), flat(ids.accessions(F.col("c"))).alias("found"))
+
+
+@query(
+    "token_extract_pmid",
+    """SELECT k, array_to_string(list_sort(list_distinct(CASE k % 7 WHEN 1 THEN [k % 2000 + 1] WHEN 2 THEN [k % 2000 + 1, k % 1999 + 1] WHEN 3 THEN [k % 2000 + 1, k % 1999 + 1] WHEN 5 THEN [k % 2000 + 1] ELSE [] END::VARCHAR[])), ',') AS found FROM cell""",
+)
+def token_extract_pmid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syn.base(spark, sf_dir, "cell").select("k", flat(ids.pmids(F.col("pmid_cell"))).alias("found"))
+
+
+@query("token_extract_doi", "SELECT k, CASE WHEN k % 7 = 4 THEN '10.1000/x' || k % 2000 ELSE '' END AS found FROM cell")
+def token_extract_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syn.base(spark, sf_dir, "cell").select("k", flat(ids.dois(F.col("pmid_cell"))).alias("found"))
+
+
+@query("canonical_text", r"SELECT k, regexp_replace(regexp_replace(pmid_cell, '^\s+|\s+$', '', 'g'), '^(\d+)\.0$', '\1') AS t FROM cell")
+def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syn.base(spark, sf_dir, "cell").select("k", ids.text(F.col("pmid_cell")).alias("t"))
+
+
+@query("cells_cast", "SELECT k, CASE WHEN k % 7 IN (1, 5) THEN k % 2000 + 1 END AS cells FROM cell")
+def cells_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syn.base(spark, sf_dir, "cell").select("k", ids.cells(F.col("pmid_cell")).alias("cells"))
+
+
+@query("accession_type", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'geo' WHEN 1 THEN 'arrayexpress' WHEN 2 THEN 'bioproject' WHEN 3 THEN 'gsa' ELSE 'sra' END AS kind FROM part")
+def accession_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    token = F.element_at(F.array(*map(F.lit, ("GSE", "E-MTAB-", "PRJNA", "HRA", "ERR"))), (k % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(k.alias("k"), ids.accession_type(F.concat(token, k.cast("string"))).alias("kind"))
+
+
+LINES = """SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'PMID: ' || (p_partkey + 1) WHEN 1 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || p_partkey || '/' WHEN 2 THEN 'see gse' || p_partkey || ' and 10.1000/Y' || p_partkey || '.' WHEN 3 THEN p_name ELSE CAST(p_partkey AS STRING) END AS raw FROM part"""
+
+
+@query(
+    "lookup_parse",
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 2 THEN 'GSE' || p_partkey ELSE '' END AS accessions, CASE WHEN p_partkey % 5 = 2 THEN '10.1000/y' || p_partkey ELSE '' END AS dois,
+    CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey + 1 AS VARCHAR) WHEN 1 THEN CAST(p_partkey AS VARCHAR) WHEN 4 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS pmids FROM part""",
+)
+def lookup_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(LINES.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part")).withColumn("p", ids.parse(F.col("raw")))
+    return rows.select("k", flat("p.accession").alias("accessions"), flat("p.doi").alias("dois"), flat("p.pmid").alias("pmids"))
+
+
+@query("query_lines", "SELECT trim(split_part(v, '#', 1)) AS raw FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN '  GSE' || o_orderkey || ' # note' WHEN 1 THEN '# only a note' ELSE 'PMID ' || o_orderkey || '  ' END AS v FROM orders) WHERE trim(split_part(v, '#', 1)) <> ''")
+def query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("  GSE"), k.cast("string"), F.lit(" # note"))).when(k % 3 == 1, "# only a note").otherwise(F.concat(F.lit("PMID "), k.cast("string"), F.lit("  ")))
+    return lookup.query_lines(read(spark, sf_dir, "orders").select(line.alias("value")))
+
+
+@query("doi_codec", "SELECT p_partkey AS k, '10.1000~5fa_' || p_partkey AS name, '10.1000_a/' || p_partkey AS back FROM part")
+def doi_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = ids.encode_doi(F.concat(F.lit(" 10.1000_A/"), k.cast("string")))
+    return read(spark, sf_dir, "part").select(k.alias("k"), name.alias("name"), ids.decode_doi(name).alias("back"))
+
+
+@query("classify_identifier", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'geo' WHEN 1 THEN 'arrayexpress' WHEN 2 THEN 'doi' WHEN 3 THEN 'pubmed' END AS kind, p_partkey % 5 <> 4 AS expandable FROM part")
+def classify_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    t = k.cast("string")
+    token = F.when(k % 5 == 0, F.concat(F.lit("gsm"), t)).when(k % 5 == 1, F.concat(F.lit("E-GEOD-"), t)).when(k % 5 == 2, F.concat(F.lit("10.12345678901/"), t)).when(k % 5 == 3, t).otherwise(F.concat(F.lit("SRP"), t))
+    return read(spark, sf_dir, "part").select(k.alias("k"), ids.classify(token)["kind"].alias("kind"), ids.expandable(token).alias("expandable"))
+
+
+@query("citation_parse", "SELECT p_partkey AS k, 'Wu' AS author, 'A map of ' || p_name AS title, 'Nat. Methods' AS journal, CAST(p_size AS VARCHAR) AS volume, CAST(p_partkey AS VARCHAR) AS first_page, '2021' AS year FROM part")
+def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("Wu, X. et al. A map of "), F.col("p_name"), F.lit(". Nat. Methods "), F.col("p_size").cast("string"), F.lit(", "), k.cast("string"), F.lit("–"), (k + 9).cast("string"), F.lit(" (2021)."))
+    c = wording.citation(line)
+    return read(spark, sf_dir, "part").select(k.alias("k"), *(c[n].alias(n) for n in ("author", "title", "journal", "volume", "first_page", "year")))
+
+
+@query("months_since", "SELECT o_orderkey AS k, (1998 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) AS months FROM orders")
+def months_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), wording.months_since(date, F.lit("1998-08-02").cast("date")).cast("long").alias("months"))
+
+
+@query("identifier_urls", "SELECT dataset, ord, CASE type WHEN 'geo' THEN 'https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=' || value WHEN 'pmid' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || value || '/' WHEN 'doi' THEN 'https://doi.org/' || replace(value, ' ', '%20') ELSE value END AS url FROM identifiers")
+def identifier_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syn.base(spark, sf_dir, "identifiers").select("dataset", "ord", wording.identifier_url(F.col("type"), F.col("value")).alias("url"))
+
+
+# Keys and matches ------------------------------------------------------------------------------------------------------
+
+
+@query("roles_projection", "SELECT r.model, r.stage, r.source, r.r AS row_number, 'GEO-GSE' || r.k AS project, r.sample, r.cells, 'GSE' || r.k || CASE WHEN r.sample IS NULL THEN '' ELSE ',GSM' || r.r END AS accessions FROM row_ r WHERE r.source = 'samples' OR r.k IN (SELECT o_orderkey FROM orders)")
+def roles_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.sources.lists import projected
+
+    raw = syn.raw_list(spark, sf_dir).withColumn("id", F.struct("model", "stage", "source", "row"))
+    rows = projected(raw.withColumn("row", F.col("id")), {"accession": ["project", "sample"], "project": ["project"], "sample": ["sample"], "cells": ["cells"], "pmid": ["pmid"]})
+    return rows.select("row.model", "row.stage", "row.source", F.col("row.row").alias("row_number"), "project", "sample", "cells", flat("accessions").alias("accessions"))
+
+
+def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pairs of listed corpora, those corpora, targets, attempts."""
+    t = syn.tables(spark, sf_dir)
+    listed = t.corpora.where(~F.col("type").isin("C-vague", "D", "by-design"))
+    asked = syn.pairs(spark, sf_dir).join(F.broadcast(listed.select(*CORPUS)), CORPUS, "left_semi")
+    targets = keys.usable(asked, listed, t.identifiers)
+    return t, listed, targets, keys.attempted(asked, listed, targets, t.absent)
+
+
+@query("usable_identifiers", "SELECT model, stage, dataset, key, type, value, confirmed FROM target")
+def usable_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir)[2].select(*ASKED, "key", "type", "value", "confirmed")
+
+
+@query("keys_attempted", "SELECT model, stage, dataset, array_to_string(tried, ',') AS keys_attempted FROM att")
+def keys_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir)[3].select(*ASKED, flat("keys_attempted").alias("keys_attempted"))
+
+
+@query("recorded_absence", "SELECT model, stage, dataset, 'pmid' AS keys_absent FROM att WHERE no_pmid")
+def recorded_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir)[3].where(F.size("keys_absent") > 0).select(*ASKED, flat("keys_absent").alias("keys_absent"))
+
+
+@query("identity_provisional", "SELECT model, stage, dataset, identity, identity_basis FROM summ WHERE identity IS NOT NULL")
+def identity_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, targets, attempts = _search(spark, sf_dir)
+    return keys.identified(attempts, targets).where("identity is not null").select(*ASKED, "identity", "identity_basis")
+
+
+@query("exact_match_join", "SELECT model, stage, dataset, key, source, r AS row_number FROM hit")
+def exact_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _, targets, attempts = _search(spark, sf_dir)
+    return matching.hits(targets, attempts, t.records).withColumnRenamed("row", "row_number")
+
+
+@query("evidence_expand", "SELECT model, stage, dataset, source, r AS row_number, sample, cells FROM evid")
+def evidence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _, targets, attempts = _search(spark, sf_dir)
+    return matching.evidence(matching.hits(targets, attempts, t.records), t.records).withColumnRenamed("row", "row_number")
+
+
+@query("match_summary", "SELECT model, stage, dataset, array_to_string(found, ',') AS keys_hit, array_to_string(sure, ',') AS keys_hit_confirmed, array_to_string(listed, ',') AS listed, array_to_string(samples, ',') AS samples, cells FROM summ WHERE len(found) > 0")
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, listed, targets, attempts = _search(spark, sf_dir)
+    rows = matching.summary(attempts, matching.hits(targets, attempts, t.records), t.records, listed).where(F.size("keys_hit") > 0)
+    return rows.select(*ASKED, flat("keys_hit").alias("keys_hit"), flat("keys_hit_confirmed").alias("keys_hit_confirmed"), flat("listed_accessions").alias("listed"), flat("sample_ids").alias("samples"), "cells")
+
+
+@query("lookup_join_first_wins", "SELECT 'GSE' || l_partkey AS id, 'GSE' || min_by(l_suppkey, l_orderkey * 100000 + l_suppkey) AS collection FROM lineitem GROUP BY l_partkey")
+def lookup_join_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lambda c: F.concat(F.lit("gse"), F.col(c).cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select(x("l_partkey").alias("dataset_id"), x("l_suppkey").alias("collection_id"), F.lit(None).cast("string").alias("collection_doi"), F.col("l_orderkey").alias("ord"), F.col("l_suppkey").alias("row"))
+    return matching.first_answers(rows).select("id", "collection")
+
+
+@query("lookup_join_records", "SELECT model, stage, source, r AS row_number, 'GSE' || k || CASE WHEN sample IS NULL THEN '' ELSE ',GSM' || r END || CASE WHEN k % 3 = 0 THEN ',SCP' || k ELSE '' END AS accessions FROM row_ WHERE source = 'samples' OR k IN (SELECT o_orderkey FROM orders)")
+def lookup_join_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lambda p: F.concat(F.lit(p), F.col("k").cast("string"))
+    table = syn.base(spark, sf_dir, "cell").where("k % 3 = 0").select(x("GSE").alias("dataset_id"), x("scp").alias("collection_id"), F.lit(None).cast("string").alias("collection_doi"), F.lit(0).alias("ord"), F.col("k").alias("row"))
+    rows = matching.through_collections(syn.records(spark, sf_dir).withColumn("join_cell", F.col("project")), matching.first_answers(table))
+    known = syn.base(spark, sf_dir, "cell").select(x("GEO-GSE").alias("project"))
+    return rows.join(known, "project", "left_semi").select(*CORPUS, "source", F.col("row").alias("row_number"), flat("accessions").alias("accessions"))
+
+
+SQL["lookup_join_records"] = with_("SELECT model, stage, source, r AS row_number, 'GSE' || k || CASE WHEN sample IS NULL THEN '' ELSE ',GSM' || r END || CASE WHEN k % 3 = 0 THEN ',SCP' || k ELSE '' END AS accessions FROM row_ WHERE k IN (SELECT o_orderkey FROM orders)")
+
+# Findings ----------------------------------------------------------------------------------------------------------------
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(syn.tables(spark, sf_dir), syn.pairs(spark, sf_dir))
+
+
+@query(
+    "check_findings",
+    """SELECT f.model, f.stage, f.dataset, CASE WHEN e.model IS NULL THEN 'catalog' ELSE 'reported-eval' END AS relation, verdict, code, array_to_string(tried, ',') AS keys_attempted, CASE WHEN no_pmid THEN 'pmid' ELSE '' END AS keys_absent,
+    array_to_string(found, ',') AS matched_on, match_level, overlap_level, array_to_string(samples, ',') AS sample_ids, cells, identity, identity_basis, by_design FROM final f LEFT JOIN evaluated_on e USING (model, dataset)""",
+)
+def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _findings(spark, sf_dir)
+    arrays = ("keys_attempted", "keys_absent", "matched_on", "sample_ids")
+    return rows.select(*ASKED, "relation", "verdict", "code", *(flat(a).alias(a) for a in arrays), "match_level", "overlap_level", "cells", "identity", "identity_basis", "by_design")
+
+
+@query("decide_verdict", "SELECT model, stage, dataset, verdict, code FROM final")
+def decide_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select(*ASKED, "verdict", "code")
+
+
+@query("unconfirmed_cap", "SELECT model, stage, dataset, verdict FROM final WHERE code = 'unconfirmed_source'")
+def unconfirmed_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).where("code = 'unconfirmed_source'").select(*ASKED, "verdict")
+
+
+@query("superset_cap", "SELECT model, stage, dataset, verdict, array_to_string(found, ',') AS matched_on FROM final WHERE code = 'superset'")
+def superset_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).where("code = 'superset'").select(*ASKED, "verdict", flat("matched_on").alias("matched_on"))
+
+
+@query("match_level", "SELECT model, stage, dataset, match_level, overlap_level FROM final WHERE match_level IS NOT NULL")
+def match_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).where("match_level is not null").select(*ASKED, "match_level", "overlap_level")
+
+
+RECORDED = """SELECT model, stage, dataset, CASE WHEN CAST(substr(dataset, 2) AS BIGINT) % 11 = 0 THEN 'NOT PRESENT' ELSE verdict END AS verdict, CASE WHEN CAST(substr(dataset, 2) AS BIGINT) % 13 = 0 THEN ['title'] ELSE tried END AS tried FROM final WHERE by_design IS NULL"""
+
+
+@query(
+    "compare_rerun",
+    f"""SELECT f.model, f.stage, f.dataset, 'verdict' AS field, r.verdict AS recorded, f.verdict AS fresh FROM final f JOIN ({RECORDED}) r USING (model, stage, dataset) WHERE r.verdict <> f.verdict
+    UNION ALL SELECT f.model, f.stage, f.dataset, 'keys_attempted', array_to_string(r.tried, ','), array_to_string(f.tried, ',') FROM final f JOIN ({RECORDED}) r USING (model, stage, dataset) WHERE r.tried <> f.tried""",
+)
+def compare_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh, part = _findings(spark, sf_dir), F.substring("dataset", 2, 20).cast("long")
+    recorded = fresh.where("by_design is null").withColumn("verdict", F.when(part % 11 == 0, "NOT PRESENT").otherwise(F.col("verdict"))).withColumn("keys_attempted", F.when(part % 13 == 0, F.array(F.lit("title"))).otherwise(F.col("keys_attempted")))
+    return compare.differences(recorded, fresh)
+
+
+# Ledger and views --------------------------------------------------------------------------------------------------------
+
+
+@query("ledger_rows", "SELECT dataset, model, stage, verdict FROM final")
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select("dataset", "model", "stage", "verdict").orderBy("dataset", "model", "stage")
+
+
+@query("evaluated_by", "SELECT dataset, array_to_string(list_sort(list(model)), ',') AS models FROM evaluated_on GROUP BY dataset")
+def evaluated_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.evaluated_by(syn.base(spark, sf_dir, "evaluated_on")).select("dataset", flat("evaluated_by").alias("models"))
+
+
+@query("exposure_rows", "SELECT model, stage, dataset FROM expo")
+def exposure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.exposed(_findings(spark, sf_dir)).select(*ASKED)
+
+
+@query("reuse_map", "SELECT x.dataset, x.model AS in_training_of, x.stage, e.model AS evaluated_by FROM expo x JOIN evaluated_on e USING (dataset) WHERE e.model <> x.model")
+def reuse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.reuse(_findings(spark, sf_dir), syn.base(spark, sf_dir, "evaluated_on"))
+
+
+@query("reuse_table", "SELECT x.dataset, x.model AS in_training_of, x.stage, array_to_string(list_sort(list_distinct(list(e.model))), ',') AS models FROM expo x JOIN evaluated_on e USING (dataset) WHERE e.model <> x.model GROUP BY ALL")
+def reuse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.reuse_table(_findings(spark, sf_dir), syn.base(spark, sf_dir, "evaluated_on"))
+    return rows.select("dataset", "in_training_of", "stage", flat("evaluated_by").alias("models"))
+
+
+GRID = ["m0", "m1", "m2", "m5"]
+
+
+@query("dataset_grid_pivot", "SELECT dataset, " + ", ".join(f"string_agg(DISTINCT CASE WHEN model = '{m}' THEN stage || ': ' || verdict END, '; ' ORDER BY CASE WHEN model = '{m}' THEN stage || ': ' || verdict END) AS {m}" for m in GRID) + " FROM final WHERE model IN ('m0', 'm1', 'm2', 'm5') GROUP BY dataset")
+def dataset_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.grid(_findings(spark, sf_dir).where(F.col("model").isin(GRID)), GRID)
+
+
+@query("group_findings_by_reason", "SELECT model, stage, verdict, by_design, code, count(*) AS n FROM final GROUP BY ALL")
+def group_findings_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _findings(spark, sf_dir).withColumn("reason", F.col("code"))
+    return views.grouped(rows).select(*CORPUS, "verdict", "by_design", F.col("reason").alias("code"), "n")
+
+
+@query("stage_cards", "SELECT model, stage, array_to_string(list_sort(list(dataset) FILTER (verdict = 'PRESENT' AND by_design IS NULL)), ',') AS present, count(*) FILTER (by_design IS NOT NULL) AS n_by_design, count(*) FILTER (verdict <> 'PRESENT') AS n_rest FROM final JOIN evaluated_on USING (model, dataset) GROUP BY model, stage")
+def stage_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.cards(_findings(spark, sf_dir))
+    return rows.select(*CORPUS, F.when(F.size("present") > 0, flat("present")).alias("present"), F.size("by_design").cast("long").alias("n_by_design"), F.size("rest").cast("long").alias("n_rest"))
+
+
+@query("stage_plausibility", "SELECT model, stage, count(*) FILTER (verdict = 'NOT PRESENT') AS not_present, count(*) FILTER (verdict = 'INCONCLUSIVE') AS inconclusive, count(*) FILTER (verdict = 'NOT CHECKABLE') AS not_checkable FROM final GROUP BY model, stage")
+def stage_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.plausibility(_findings(spark, sf_dir)).select(*CORPUS, "not_present", "inconclusive", "not_checkable")
+
+
+@query("manifest_totals", "SELECT model, stage, source, count(*) AS n_rows, CAST(sum(cells) AS BIGINT) AS cells, count(DISTINCT k) AS projects FROM row_ WHERE source = 'samples' OR k IN (SELECT o_orderkey FROM orders) GROUP BY ALL")
+def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.totals(syn.records(spark, sf_dir)).select(*CORPUS, "source", "n_rows", "cells", "projects")
+
+
+@query("cell_counts_by_dims", "SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL")
+def cell_counts_by_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+    return read(spark, sf_dir, "lineitem").na.drop(subset=dims).groupBy(*dims).agg(F.count("*").alias("n"))
+
+
+@query("source_hash", "SELECT o_orderkey AS k, sha256(o_orderpriority || o_orderkey) AS sha256 FROM orders")
+def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.sha2(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), 256).alias("sha256"))
+
+
+# Lookup ------------------------------------------------------------------------------------------------------------------
+
+
+@query("catalog_match_priority", """SELECT CAST(o_orderkey AS VARCHAR) AS query_id, CASE WHEN o_orderkey % 4 = 0 THEN 'd' || o_orderkey % 2000 ELSE min(t.dataset) END AS dataset FROM orders LEFT JOIN (SELECT dataset, upper(value) AS v FROM identifiers WHERE type = 'geo' AND confirmed <> 'false') t ON t.v = 'GSE' || o_orderkey
+    WHERE o_orderkey % 4 = 0 AND o_orderkey % 2000 < (SELECT count(*) FROM part) OR o_orderkey % 4 <> 0 AND t.dataset IS NOT NULL GROUP BY o_orderkey""")
+def catalog_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit(" D"), (k % 2000).cast("string"))).otherwise(F.concat(F.lit("see GEO-GSE"), k.cast("string"), F.lit(".")))
+    inputs = read(spark, sf_dir, "orders").select(k.cast("string").alias("query_id"), raw.alias("raw"))
+    return lookup.catalog_match(inputs, syn.base(spark, sf_dir, "datasets").withColumn("name", F.lit(None).cast("string")), syn.base(spark, sf_dir, "identifiers"))
+
+
+LOOKUP = """SELECT 'd' || CAST(p_partkey AS STRING) AS dataset FROM part WHERE p_size = 7"""
+PARTS["asked"] = "SELECT 'd' || p_partkey AS dataset FROM part WHERE p_size = 7"
+
+
+@query(
+    "recorded_wins",
+    "SELECT f.dataset AS query_id, f.model, f.stage, true AS recorded, 'recorded' AS code, f.verdict FROM final f JOIN asked a USING (dataset) WHERE f.by_design IS NULL AND f.code = 'present' "
+    "UNION ALL SELECT a.dataset, c.model, c.stage, false, CASE WHEN c.type = 'by-design' THEN 'by_design_stage' ELSE 'no_manifest' END, CASE WHEN c.type = 'by-design' THEN 'INCONCLUSIVE' ELSE 'NOT CHECKABLE' END FROM asked a CROSS JOIN corp c WHERE c.type IN ('C-vague', 'D', 'by-design')",
+)
+def recorded_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded presences, and the answers that need no list, for the parts of one size looked up by id."""
+    part = read(spark, sf_dir, "part")
+    asked = part.where("p_size = 7").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("query_id"))
+    queries = asked.select("query_id", F.lit("dataset").alias("kind"), F.col("query_id").alias("catalog_id"))
+    own = syn.base(spark, sf_dir, "identifiers").withColumnRenamed("dataset", "query_id").join(asked, "query_id", "left_semi").select("query_id", "ord", "type", "value", "confirmed", "basis")
+    t = syn.tables(spark, sf_dir)
+    recorded = _findings(spark, sf_dir).where("code = 'present'").withColumn("samples", F.size("sample_ids").cast("long"))
+    rows = lookup.answers(queries, own, t.corpora.withColumn("unavailable", F.lit(None).cast("string")), t.records, recorded)
+    return rows.where(F.col("recorded") | F.col("code").isin("by_design_stage", "no_manifest")).select("query_id", "model", "stage", "recorded", "code", "verdict")
+
+
+@query(
+    "paper_query_expansion",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS query_id, 'paper' AS kind, CAST(NULL AS VARCHAR) AS linked_from FROM orders WHERE o_orderkey % 50 = 0
+    UNION ALL SELECT o_orderkey || '/GSE' || o_orderkey, 'dataset', CAST(o_orderkey + 1 AS VARCHAR) FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey % 100 = 0
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'unrecognised', NULL FROM orders WHERE o_orderkey % 50 = 1""",
+)
+def paper_query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers become one paper query and one dataset query for each linked series that the cache knows."""
+    orders, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    inputs = orders.where("o_orderkey % 50 in (0, 1)").select(k.cast("string").alias("query_id"), F.when(k % 50 == 0, (k + 1).cast("string")).otherwise("no such thing").alias("raw"))
+    one = lambda x: F.array(x)
+    cache = orders.where("o_orderkey % 100 = 0").select(
+        F.lit("pubmed").alias("kind"), (k + 1).cast("string").alias("query"), F.array(F.concat(F.lit("GSE"), k.cast("string")), F.lit("SRP1")).alias("accessions"), one((k + 1).cast("string")).alias("pmids"), F.lit(None).cast("string").alias("doi")
+    )
+    empty = syn.base(spark, sf_dir, "datasets").limit(0)
+    queries, _ = lookup.interpreted(inputs, empty, syn.base(spark, sf_dir, "identifiers").limit(0), cache)
+    return queries.select("query_id", "kind", "linked_from")
+
+
+# Guards ------------------------------------------------------------------------------------------------------------------
+
+
+@query("guard_dangling_refs", "SELECT model, dataset FROM evaluated_on WHERE CAST(substr(dataset, 2) AS BIGINT) % 17 = 0")
+def guard_dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.operators import guards
+
+    known = syn.base(spark, sf_dir, "datasets").where(F.substring("dataset", 2, 20).cast("long") % 17 != 0)
+    return guards.dangling(syn.base(spark, sf_dir, "evaluated_on"), known).select("model", "dataset")
+
+
+@query("guard_duplicates", "SELECT 'm' || l_suppkey AS model, 's' || l_returnflag AS stage, 'd' || l_partkey AS dataset, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def guard_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.operators import guards
+
+    x = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select(x("m", "l_suppkey").alias("model"), x("s", "l_returnflag").alias("stage"), x("d", "l_partkey").alias("dataset"))
+    return guards.repeated(rows, ASKED)
+
+
+@query("guard_required_keys", "SELECT a.model, a.stage, a.dataset, array_to_string(list_sort(list_filter(c.needs, lambda x: NOT list_contains(a.tried, x) AND NOT (x = 'pmid' AND a.no_pmid))), ',') AS missing FROM att a JOIN corp c USING (model, stage) WHERE len(list_filter(c.needs, lambda x: NOT list_contains(a.tried, x) AND NOT (x = 'pmid' AND a.no_pmid))) > 0")
+def guard_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.operators import guards
+
+    _, listed, _, attempts = _search(spark, sf_dir)
+    return guards.missing_keys(attempts, listed).select(*ASKED, flat("missing").alias("missing"))
+
+
+@query("guard_staleness", "SELECT o_orderkey AS k, (1998 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) AS months FROM orders WHERE (1998 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) > 12")
+def guard_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.operators import guards
+
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("as_of"))
+    return guards.stale(rows, "1998-08-02", 12).select("k", F.col("months").cast("long").alias("months"))
