@@ -134,7 +134,8 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     none = t["absent"].where(col("key").isin(ids.EXACT_KEYS)).groupBy("dataset").agg(F.collect_set("key").alias("none"))
     rows = rows.join(backed, [*CORPUS, "dataset"], "left").join(none, "dataset", "left").withColumn("backed", filled(col("backed")))
     derived = F.sort_array(F.array_except(F.array_intersect(filled(col("none")), exact(col("keys_available"))), "keys_attempted"))
-    rows = rows.withColumn("derived", derived)
+    # Some twenty rules read these rows; they are as many as the registry has findings.
+    rows = rows.withColumn("derived", derived).persist()
     add(rows.where(some(F.array_except(exact(tried), "backed"))), "G15", say("an attempted key has no usable identifier"), place)
     add(rows.where(F.sort_array("keys_absent") != col("derived")), "G24", F.concat(say("keys_absent should be "), shown(col("derived"))), place)
     both = t["absent"].join(t["identifiers"].where("confirmed in ('true', 'provisional')").select("dataset", ids.identifier_key(col("type")).alias("key")).distinct(), ["dataset", "key"], "left_semi")
@@ -158,7 +159,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     seen = t["recorded"].select("model", "dataset").distinct()
     add(t["evaluated_on"].join(datasets.select("dataset"), "dataset", "left_semi").join(seen, ["model", "dataset"], "left_anti"), "G17", say("an evaluated dataset has no finding"))
     if rerun is not None:
-        add(rerun, "G26", F.concat(col("field"), say(" is recorded as "), F.coalesce("recorded", say("none")), say(", and comes out as "), F.coalesce("fresh", say("none"))), place)
+        add(rerun.persist(), "G26", F.concat(col("field"), say(" is recorded as "), F.coalesce("recorded", say("none")), say(", and comes out as "), F.coalesce("fresh", say("none"))), place)
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)

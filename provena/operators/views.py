@@ -47,7 +47,8 @@ def reuse_table(rows: DataFrame, evaluated_on: DataFrame) -> DataFrame:
 def grid(rows: DataFrame, models: list[str], datasets: DataFrame | None = None) -> DataFrame:
     """Datasets by models: each cell the stages' verdicts, in order of stage. With ``datasets``, all of them, by kind."""
     cell = F.concat_ws(": ", "stage", "verdict")
-    out = rows.groupBy("dataset").pivot("model", models).agg(F.nullif(F.array_join(F.sort_array(F.collect_set(cell)), "; "), F.lit("")))
+    out = rows.groupBy("dataset").pivot("model", models).agg(F.array_join(F.sort_array(F.collect_set(cell)), "; "))
+    out = out.select("dataset", *(F.nullif(F.col(f"`{m}`"), F.lit("")).alias(m) for m in models))
     if datasets is None:
         return out
     return datasets.select("dataset", "name", "kind").join(out, "dataset", "left").orderBy(placed(F.col("kind"), KINDS), F.lower("name"), "dataset")
