@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _written: list[str] = []
+_held: tuple[object, object] | None = None
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks; a worker keeps one thing only, so another key drops it."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        _give_back()
+        _held = (key, make())
+    return _held[1]
+
+
+def _give_back() -> None:
+    """Free memory that the last operator has left in this worker's allocators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # only where the C library has it
+
+
+#: Rows that a Python worker gets at once: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's batch size for Python to ``BATCH_ROWS``, if it is larger; returns its argument."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,8 +89,17 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def only(df: DataFrame, *kinds: tuple[str, str]) -> DataFrame:
-    """The named columns, cast. All other columns, whatever their names, are left behind."""
-    return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds))
+    """The named columns, cast. All others are left behind, also such as differ in case only."""
+    names = df.columns
+    placed = df.toDF(*(f"_{k}" for k in range(len(names))))
+
+    def at(name: str) -> int:
+        alike = [k for k, n in enumerate(names) if n == name] or [k for k, n in enumerate(names) if n.lower() == name.lower()]
+        if not alike:
+            raise ValueError(f"no column {name!r} among {names}")
+        return alike[0]
+
+    return small_batches(placed).select(*(F.col(f"_{at(name)}").cast(kind).alias(name) for name, kind in kinds))
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:

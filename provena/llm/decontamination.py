@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import only, text_of
+from provena.llm.common import held, only, small_batches, text_of
 
 RATE = 0.05
 #: Items are sent to the tasks in blocks of about this many bytes of text, one pass for each block.
@@ -139,15 +139,9 @@ class Scanner:
         return out
 
 
-_scanner: dict[int, Scanner] = {}
-
-
-def _ready(block) -> Scanner:
-    """The scanner of a broadcast block; a worker keeps one."""
-    if block.id not in _scanner:
-        _scanner.clear()
-        _scanner[block.id] = Scanner(*block.value)
-    return _scanner[block.id]
+def _ready(block: "Block") -> Scanner:
+    """The scanner of a broadcast block."""
+    return held(("scanner", block.id), lambda: Scanner(*block.value))
 
 
 class Block:
@@ -207,5 +201,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                 keep = [not scanner.found(plain(t or ""), first=True) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = small_batches(docs).mapInArrow(clean, docs.schema)
     return docs

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import only, shuffle_parts, text_of, written
+from provena.llm.common import held, only, shuffle_parts, text_of, written
 from provena.llm.components import components
 
 WORDS = 5
@@ -60,14 +60,11 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) <= 40:
+        if len(self) < 300_000 and len(word) <= 32:
             self[word] = got
         return got
 
 
-_hashes = WordHashes()
-
-
 def words_of(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -77,7 +74,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words than ``WORDS`` are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
-    a = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    a = np.fromiter(map(held("word hashes", WordHashes).__getitem__, words), np.uint64, len(words))
     if len(a) < WORDS:
         return stir((a * MIX[: len(a)]).sum(keepdims=True) + np.uint64(len(a)))
     last = len(a) - WORDS + 1

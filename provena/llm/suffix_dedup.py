@@ -29,11 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import only, text_of, written
+from provena.llm.common import held, only, text_of, written
 
 LEAST, WINDOW, GRAM = 50, 16, 5
 WORD = re.compile(r"[^ \t-\r]+")
@@ -45,14 +44,11 @@ SPANS = "doc_id long, begin long, end long, first_word long, last_word long"
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         got = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 500_000 and len(word) <= 40:
+        if len(self) < 300_000 and len(word) <= 32:
             self[word] = got
         return got
 
 
-_hashes = _Hashes()
-
-
 def _stir(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -72,6 +68,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _up, _down
 
 
+def leftmost_least(values: np.ndarray) -> np.ndarray:
+    """For each window of ``WINDOW`` values the place of the first least one, by doubling the windows."""
+    at, size = np.arange(len(values)), 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        right = values[step:] < values[:-step]
+        at, values = np.where(right, at[step:], at[:-step]), np.where(right, values[step:], values[:-step])
+        size += step
+    return at
+
+
 class Suffixes:
     """The retained suffixes of one text of words."""
 
@@ -79,12 +86,10 @@ class Suffixes:
         n = len(words)
         self.sums = np.zeros(n + 1, np.uint64)
         up, self.down = _powers(n)
-        hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        hashes = np.fromiter(map(held("passage words", _Hashes).__getitem__, words), np.uint64, n)
         np.cumsum(hashes * up[:n], out=self.sums[1:])
         order = self.passages(np.arange(n - GRAM + 1), GRAM)
-        # The first of the least grams in each window, for each begin of a passage.
-        seen = sliding_window_view(order, WINDOW)[: n - LEAST + 1]
-        self.chosen = np.arange(len(seen)) + seen.argmin(axis=1)
+        self.chosen = leftmost_least(order)[: n - LEAST + 1]
 
     def passages(self, begins: np.ndarray, size: int) -> np.ndarray:
         """Fingerprints of the passages of a size at some words."""

@@ -14,6 +14,8 @@ from struct import pack
 
 import numpy as np
 
+from provena.llm.common import held
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECE = re.compile(rf"\s*[{LETTERS}]+(?=[.,;:!?\s]|$)|[.,;:!?]+(?=\s|$)|\s*\S+|\s+")
 #: The same without white space, for tokenizers that drop it.
@@ -25,14 +27,10 @@ PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Pieces kept per generation and the longest piece kept; both bound a worker's memory.
 KEPT, LONGEST = 600_000, 40
 
-_made: dict[tuple[str, bool], "Encoder"] = {}
-
 
 def encoder(path: str, offsets: bool = False) -> "Encoder":
     """One encoder for each Python worker, so that its cache serves all tasks of the worker."""
-    if (path, offsets) not in _made:
-        _made[path, offsets] = Encoder(path, offsets)
-    return _made[path, offsets]
+    return held(("encoder", path, offsets), lambda: Encoder(path, offsets))
 
 
 def byte_letters() -> dict[int, str]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import only, text_of
+from provena.llm.common import held, only, small_batches, text_of
 
 #: Bound of the training sample: so many toxic and other texts, chosen by hash, of at most so many code points.
 TOXIC_SAMPLE, OTHER_SAMPLE, SAMPLE_CHARS = 1500, 4000, 20_000
@@ -383,15 +383,9 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-_scorer: dict[int, Scorer] = {}
-
-
 def _ready(sent, number: int) -> Scorer:
     """One scorer in each worker, so that its words serve all tasks."""
-    if number not in _scorer:
-        _scorer.clear()
-        _scorer[number] = Scorer(sent.value)
-    return _scorer[number]
+    return held(("scorer", number), lambda: Scorer(sent.value))
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
@@ -432,4 +426,4 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
                 keep = [x < REJECT for x in scorer.scores(text_of(part.column("text").to_pylist()))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
