@@ -179,10 +179,10 @@ def test_windows_cover_every_word():
 def test_pipeline(spark, tmp_path):
     text = dict(data.rows())
     item = data.prose(25, 4321)
-    rows = data.rows() + [(k + 100, t) for k, t, _ in spoken(120)] + [(400, data.prose(40, 61) + " " + item + " " + data.prose(40, 62))]
+    rows = data.rows() + [(k + 100, t) for k, t, _ in spoken(500)] + [(9400, data.prose(40, 61) + " " + item + " " + data.prose(40, 62))]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k + 100, 1, y) for k, _, y in spoken(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k + 100, 1, y) for k, _, y in spoken(500)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now, kept = docs, {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -192,10 +192,10 @@ def test_pipeline(spark, tmp_path):
         if k < 4:
             assert now.schema == docs.schema
             kept[name] = {r.doc_id for r in now.collect()}
-    bad = {k + 100 for k, _, y in spoken(120) if y}
+    bad = {k + 100 for k, _, y in spoken(500) if y}
     assert len(kept["toxicity"] & bad) <= 3 and len(({d for d, _ in rows} - bad) - kept["toxicity"]) <= 3
     assert 0 in kept["near_dedup"] and not kept["near_dedup"] & {1, 2, 3} and kept["suffix_dedup"] == kept["near_dedup"] - {21}
-    assert kept["decontamination"] == kept["suffix_dedup"] - {400}
+    assert kept["decontamination"] == kept["suffix_dedup"] - {9400}
     assert {r.doc_id for r in now.select("doc_id").collect()} == kept["decontamination"]
     ran = corpus_pipeline.run(spark, str(tmp_path))
     pick = ["doc_id", "start", "length", "doc_tokens"]
