@@ -41,9 +41,14 @@ BASE = 0x9E3779B97F4A7C15
 SPANS = "doc_id long, begin long, end long, first_word long, last_word long"
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words that ``WORD`` finds, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        got = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        got = xxhash.xxh3_64_intdigest(word)
         if len(self) < 300_000 and len(word) <= 32:
             self[word] = got
         return got
@@ -82,7 +87,7 @@ def leftmost_least(values: np.ndarray) -> np.ndarray:
 class Suffixes:
     """The retained suffixes of one text of words."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[bytes]):
         n = len(words)
         self.sums = np.zeros(n + 1, np.uint64)
         up, self.down = _powers(n)
@@ -114,7 +119,7 @@ def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         keys, times = [], []
         for text in text_of(frame["text"]):
-            words = WORD.findall(text)
+            words = words_of(text)
             if len(words) >= LEAST:
                 s = Suffixes(words)
                 key, n = np.unique(s.passages(s.suffixes(), REST).view(np.int64), return_counts=True)
@@ -146,7 +151,7 @@ def _extended(sent):
         for frame in frames:
             out: list[list[np.ndarray]] = []
             for doc, text in zip(frame["doc_id"].to_numpy(np.int64), text_of(frame["text"]), strict=True):
-                words = WORD.findall(text)
+                words = words_of(text)
                 if len(words) < LEAST:
                     continue
                 s = Suffixes(words)
