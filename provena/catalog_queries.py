@@ -6,6 +6,7 @@ joined by commas, counts as bigint.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,8 +83,6 @@ def with_(select: str) -> str:
 
 
 def _names(name: str, text: str) -> bool:
-    import re
-
     return bool(re.search(rf"\b(FROM|JOIN)\s+{name}\b", text))
 
 
@@ -460,6 +459,30 @@ def paper_query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.select("query_id", "kind", "linked_from")
 
 
+# What people type, one line for each order: a paper, something unknown, a catalog id, an accession or a catalog name. Both engines read it.
+TYPED = """SELECT o.o_orderkey AS k, CASE o.o_orderkey % 5 WHEN 0 THEN CAST(o.o_orderkey + 1 AS STRING) WHEN 1 THEN 'no such thing' WHEN 2 THEN ' D' || CAST(p.p_partkey AS STRING)
+    WHEN 3 THEN 'see GEO-GSE' || CAST(o.o_orderkey AS STRING) || '.' ELSE upper(p.p_name) || ' ' || CAST(p.p_partkey AS STRING) END AS raw FROM orders o CROSS JOIN (SELECT count(*) AS n FROM part) c LEFT JOIN part p ON p.p_partkey = o.o_orderkey % c.n"""
+PARTS["series"] = "SELECT dataset, upper(value) AS gse FROM identifiers WHERE type = 'geo' AND confirmed <> 'false'"
+
+
+@query(
+    "query_interpretation",
+    f"""SELECT CAST(k AS VARCHAR) AS query_id, CASE WHEN k % 5 = 0 THEN 'paper' WHEN k % 5 = 1 OR raw IS NULL THEN 'unrecognised' ELSE 'dataset' END AS kind, CASE k % 5 WHEN 2 THEN trim(lower(raw)) WHEN 3 THEN s.dataset WHEN 4 THEN d.dataset END AS catalog_id, CAST(NULL AS VARCHAR) AS linked_from
+    FROM ({TYPED}) LEFT JOIN series s ON s.gse = 'GSE' || k LEFT JOIN datasets d ON lower(d.name) = lower(raw)
+    UNION ALL SELECT o_orderkey || '/GSE' || o_orderkey, 'dataset', s.dataset, CAST(o_orderkey + 1 AS VARCHAR) FROM orders LEFT JOIN series s ON s.gse = 'GSE' || o_orderkey WHERE o_orderkey % 10 = 0""",
+)
+def query_interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's line against the whole catalog: by id, name or accession, and the series that papers in the cache link to."""
+    orders, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    sql = TYPED.replace("FROM orders", "FROM {orders}").replace("FROM part", "FROM {part}").replace("JOIN part", "JOIN {part}")
+    inputs = spark.sql(sql, orders=orders, part=read(spark, sf_dir, "part")).select(F.col("k").cast("string").alias("query_id"), "raw")
+    cache = orders.where("o_orderkey % 10 = 0").select(
+        F.lit("pubmed").alias("kind"), (k + 1).cast("string").alias("query"), F.array(F.concat(F.lit("GSE"), k.cast("string")), F.lit("SRP1")).alias("accessions"), F.array((k + 1).cast("string")).alias("pmids"), F.lit(None).cast("string").alias("doi")
+    )
+    queries, _ = lookup.interpreted(inputs, syn.base(spark, sf_dir, "datasets"), syn.base(spark, sf_dir, "identifiers"), cache)
+    return queries.select("query_id", "kind", "catalog_id", "linked_from")
+
+
 # Guards ------------------------------------------------------------------------------------------------------------------
 
 
