@@ -47,3 +47,10 @@ def test_every_order_is_interpreted(spark, tables):
     by_way = Counter(int(r.query_id) % 5 for r in rows if r.catalog_id and r.linked_from is None)
     assert by_way[2] == by_way[4] == ORDERS // 5 and by_way[3] > 0
     assert any(r.catalog_id for r in rows if r.linked_from)
+
+
+def test_every_answer_is_returned(spark, tables):
+    rows = both(spark, tables, "lookup_answers")
+    assert len(rows) == PARTS * SUPPLIERS * 3
+    assert {r.code for r in rows} >= {"recorded", "by_design_stage", "no_manifest", "present", "not_present", "unconfirmed_source", "superset"}
+    assert all(r.recorded == (r.code == "recorded") for r in rows)
