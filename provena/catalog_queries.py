@@ -368,6 +368,7 @@ def reuse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRID = ["m0", "m1", "m2", "m5"]
+STAGES = ["sA", "sN", "sR"]
 
 
 @query("dataset_grid_pivot", "SELECT dataset, " + ", ".join(f"string_agg(DISTINCT CASE WHEN model = '{m}' THEN stage || ': ' || verdict END, '; ' ORDER BY CASE WHEN model = '{m}' THEN stage || ': ' || verdict END) AS {m}" for m in GRID) + " FROM final WHERE model IN ('m0', 'm1', 'm2', 'm5') GROUP BY dataset")
@@ -375,6 +376,13 @@ def dataset_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.grid(_findings(spark, sf_dir).where(F.col("model").isin(GRID)), GRID)
 
 
+@query("dataset_grid", "SELECT d.dataset, d.name, d.kind, " + ", ".join(f"string_agg(DISTINCT CASE WHEN stage = '{s}' THEN model || ': ' || verdict END, '; ' ORDER BY CASE WHEN stage = '{s}' THEN model || ': ' || verdict END) AS {s}" for s in STAGES) + " FROM datasets d LEFT JOIN final USING (dataset) GROUP BY ALL")
+def dataset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All datasets by stage, with the verdicts of all models in a cell: models are too many for columns, stages are few."""
+    rows = _findings(spark, sf_dir).select("dataset", F.col("stage").alias("model"), F.col("model").alias("stage"), "verdict")
+    return views.grid(rows, STAGES, syn.base(spark, sf_dir, "datasets"))
+
+
 @query("group_findings_by_reason", "SELECT model, stage, verdict, by_design, code, count(*) AS n FROM final GROUP BY ALL")
 def group_findings_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _findings(spark, sf_dir).withColumn("reason", F.col("code"))
