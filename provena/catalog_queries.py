@@ -220,7 +220,7 @@ def roles_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Pairs of listed corpora, those corpora, targets, attempts."""
+    """All tables, listed corpora, targets, attempts; asked are only triples that share a line item."""
     t = syn.tables(spark, sf_dir)
     listed = t.corpora.where(~F.col("type").isin("C-vague", "D", "by-design"))
     asked = syn.pairs(spark, sf_dir).join(F.broadcast(listed.select(*CORPUS)), CORPUS, "left_semi")
@@ -290,6 +290,7 @@ SQL["lookup_join_records"] = with_("SELECT model, stage, source, r AS row_number
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the triples that share a line item, not of every dataset in every corpus as ``plans.registry.check`` gives."""
     return findings(syn.tables(spark, sf_dir), syn.pairs(spark, sf_dir))
 
 

@@ -89,4 +89,5 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triples that the synthetic registry asks about: those that share a line item, not all of ``plans.check.all_pairs``."""
     return base(spark, sf_dir, "pairs")
