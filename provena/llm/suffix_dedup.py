@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by fingerprints of sparse suffixes, grouped in place of a suffix sort.
 
 Words are runs without ASCII white space, as written. Suffixes are kept at minimiser positions
 only: of each ``WINDOW`` neighbouring five-word grams the one with the least hash. Any two equal
@@ -6,12 +6,12 @@ passages of ``LEAST`` words choose the same first position, at most ``WINDOW`` -
 their begin, so they agree on the ``LEAST`` - ``WINDOW`` + 1 words from there.
 
 1. Texts that equal one with a smaller doc_id are repeated as a whole and leave the search.
-2. The retained suffixes are ordered by a 64-bit fingerprint of those words, so that suffixes with
-   the same beginning are neighbours, and runs of one are dropped. A bitmap of a bounded size marks
+2. The retained suffixes are grouped by a 64-bit fingerprint of those words, a fixed number; none is
+   sorted or compared with a neighbour word by word, and groups of one are dropped. A bitmap of a bounded size marks
    the fingerprints of the others; what it lets through beside them is dropped in the next step.
 3. The marked suffixes are found again in their texts and extended: to the left by up to
    ``WINDOW`` - 1 words and to the right up to ``LEAST``, for all begins that lead to this position.
-   The extended passages are ordered by fingerprint again. Of each run of equal ones the first
+   The passages of ``LEAST`` words are grouped by fingerprint again. Of each group of equal ones the first
    (least doc_id, then place) is the original, all others are repeats, and repeats that touch or
    overlap join to spans.
 
