@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages, fingerprints and leaks against brute force."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -88,6 +89,13 @@ def test_sketch_fills_and_estimates():
     assert abs(share - 800 / 1200) < 0.08
 
 
+@pytest.mark.parametrize("cent", [80, 85])
+def test_a_pair_at_the_threshold_is_seldom_ruled_out(cent):
+    n, p = near_dedup.FINE, cent / 100
+    least = p - near_dedup.GIVE_UP * math.sqrt(p * (1 - p) / n)
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < least) < 1e-6
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
