@@ -7,7 +7,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_written: list[str] = []
 _held: tuple[object, object] | None = None
 
 
@@ -38,32 +38,78 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)  # only where the C library has it
 
 
-#: Rows that a Python worker gets at once: texts are long, and a batch is held several times over.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker gets at once: texts are long, and a batch is held several times over. A longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's batch size for Python to ``BATCH_ROWS``, if it is larger; returns its argument."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's batch sizes for Python to ``BATCH_ROWS`` and ``BATCH_BYTES``, if they are larger; returns its argument.
+
+    They stay lowered: plans read them when they run, and that may be after the operator has returned.
+    """
+    conf = df.sparkSession.conf
+    for name, most in _LIMITS.items():
+        now = conf.get(name, None)
+        if now is None or not 0 < JavaSize.read(now) <= most:
+            conf.set(name, str(most))
     return df
 
 
+class JavaSize:
+    """Numbers of the session's settings, with or without a unit of bytes."""
+
+    UNITS = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+
+    @classmethod
+    def read(cls, text: str) -> int:
+        t = text.strip().lower().removesuffix("b") or "0"
+        return int(t[:-1]) << cls.UNITS[t[-1]] if t[-1] in cls.UNITS else int(t)
+
+
+def portions(texts: list[str], most: int = 64, size: int = 1 << 20) -> Iterator[slice]:
+    """Slices of a list of texts: at most so many, and beyond one text at most so many characters."""
+    at = held_ = 0
+    for k, text in enumerate(texts):
+        if k > at and (k - at >= most or held_ + len(text) > size):
+            yield slice(at, k)
+            at, held_ = k, 0
+        held_ += len(text)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that are handed out within this context, and nowhere else."""
+    paths: list[str] = []
+    before = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     return path
 
 
@@ -75,12 +121,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables written so far. Call it only when every result built on them has been stored."""
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables at these paths. Call it only when every result built on them has been stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -88,18 +134,19 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def place_of(names: list[str], name: str) -> int:
+    """Where a column stands among others: the first of that name, else the first that differs in case only."""
+    alike = [k for k, n in enumerate(names) if n == name] or [k for k, n in enumerate(names) if n.lower() == name.lower()]
+    if not alike:
+        raise ValueError(f"no column {name!r} among {names}")
+    return alike[0]
+
+
 def only(df: DataFrame, *kinds: tuple[str, str]) -> DataFrame:
     """The named columns, cast. All others are left behind, also such as differ in case only."""
     names = df.columns
     placed = df.toDF(*(f"_{k}" for k in range(len(names))))
-
-    def at(name: str) -> int:
-        alike = [k for k, n in enumerate(names) if n == name] or [k for k, n in enumerate(names) if n.lower() == name.lower()]
-        if not alike:
-            raise ValueError(f"no column {name!r} among {names}")
-        return alike[0]
-
-    return small_batches(placed).select(*(F.col(f"_{at(name)}").cast(kind).alias(name) for name, kind in kinds))
+    return small_batches(placed).select(*(F.col(f"_{place_of(names, name)}").cast(kind).alias(name) for name, kind in kinds))
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:

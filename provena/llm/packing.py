@@ -1,15 +1,20 @@
 """Sum-of-squares online packing of tokenised documents into training windows.
 
-Each task walks its documents once. Full windows are cut off a document's front; the rest is
+A packer walks documents once. Full windows are cut off a document's front; the rest is
 placed by the sum-of-squares rule: with N(h) partially filled windows of fill h, choose the fill
 (or a new window) whose change makes the sum of N(h)^2 smallest. N lives in one level array of
-``size`` counters. Windows that are still open at the end of the task, or when more than
-``open_tokens`` ids wait in them, are joined and cut anew into full windows; what then remains is
-written as windows of power-of-two lengths, which need no padding.
+``size`` counters.
+
+Each task packs its own documents. What is in windows still open at its end, and only that, goes on to
+second packers, each of which gets about ``GROUP_IDS`` ids from all tasks and places them by the same rule.
+At the end of a second packer the fullest open windows stay as the rule has built them, and the emptiest are cut up to fill
+their gaps; what then remains is written as windows of power-of-two lengths, which need no padding.
 """
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,24 +23,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import only, text_of
+from provena.llm.common import only, portions, text_of, written
 from provena.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Rows come out in batches of about this many bytes of ids.
-BATCH = 8_000_000
+BATCH = 2_000_000
+#: Ids for one second packer.
+GROUP_IDS = 8_000_000
 
 
 class SumOfSquares:
-    """The level array and the open windows by fill. A piece is (doc, start, ids, doc_tokens)."""
+    """The level array and the open windows by fill. A piece is (doc, start, ids, doc_tokens).
+
+    At most ``open_tokens`` ids wait in open windows; beyond that they are closed, which bounds the memory. ``placed`` and ``cut``
+    count the ids that the rule has placed and those that were cut anew when windows were closed.
+    """
 
     def __init__(self, size: int, first_id: int = 0, open_tokens: int = 4_000_000):
         self.size, self.next_id, self.limit = size, first_id, open_tokens
-        self.count = np.zeros(size + 1, np.int64)
-        self.into = np.ones(size + 1, np.int64)  # change of the sum when a window reaches a fill
-        self.into[size] = 0
-        self.out = np.full(size + 1, 2**40, np.int64)  # and when one leaves it; huge where there is none
-        self.open: list[list[list]] = [[] for _ in range(size)]
+        self.placed = self.cut = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.count = np.zeros(self.size + 1, np.int64)
+        self.into = np.ones(self.size + 1, np.int64)  # change of the sum when a window reaches a fill
+        self.into[self.size] = 0
+        self.out = np.full(self.size + 1, 2**40, np.int64)  # and when one leaves it; huge where there is none
+        self.open: list[list[list]] = [[] for _ in range(self.size)]
         self.waiting = 0
 
     def _add(self, fill: int, by: int) -> None:
@@ -60,18 +76,22 @@ class SumOfSquares:
         self.next_id += 1
 
     def put(self, doc, ids: np.ndarray) -> Iterator[tuple]:
+        """Place a whole document; yields the rows of the windows that are full."""
         total, whole = len(ids), len(ids) // self.size * self.size
         for start in range(0, whole, self.size):
             yield from self.rows([(doc, start, ids[start : start + self.size], total)])
-        if whole == total:
-            return
-        rest = (doc, whole, ids[whole:].copy(), total)
-        need = total - whole
+        if whole < total:
+            yield from self.place((doc, whole, ids[whole:].copy(), total))
+
+    def place(self, piece: tuple) -> Iterator[tuple]:
+        """Place one piece, shorter than a window, by the rule."""
+        need = len(piece[2])
+        self.placed += need
         fill = self.level(need)
         window = self.open[fill].pop() if fill else []
         if fill:
             self._add(fill, -1)
-        window.append(rest)
+        window.append(piece)
         if fill + need == self.size:
             self.waiting -= fill
             yield from self.rows(window)
@@ -79,76 +99,120 @@ class SumOfSquares:
             self._add(fill + need, 1)
             self.open[fill + need].append(window)
             self.waiting += need
-            if self.waiting > self.limit:
-                yield from self.flush()
 
-    def flush(self, last: bool = False) -> Iterator[tuple]:
-        """Join the open windows, fullest first, and cut them into full ones; at the end also the remainder."""
-        window, fill = [], 0
+    def unfinished(self) -> Iterator[tuple]:
+        """The rows of all open windows as they are; then none is open."""
         for level in range(self.size - 1, 0, -1):
-            for pieces in self.open[level]:
-                for doc, start, ids, total in pieces:
-                    while len(ids):
-                        part = ids[: self.size - fill]
-                        window.append((doc, start, part, total))
-                        start, ids, fill = start + len(part), ids[len(part) :], fill + len(part)
-                        if fill == self.size:
-                            yield from self.rows(window)
-                            window, fill = [], 0
-        self.__init__(self.size, self.next_id, self.limit)
-        if not last:
-            if window:
-                self.open[fill].append(window)
-                self._add(fill, 1)
-                self.waiting = fill
-            return
-        while fill:
-            take = 1 << (fill.bit_length() - 1)
-            head, room = [], take
+            for window in self.open[level]:
+                yield from self.rows(window)
+        self._clear()
+
+    def close(self) -> Iterator[tuple]:
+        """Fill the gaps of the fullest open windows with what the emptiest hold; the remainder in powers of two."""
+        windows = deque((level, w) for level in range(self.size - 1, 0, -1) for w in self.open[level])
+        self._clear()
+        spare: deque[tuple] = deque()
+        while windows:
+            fill, window = windows.popleft()
+            while fill < self.size and (spare or windows):
+                if not spare:
+                    spare.extend(windows.pop()[1])
+                part = _cut(spare, self.size - fill)
+                window.append(part)
+                fill += len(part[2])
+                self.cut += len(part[2])
+            if fill == self.size:
+                yield from self.rows(window)
+            else:
+                spare.extendleft(reversed(window))
+        left = sum(len(p[2]) for p in spare)
+        self.cut += left
+        while left:
+            room = min(self.size, 1 << (left.bit_length() - 1))
+            left -= room
+            head = []
             while room:
-                doc, start, ids, total = window.pop(0)
-                head.append((doc, start, ids[:room], total))
-                if len(ids) > room:
-                    window.insert(0, (doc, start + room, ids[room:], total))
-                room -= min(room, len(ids))
+                head.append(_cut(spare, room))
+                room -= len(head[-1][2])
             yield from self.rows(head)
-            fill -= take
+
+
+def _cut(pieces: deque, room: int) -> tuple:
+    """The first piece, or as much of it as there is room for; the rest stays."""
+    doc, start, ids, total = pieces.popleft()
+    if len(ids) > room:
+        pieces.appendleft((doc, start + room, ids[room:], total))
+    return doc, start, ids[:room], total
+
+
+class _Out:
+    """Rows, given out as frames of bounded size."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.rows, self.size = columns, [], 0
+
+    def add(self, rows: Iterator[tuple], *more) -> Iterator[pd.DataFrame]:
+        for row in rows:
+            self.rows.append((*row, *more))
+            self.size += len(row[3])
+            if self.size > BATCH or len(self.rows) >= 10_000:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.rows:
+            yield pd.DataFrame(self.rows, columns=self.columns).astype({"doc_id": "Int64"})
+            self.rows, self.size = [], 0
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of every document.
 
     ``ids`` holds little-endian unsigned 32-bit ids; ``end_id`` follows each document. Null or empty
-    texts give one piece that is the end id alone; repeated rows, also of one doc_id, are packed
-    each; an empty table gives no rows; columns other than doc_id and text are ignored. No shuffle: a window holds documents of one
-    task, a task holds at most ``open_tokens`` waiting ids.
+    texts give one piece that is the end id alone; a null doc_id stays null; repeated rows, also of one doc_id, are packed
+    each; an empty table gives no rows; columns other than doc_id and text are ignored.
+
+    Texts are encoded once, where they are read; the first packers' windows are written in the shared folder, and of these
+    only the open ones are shuffled. A task holds at most ``open_tokens`` waiting ids.
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        state = SumOfSquares(size, TaskContext.get().partitionId() << 40)
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        rows, held = [], 0
-
-        def full() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
+        state, out = SumOfSquares(size, TaskContext.get().partitionId() << 40), _Out([*NAMES, "open"])
         for frame in frames:
             docs_, texts = frame["doc_id"].tolist(), text_of(frame["text"])
-            for at in range(0, len(texts), 64):
-                for doc, ids in zip(docs_[at : at + 64], enc.ids(texts[at : at + 64]), strict=True):
-                    for row in state.put(None if pd.isna(doc) else int(doc), np.frombuffer(ids + end, "<u4")):
-                        rows.append(row)
-                        held += len(row[3])
-                        if held > BATCH:
-                            yield full()
-                            rows, held = [], 0
-        rows.extend(state.flush(last=True))
-        if rows:
-            yield full()
-
-    return only(docs, ("doc_id", "long"), ("text", "string")).mapInPandas(run, PIECES)
+            for part in portions(texts):
+                for doc, ids in zip(docs_[part], enc.ids(texts[part]), strict=True):
+                    yield from out.add(state.put(None if pd.isna(doc) else int(doc), np.frombuffer(ids + end, "<u4")), False)
+                    if state.waiting > state.limit:
+                        yield from out.add(state.unfinished(), True)
+        yield from out.add(state.unfinished(), True)
+        yield from out.rest()
+
+    def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, out, now = None, _Out(NAMES), None
+        for frame in frames:
+            for group, doc, start, ids, total in zip(*(frame[c].tolist() for c in ("group", "doc_id", "start", "ids", "doc_tokens")), strict=True):
+                if group != now:
+                    if state:
+                        yield from out.add(state.close())
+                    state, now = SumOfSquares(size, 1 << 62 | group << 40), group
+                yield from out.add(state.place((None if pd.isna(doc) else int(doc), start, np.frombuffer(ids, "<u4"), total)))
+                if state.waiting > state.limit:
+                    yield from out.add(state.close())
+        if state:
+            yield from out.add(state.close())
+        yield from out.rest()
+
+    packed = written(only(docs, ("doc_id", "long"), ("text", "string")).mapInPandas(first, PIECES + ", open boolean"), "packed")
+    full = packed.where("not open").select(*NAMES)
+    waiting = packed.where("open").agg(F.sum("length")).first()[0] or 0
+    if not waiting:
+        return full
+    groups = math.ceil(waiting / GROUP_IDS)
+    left = packed.where("open").withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int"))
+    dealt = left.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "sequence_id", "offset")
+    return full.union(dealt.mapInPandas(second, PIECES))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

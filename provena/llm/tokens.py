@@ -1,7 +1,7 @@
 """Exact, cached tokenisation: texts are cut where a tokenizer cannot join, and pieces are encoded once.
 
 Both tokenizer files used here split words before their merges run, and no word holds white
-space behind a visible character, or letters before a comma or a full stop. So a text may be cut
+space behind a visible character, or letters before one of ``SIGNS``. So a text may be cut
 there and encoded piecewise, with the same ids as in one go. Characters on whose kind the
 libraries may disagree send the whole text through the tokenizer.
 """
@@ -17,15 +17,17 @@ import numpy as np
 from provena.llm.common import held
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PIECE = re.compile(rf"\s*[{LETTERS}]+(?=[.,;:!?\s]|$)|[.,;:!?]+(?=\s|$)|\s*\S+|\s+")
+#: Signs that both files split off letters before them.
+SIGNS = ".,;:!?$&%*#"
+PIECE = re.compile(rf" ?[{LETTERS}]+(?=[{SIGNS}\s]|$)|[{SIGNS}]+(?=\s|$)|\n(?=[{LETTERS}])|\s*\S+|\s+")
 #: The same without white space, for tokenizers that drop it.
-BARE = re.compile(rf"[{LETTERS}]+(?=[.,;:!?\s]|$)|[.,;:!?]+(?=\s|$)|\S+")
-WORD = re.compile(rf" ?[{LETTERS}]+|[.,;:!?]")
+BARE = re.compile(rf"[{LETTERS}]+(?=[{SIGNS}\s]|$)|[{SIGNS}]+(?=\s|$)|\S+")
+WORD = re.compile(rf" ?[{LETTERS}]+|[{SIGNS}]+")
 UNSURE = re.compile("[\x1c-\x1f\x85\u180e]")
 #: Outside these, lower case may differ between libraries or stand for more characters.
 PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: Pieces kept per generation and the longest piece kept; both bound a worker's memory.
-KEPT, LONGEST = 600_000, 40
+#: About the bytes kept per generation, of two, and the longest piece kept; both bound a worker's memory.
+KEPT, LONGEST = 40_000_000, 40
 
 
 def encoder(path: str, offsets: bool = False) -> "Encoder":
@@ -41,11 +43,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Piece to encoded bytes, in two generations; what is missing is encoded on the way."""
+    """Piece to encoded bytes, in two generations of bounded size; what is missing is encoded on the way."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.size = encode, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
@@ -53,11 +55,12 @@ class Pieces(dict):
             got = self.encode(piece)
         if len(piece) <= LONGEST:
             self[piece] = got
+            self.size += 170 + len(piece) + len(got)  # two objects and their place in the table
         return got
 
     def turn(self) -> None:
-        if len(self) > KEPT:
-            self.old = dict(self)
+        if self.size > KEPT:
+            self.old, self.size = dict(self), 0
             self.clear()
 
 

@@ -65,7 +65,7 @@ def test_packing_holds_each_id_once(spark, shape):
 
 
 def test_sum_of_squares_takes_the_choice_with_the_least_sum():
-    r, state = np.random.default_rng(0), packing.SumOfSquares(32, open_tokens=10**9)
+    r, state = np.random.default_rng(0), packing.SumOfSquares(32)
     for k in range(500):
         need = int(r.integers(1, 32))
         counts = state.count.copy()
@@ -84,6 +84,43 @@ def test_sum_of_squares_takes_the_choice_with_the_least_sum():
     assert state.waiting == sum(h * len(w) for h, w in enumerate(state.open))
 
 
+def test_little_is_cut_anew_after_small_tasks():
+    """240 documents a task: of all ids, the second packers' ends cut at most one in twenty."""
+    r, sizes = np.random.default_rng(1), []
+    total, seen, second = 0, {}, packing.SumOfSquares(2048, 1 << 62)
+    rows = []
+    for task in range(200):
+        first = packing.SumOfSquares(2048, task << 40)
+        for k in range(240):
+            n = int(min(30_000, r.lognormal(5.6, 1.1))) + 1
+            sizes.append(n)
+            total += n
+            ids = np.full(n, len(sizes), "<u4")
+            rows += list(first.put(len(sizes) - 1, ids))
+        for doc, start, _, ids, whole, _, _ in list(first.unfinished()):
+            rows += list(second.place((doc, start, np.frombuffer(ids, "<u4"), whole)))
+    rows += list(second.close())
+    assert second.cut < 0.05 * total
+    fills = {}
+    for doc, start, length, ids, whole, window, offset in rows:
+        assert np.frombuffer(ids, "<u4").tolist() == [doc + 1] * length and whole == sizes[doc]
+        seen.setdefault(doc, []).append((start, length))
+        fills.setdefault(window, []).append((offset, length))
+    for doc, parts in seen.items():
+        parts.sort()
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) == sizes[doc]
+    short = [sum(n for _, n in parts) for parts in fills.values() if sum(n for _, n in parts) < 2048]
+    assert all(n & (n - 1) == 0 for n in short) and len(short) <= 11
+    assert all([a for a, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1]] for p in fills.values())
+
+
+@pytest.mark.parametrize(("group", "wait"), [(100, 4_000_000), (8_000_000, 300)])
+def test_packing_with_many_second_packers_and_a_small_memory(spark, monkeypatch, group, wait):
+    monkeypatch.setattr(packing, "GROUP_IDS", group)
+    monkeypatch.setattr(packing.SumOfSquares.__init__, "__defaults__", (0, wait))
+    test_packing_holds_each_id_once(spark, data.documents)
+
+
 def test_empty_tables(spark):
     none = data.documents(spark).limit(0)
     assert packing.pack(none, BYTE_BPE).count() == 0
