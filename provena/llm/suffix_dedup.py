@@ -1,28 +1,28 @@
-"""Repeated passages by fingerprints of sparse suffixes, grouped in place of a suffix sort.
+"""Repeated passages by sparse suffix arrays.
 
-Words are runs without ASCII white space, as written. Suffixes are kept at minimiser positions
+Words are runs without ASCII white space, as written. Suffixes are retained at minimiser positions
 only: of each ``WINDOW`` neighbouring five-word grams the one with the least hash. Any two equal
 passages of ``LEAST`` words choose the same first position, at most ``WINDOW`` - 1 words after
 their begin, so they agree on the ``LEAST`` - ``WINDOW`` + 1 words from there.
 
-1. Texts that equal one with a smaller doc_id are repeated as a whole and leave the search.
-2. The retained suffixes are grouped by a 64-bit fingerprint of those words, a fixed number; none is
-   sorted or compared with a neighbour word by word, and groups of one are dropped. A bitmap of a bounded size marks
-   the fingerprints of the others; what it lets through beside them is dropped in the next step.
-3. The marked suffixes are found again in their texts and extended: to the left by up to
-   ``WINDOW`` - 1 words and to the right up to ``LEAST``, for all begins that lead to this position.
-   The passages of ``LEAST`` words are grouped by fingerprint again. Of each group of equal ones the first
-   (least doc_id, then place) is the original, all others are repeats, and repeats that touch or
-   overlap join to spans.
-
-Fingerprints are 64-bit sums of word hashes with a multiplier for each place, stirred. A document
-sends each fingerprint once, and runs are aggregated before they are shuffled, so a passage that
-recurs many thousand times is gathered nowhere.
+1. The retained suffixes of all texts are sorted and each is compared with its neighbours. Those that share their first
+   ``REST`` words with a neighbour are matches. They are sorted by a hash of these words and not by the alphabet, as only
+   neighbours that share all of them count.
+2. Matches are extended in their texts: to the left by up to ``WINDOW`` - 1 words and to the right up to ``LEAST``, for all
+   begins that lead to this position. A neighbour in the order of step 1 can't decide this, as another suffix may
+   share less to the right and more to the left; so the extended passages of ``LEAST`` words are sorted again, by text, and compared
+   with their neighbour before. One that has an equal one before it (of a smaller doc_id, or at a place before) is a repeat.
+   Repeats that touch or overlap join to spans.
+
+Passages are compared by 128 bits: two sums of word hashes with a multiplier for each place, stirred; among 10^13 passages a false
+pair has a chance of about 10^-13. Step 1 uses 64 bits, as step 2 checks its matches.
+
+A batch of texts (4 MB) is compared within itself first, and sends each suffix or passage on once; so one that stands in every document
+reaches its task once a batch. A text that equals one with a smaller doc_id is a repeat as a whole and is not extended.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +32,28 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import held, only, text_of, written
+from provena.llm.common import held, only, place_of, text_of, written
 
 LEAST, WINDOW, GRAM = 50, 16, 5
-WORD = re.compile(r"[^ \t-\r]+")
-#: Odd multiplier of the rolling sums.
-BASE = 0x9E3779B97F4A7C15
-SPANS = "doc_id long, begin long, end long, first_word long, last_word long"
+REST = LEAST - WINDOW + 1
+#: Odd multipliers of the rolling sums.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+SUFFIXES = "key long, h long, place int, shared boolean"
+PASSAGES = "k1 long, k2 long, again boolean, doc_id long, h long, place int, last int, begin int, end int"
 
 
 def words_of(text: str) -> list[bytes]:
-    """The words that ``WORD`` finds, as UTF-8."""
+    """The runs without ASCII white space, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the same runs, in code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.concatenate([[False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]])
+    return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
@@ -60,17 +68,15 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_up = np.ones(1, np.uint64)
-_down = np.ones(1, np.uint64)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64, up to n."""
-    global _up, _down
-    if len(_up) <= n:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2^64, up to n."""
+    if base not in _tables or len(_tables[base][0]) <= n:
         size = max(1024, 1 << n.bit_length())
-        _up, _down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 2**64)))
-    return _up, _down
+        _tables[base] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (base, pow(base, -1, 2**64)))
+    return _tables[base]
 
 
 def leftmost_least(values: np.ndarray) -> np.ndarray:
@@ -85,159 +91,151 @@ def leftmost_least(values: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """The retained suffixes of one text of words."""
+    """The retained suffixes of one text of at least ``LEAST`` words."""
 
     def __init__(self, words: list[bytes]):
-        n = len(words)
-        self.sums = np.zeros(n + 1, np.uint64)
-        up, self.down = _powers(n)
-        hashes = np.fromiter(map(held("passage words", _Hashes).__getitem__, words), np.uint64, n)
-        np.cumsum(hashes * up[:n], out=self.sums[1:])
-        order = self.passages(np.arange(n - GRAM + 1), GRAM)
-        self.chosen = leftmost_least(order)[: n - LEAST + 1]
-
-    def passages(self, begins: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of the passages of a size at some words."""
-        return _stir((self.sums[begins + size] - self.sums[begins]) * self.down[begins])
+        self.hashes = np.fromiter(map(held("passage words", _Hashes).__getitem__, words), np.uint64, len(words))
+        self.sums = [self._sums(0)]
+        self.chosen = leftmost_least(self.passages(np.arange(len(words) - GRAM + 1), GRAM))[: len(words) - LEAST + 1]
+
+    def _sums(self, k: int) -> np.ndarray:
+        n = len(self.hashes)
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum((_stir(self.hashes) if k else self.hashes) * _powers(BASES[k], n)[0][:n], out=out[1:])
+        return out
+
+    def passages(self, begins: np.ndarray, size: int, k: int = 0) -> np.ndarray:
+        """64 bits for the passages of a size at some words; k = 1 gives another 64."""
+        if k == len(self.sums):
+            self.sums.append(self._sums(k))
+        sums = self.sums[k]
+        return _stir((sums[begins + size] - sums[begins]) * _powers(BASES[k], len(self.hashes))[1][begins])
 
     def suffixes(self) -> np.ndarray:
         return np.unique(self.chosen)
 
 
-REST = LEAST - WINDOW + 1
-
-
-#: Bits of the bitmap: 16 for each marked fingerprint, at least and at most these.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-#: Lists of ids and spans up to this length are sent to the tasks that read the texts; longer ones are joined.
-SMALL = 1_000_000
-PASSAGES = "key long, doc_id long, place long, begin long, end long"
+def _alone(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys that no passage has, for rows that need no more comparing."""
+    return _stir(h.view(np.uint64) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASES[0]))
 
 
-def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, times up to 2) for each retained suffix of each document."""
+def _retained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, h, place, shared) for each retained suffix of each text; of those that share a key in a batch one keeps it."""
     for frame in frames:
-        keys, times = [], []
-        for text in text_of(frame["text"]):
+        out, seen = [], set()
+        for h, text in zip(frame["h"].tolist(), text_of(frame["text"]), strict=True):
             words = words_of(text)
-            if len(words) >= LEAST:
-                s = Suffixes(words)
-                key, n = np.unique(s.passages(s.suffixes(), REST).view(np.int64), return_counts=True)
-                keys.append(key)
-                times.append(np.minimum(n, 2))
-            if len(keys) >= 500:
-                yield pd.DataFrame({"key": np.concatenate(keys), "times": np.concatenate(times)})
-                keys, times = [], []
-        if keys:
-            yield pd.DataFrame({"key": np.concatenate(keys), "times": np.concatenate(times)})
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of all keys, modulo the bitmap's size. The driver gets at most ``MOST_BITS`` / 8 bytes."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
-    at = keys.select((F.col("key").bitwiseAND(bits - 1) + 1).alias("at"))
-    parts = at.groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
-    out = np.zeros(bits // 8, np.uint8)
-    for k, part in parts.toLocalIterator():
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def _extended(sent):
-    """Passages of ``LEAST`` words round the marked suffixes; without a key if the document has them before."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = sent.value
-        for frame in frames:
-            out: list[list[np.ndarray]] = []
-            for doc, text in zip(frame["doc_id"].to_numpy(np.int64), text_of(frame["text"]), strict=True):
-                words = words_of(text)
-                if len(words) < LEAST:
-                    continue
+            if len(words) >= LEAST and h not in seen:
+                seen.add(h)
                 s = Suffixes(words)
                 own = s.suffixes()
-                at = s.passages(own, REST) & np.uint64(8 * len(bits) - 1)
-                own = own[bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0]
-                begins = np.flatnonzero(np.isin(s.chosen, own))
-                if not len(begins):
-                    continue
-                keys = s.passages(begins, LEAST).view(np.int64)
-                again = np.ones(len(keys), bool)
-                again[np.unique(keys, return_index=True)[1]] = False
-                span = np.array([m.span() for m in WORD.finditer(text)])
-                out.append([keys, again, np.full(len(keys), doc), begins, span[begins, 0], span[begins + LEAST - 1, 1]])
-                if sum(len(x[0]) for x in out) > 200_000:
-                    yield table(out)
-                    out = []
-            if out:
-                yield table(out)
-
-    def table(out: list[list[np.ndarray]]) -> pd.DataFrame:
-        keys, again, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
-        key = pd.arrays.IntegerArray(keys, again)
-        return pd.DataFrame({"key": key} | dict(zip(("doc_id", "place", "begin", "end"), rest, strict=True)))
-
-    return run
-
-
-def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The span of all words of each text that has enough of them."""
+                out.append((s.passages(own, REST), np.full(len(own), h, np.int64), own))
+        if out:
+            key, h, place = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, h, place = key[order], h[order], place[order]
+            later = np.concatenate([[False], key[1:] == key[:-1]])
+            shared = later | np.concatenate([later[1:], [False]])
+            key = np.where(later, _alone(h, place), key)
+            yield pd.DataFrame({"key": key.view(np.int64), "h": h, "place": place.astype(np.int32), "shared": shared})
+
+
+def _extended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages of ``LEAST`` words round the matches; ``again``: no need to compare further, as the batch or the list of copies shows it."""
     for frame in frames:
-        rows = []
-        for doc, text in zip(frame["doc_id"], text_of(frame["text"]), strict=True):
-            span = [m.span() for m in WORD.finditer(text)]
-            if len(span) >= LEAST:
-                rows.append((doc, span[0][0], span[-1][1], 0, len(span) - 1))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SPANS.split(", ")])
-
-
-def _near(small: DataFrame) -> DataFrame:
-    """Marked to be sent to all tasks, if its number of rows is within ``SMALL``."""
-    return F.broadcast(small) if small.count() <= SMALL else small
+        out, runs, seen = [], [], set()
+        for n, (doc, h, h2, text, places, firsts) in enumerate(zip(*(frame[c].tolist() for c in ("doc_id", "h", "h2", "text", "places", "firsts")), strict=True)):
+            doc = None if doc is None or pd.isna(doc) else int(doc)
+            words = words_of(text)
+            if len(words) < LEAST or (doc, h, h2) in seen:
+                continue
+            seen.add((doc, h, h2))
+            least = min((x["least"] for x in (firsts if firsts is not None else ()) if x["h2"] == h2), default=None)
+            if least is not None and (doc is None or doc > least):
+                begins, ends = word_spans(text)
+                runs.append((doc, h, 0, len(words) - LEAST, begins[0], ends[-1]))
+            elif places is not None:
+                s = Suffixes(words)
+                own = np.flatnonzero(np.isin(s.chosen, np.asarray(places)))
+                if len(own):
+                    begins, ends = word_spans(text)
+                    out.append((s.passages(own, LEAST), s.passages(own, LEAST, 1), np.full(len(own), n), own, begins[own], ends[own + LEAST - 1]))
+        if out:
+            k1, k2, row, place, begin, end = (np.concatenate(x) for x in zip(*out, strict=True))
+            docs, h = frame["doc_id"].astype("Int64").array[row], frame["h"].to_numpy(np.int64)[row]
+            null = np.asarray(docs.isna())
+            order = np.lexsort((place, h, docs.to_numpy(np.int64, na_value=0), null, k2, k1))
+            again = np.zeros(len(k1), bool)
+            again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+            yield pd.DataFrame({"k1": k1.view(np.int64), "k2": k2.view(np.int64), "again": again, "doc_id": docs, "h": h, "place": place, "last": place, "begin": begin, "end": end})[~again]
+            at = np.flatnonzero(again)
+            if len(at):
+                # Neighbouring repeats of one text go on as one run.
+                cut = np.flatnonzero((row[at[1:]] != row[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1))
+                first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
+                yield _runs(docs[first], h[first], place[first], place[last], begin[first], end[last])
+        if runs:
+            doc, h, place, last, begin, end = zip(*runs, strict=True)
+            yield _runs(pd.array(doc, "Int64"), np.array(h, np.int64), np.array(place), np.array(last), np.array(begin), np.array(end))
+
+
+def _runs(doc, h: np.ndarray, place: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    key = _alone(h, place)
+    return pd.DataFrame({"k1": key.view(np.int64), "k2": _stir(key).view(np.int64), "again": True, "doc_id": doc, "h": h, "place": place, "last": last, "begin": begin, "end": end})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, begin, end, first_word, last_word) of passages that an earlier place has word for word.
+    """(doc_id, begin, end, first_word, last_word, text_hash) of passages that an earlier place has word for word.
 
     A passage has ``LEAST`` words or more; begin and end are code points, words count from 0. The
-    earlier place is of a smaller doc_id, or in the same document. Null and short texts repeat
-    nothing; rows that share a doc_id and a text are one document, rows that share a doc_id only
-    don't repeat each other; rows with a null doc_id are left out; an empty table gives no rows;
-    other columns are ignored.
+    earlier place is of a smaller doc_id, or in the same document; a null doc_id comes after all others. Rows that share a doc_id are
+    documents of their own if their texts differ, told apart by ``text_hash``, and the one with the smaller hash is earlier; equal rows are one
+    document. Null and short texts repeat nothing; an empty table gives no rows; other columns are ignored.
+
+    Texts are read twice. For the second time they are joined with the matches, which Spark broadcasts only if their files are within
+    its own threshold.
     """
-    docs = only(docs, ("doc_id", "long"), ("text", "string")).where("doc_id is not null and text is not null")
-    named = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    firsts = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = written(named.join(firsts, ["h1", "h2"]).where("doc_id > least").select("doc_id").distinct(), "copies")
-    rest = docs.join(_near(copies), "doc_id", "left_anti")
-
-    marks = rest.mapInPandas(_marks, "key long, times long").groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(written(marks, "marks")))
-    found = written(rest.mapInPandas(_extended(sent), PASSAGES), "extended")
-    runs = found.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    columns = ["doc_id", "place", "begin", "end"]
-    later = found.where("key is not null").join(runs, "key").where("doc_id > least").select(columns)
-    repeats = found.where("key is null").select(columns).union(later).distinct()
-
-    order = Window.partitionBy("doc_id").orderBy("place")
-    apart = repeats.withColumn("new", (F.col("place") - F.lag("place", 1, -LEAST - 1).over(order) > LEAST).cast("int"))
+    docs = only(docs, ("doc_id", "long"), ("text", "string")).where("text is not null")
+    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    suffixes = docs.select("h", "text").mapInPandas(_retained, SUFFIXES)
+    near = Window.partitionBy("key").orderBy("h", "place")
+    own = F.struct("h", "place")
+    matched = suffixes.withColumn("before", F.lag(own).over(near) != own).withColumn("after", F.lead(own).over(near) != own).where("shared or before or after")
+    places = matched.groupBy("h").agg(F.collect_set("place").alias("places"))
+
+    alike = docs.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    copied = alike.where("least < most or least is not null and nulls > 0").groupBy("h").agg(F.collect_list(F.struct("h2", "least")).alias("firsts"))
+    wanted = written(places.join(copied, "h", "full"), "matches")
+
+    passages = docs.join(wanted, "h").select("doc_id", "h", "h2", "text", "places", "firsts").mapInPandas(_extended, PASSAGES)
+    order = Window.partitionBy("k1", "k2").orderBy(F.asc_nulls_last("doc_id"), "h", "place")
+    own = F.struct("doc_id", "h", "place")
+    before = F.lag(own).over(order)
+    repeats = passages.withColumn("found", F.col("again") | before.isNotNull() & ~before.eqNullSafe(own)).where("found")
+
+    order = Window.partitionBy("doc_id", "h").orderBy("place", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = repeats.select("doc_id", "h", "place", "last", "begin", "end", F.coalesce(F.col("place") > reach + LEAST, F.lit(True)).cast("int").alias("new"))
     joined = apart.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = joined.groupBy("doc_id", "part").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("place").alias("first_word"), (F.max("place") + (LEAST - 1)).alias("last_word"))
-    copied = docs.join(_near(copies), "doc_id", "left_semi").mapInPandas(_whole, SPANS).distinct()
-    return spans.drop("part").union(copied)
+    spans = joined.groupBy("doc_id", "h", "part").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("place").alias("first_word"), (F.max("last") + (LEAST - 1)).alias("last_word"))
+    return spans.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("begin", "end", "first_word", "last_word")), F.col("h").alias("text_hash"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out of their texts; columns stay, ``n_chars`` is counted anew.
 
     White space round a cut becomes one line break. Documents without repeats stay as they are; a
-    document of which nothing is left is dropped.
+    document of which nothing is left is dropped. Rows with a null doc_id are cut too, as the last ones; equal rows all stay. Column names
+    may differ in case only; the text and the doc_id are those that ``only`` takes.
     """
     names, white = docs.columns, " \t\n\v\f\r"
+    at, size = place_of(names, "text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cuts = batch.column("text").to_pylist(), batch.column("cuts_").to_pylist()
+            columns = list(batch.columns)
+            texts, cuts = columns[at].to_pylist(), columns.pop().to_pylist()
             keep = [True] * len(texts)
             for i, (text, spans) in enumerate(zip(texts, cuts, strict=True)):
                 if spans and text is not None:
@@ -248,12 +246,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     rest.append(text[last:].lstrip(white))
                     texts[i] = "\n".join(p for p in rest if p)
                     keep[i] = bool(texts[i].strip(white))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns["text"] = pa.array(texts, batch.schema.field("text").type)
-            if "n_chars" in columns:
-                sizes = [len(t) if x and t is not None else n for t, x, n in zip(texts, cuts, columns["n_chars"].to_pylist(), strict=True)]
-                columns["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names).filter(pa.array(keep, pa.bool_()))
-
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("cuts_"))
-    return docs.join(_near(written(spans, "cuts")), "doc_id", "left").select(*names, "cuts_").mapInArrow(cut, docs.schema)
+            columns[at] = pa.array(texts, columns[at].type)
+            if size is not None:
+                sizes = [len(t) if x and t is not None else n for t, x, n in zip(texts, cuts, columns[size].to_pylist(), strict=True)]
+                columns[size] = pa.array(sizes, columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    spans = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("cuts"))
+    placed = docs.toDF(*(f"_{k}" for k in range(len(names))))
+    cuts = written(spans, "cuts")
+    doc, text = F.col(f"_{place_of(names, 'doc_id')}").cast("long"), F.col(f"_{at}").cast("string")
+    joined = placed.join(cuts, doc.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")), "left")
+    return joined.select(*placed.columns, "cuts").mapInArrow(cut, placed.schema).toDF(*names)

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,52 +115,79 @@ def test_components(spark):
     assert got == {x: find(x) for x in {n for a, b in links if a != b for n in (a, b)}}
 
 
-def spans(rows):
+def hashes(spark, rows):
+    return {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows if t is not None], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+
+
+def spans(rows, h):
     """Repeated spans of 50 words by comparing every passage."""
     seen, out = {}, {}
-    for d, t in sorted({(d, t) for d, t in rows if d is not None and t}):
-        w = [m for m in suffix_dedup.WORD.finditer(t)]
+    for d, t in sorted({(d, t) for d, t in rows if t}, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]])):
+        w = [m.group() for m in re.finditer(r"[^ \t-\r]+", t)]
         for i in range(len(w) - 49):
-            p = tuple(m.group() for m in w[i : i + 50])
-            if seen.setdefault(p, (d, i)) != (d, i) and not (seen[p][0] == d and seen[p][1] == i):
+            if seen.setdefault(tuple(w[i : i + 50]), (d, t, i)) != (d, t, i):
                 out.setdefault((d, t), []).append(i)
     got = set()
     for (d, t), at in out.items():
-        w = [m.span() for m in suffix_dedup.WORD.finditer(t)]
+        w = [m.span() for m in re.finditer(r"[^ \t-\r]+", t)]
         first = last = at[0]
         for i in [*at[1:], 10**9]:
             if i - last > 50:
-                got.add((d, w[first][0], w[last + 49][1], first, last + 49))
+                got.add((d, w[first][0], w[last + 49][1], first, last + 49, h[t]))
                 first = i
             last = i
     return got
 
 
-@pytest.mark.parametrize("small,bits", [(10**6, 1 << 29), (0, 1 << 20)])
-def test_repeated_spans(spark, monkeypatch, small, bits):
-    monkeypatch.setattr(suffix_dedup, "SMALL", small)
-    monkeypatch.setattr(suffix_dedup, "MOST_BITS", bits)
+def repeating():
     passage = data.prose(70, 77)
     more = [(100 + k, data.prose(k, 200 + k) + " " + passage + "\n" + data.prose(9, 300 + k)) for k in range(0, 40, 7)]
-    more += [(200, " ".join(passage.split(" ")[:50])), (201, " ".join(passage.split(" ")[:49]) + " end"), (202, passage + " " + passage)]
-    docs = data.clash(data.documents(spark, [*more, (None, passage)]))
-    got = {tuple(r) for r in suffix_dedup.repeated_spans(docs).collect()}
-    assert got == spans(data.rows() + more)
+    more += [(200, " ".join(passage.split(" ")[:50])), (201, " ".join(passage.split(" ")[:49]) + " end"), (202, passage + " " + passage), (202, passage + " " + passage)]
+    # One doc_id with several texts, and none.
+    more += [(300, data.prose(100, 400)), (300, data.prose(20, 401) + " " + passage), (300, data.prose(60, 402) + " " + data.prose(100, 400)), (None, passage), (None, data.prose(80, 403)), (None, data.prose(80, 403)), (None, "x " + data.prose(80, 403))]
+    # More to the left with one document, more to the right with another.
+    words = data.prose(90, 404).split(" ")
+    return more + [(400, " ".join(words[:60])), (401, "a " + " ".join(words[20:])), (402, "b " + " ".join(words[5:80]) + " c"), (403, " ".join(words[30:82]))]
+
+
+@pytest.mark.parametrize("apart", [1, 40])
+def test_repeated_spans(spark, apart):
+    rows = data.rows() + repeating()
+    docs = data.clash(data.documents(spark, repeating())).repartition(apart)
+    got = [tuple(r) for r in suffix_dedup.repeated_spans(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == spans(rows, hashes(spark, rows))
+
+
+def test_a_passage_in_thousands_of_documents(spark):
+    passage = data.prose(60, 500)
+    rows = [(k, f"{data.prose(k % 7, k)} {passage} {k} {data.prose(k % 5, k)}") for k in range(3000)] + [(5000 + k, passage) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    got = suffix_dedup.repeated_spans(docs).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in rows} - {0} and len(got) == len(rows) - 1
+    texts = dict(rows)
+    assert all(passage in texts[r.doc_id][r.begin : r.end] for r in got)
 
 
 def test_without_repeats(spark):
-    rows = data.rows()
-    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = data.rows() + repeating()
+    shape = "doc_id long, text string, lang string, source string, n_chars long, Doc_Id string, TEXT int, cuts int, h int"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "no", 1, 2, 3) for d, t in rows], shape)
     left = suffix_dedup.without_repeats(docs)
     assert left.schema == docs.schema
-    kept = {r.doc_id: r for r in left.collect()}
-    cut = {s[0] for s in spans(rows)}
+    want, h, white = Counter(), hashes(spark, rows), " \t\n\v\f\r"
+    cuts = spans(rows, h)
     for d, t in rows:
-        if d not in cut:
-            assert kept[d].text == t
+        own, kept, last = sorted(c[1:3] for c in cuts if t is not None and c[0] == d and c[5] == h[t]), [], 0
+        if own:
+            for a, b in own:
+                kept.append(t[last:a].strip(white) if last else t[:a].rstrip(white))
+                last = b
+            t = "\n".join(x for x in [*kept, t[last:].lstrip(white)] if x)
+        if not own or t.strip(white):
+            want[d, t, len(t or ""), "no", 1, 2, 3] += 1
+    assert Counter((r[0], r[1], *r[4:]) for r in left.collect()) == want
     passage = data.prose(60, 2)
-    assert sum(passage in (r.text or "") for r in kept.values()) == 1 and 21 not in kept
-    assert all(r.n_chars == len(r.text) for d, r in kept.items() if d in cut)
+    assert sum(passage in (t or "") for _, t, *_ in want) == 1 and 21 not in {d for d, *_ in want}
     assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
