@@ -14,7 +14,7 @@ Steps, none of which gathers a group in one place:
 3. A few rounds pair each member of a bucket with one leader only, check the pairs on full sets,
    and merge what is linked. Most links of a large group follow from these.
 4. For buckets that still hold several components, pairs across components are made where an exact
-   bound allows a link. The bound uses the set sizes and the number of shingles that no other
+   bound allows a link. A large bucket is cut into blocks of ``BLOCK`` members and each pair of blocks is a group of its own. The bound uses the set sizes and the number of shingles that no other
    candidate has: those cannot be shared. A sketch estimate far below the threshold also rules a
    pair out (``GIVE_UP`` standard deviations below). All other pairs are checked.
 """
@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import held, only, shuffle_parts, text_of, written
+from provena.llm.common import held, only, place_of, shuffle_parts, small_batches, text_of, written
 from provena.llm.components import components
 
 WORDS = 5
 COORDS = 128
 #: Coordinates of the candidates' second sketch, by which pairs are ruled out.
 FINE = 256
-#: Candidates up to this number are sent to the tasks that read the texts; beyond it they are joined.
-SMALL_IDS = 1_000_000
+#: Members of a bucket that one group compares with each other or with as many others.
+BLOCK = 256
 #: Rounds of leader pairs before pairs across components are made.
 LEADER_ROUNDS = 2
 #: An estimate so many standard deviations below the threshold rules a pair out. By the exact binomial tail a pair at
@@ -135,25 +135,19 @@ def _describe(rows_: int):
     return run
 
 
-def _sets(wanted) -> object:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = wanted.value if wanted is not None else None
-        for frame in frames:
-            if ids is not None:
-                at = np.searchsorted(ids, key := frame["doc_id"].to_numpy(np.int64))
-                frame = frame[ids[np.minimum(at, len(ids) - 1)] == key] if len(ids) else frame[:0]
-            for at in range(0, len(frame), 256):
-                rows = {"doc_id": [], "n": [], "items": [], "drawn": []}
-                for doc, text in zip(frame["doc_id"].iloc[at : at + 256], text_of(frame["text"].iloc[at : at + 256]), strict=True):
-                    items = shingles(words_of(text))
-                    if len(items):
-                        rows["doc_id"].append(doc)
-                        rows["n"].append(len(items))
-                        rows["items"].append(items.tobytes())
-                        rows["drawn"].append((stir(sketch(items, FINE)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
-                yield pd.DataFrame(rows)
-
-    return run
+def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, n, items, drawn): the full set and the finer sketch of each text that has words."""
+    for frame in frames:
+        for at in range(0, len(frame), 256):
+            rows = {"doc_id": [], "n": [], "items": [], "drawn": []}
+            for doc, text in zip(frame["doc_id"].iloc[at : at + 256], text_of(frame["text"].iloc[at : at + 256]), strict=True):
+                items = shingles(words_of(text))
+                if len(items):
+                    rows["doc_id"].append(doc)
+                    rows["n"].append(len(items))
+                    rows["items"].append(items.tobytes())
+                    rows["drawn"].append((stir(sketch(items, FINE)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+            yield pd.DataFrame(rows)
 
 
 def _linked(per: int, cent: int):
@@ -178,42 +172,48 @@ def verified(pairs: DataFrame, sets: DataFrame, cent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(_linked(100, cent)("x", "y")).select("a", "b").distinct()
 
 
+def _blocks(ready: DataFrame) -> DataFrame:
+    """The members of each bucket in groups (key, low, high): all pairs within a block, and all between two blocks, are in one group each."""
+    sizes = ready.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = ready.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+
+
 def _across(cent: int):
-    """Pairs of one bucket across components that an exact bound and the estimate allow."""
+    """Pairs of one group across components that an exact bound and the estimate allow."""
     least = cent / 100 - GIVE_UP * math.sqrt(cent / 100 * (1 - cent / 100) / FINE)
 
+    def pairs(now: tuple, rows: list) -> Iterator[pd.DataFrame]:
+        if len(rows) < 2:
+            return
+        rows.sort(key=lambda r: r[2])
+        ids, comp, block = (np.array([r[k] for r in rows]) for k in (0, 1, 6))
+        n, most = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        drawn = np.stack([np.frombuffer(r[4], "<u2") for r in rows])
+        keys = np.stack([r[5] for r in rows])
+        here = np.argwhere(keys == now[0])
+        place = int(here[0][1]) if len(here) else 0
+        for i in range(len(ids) - 1):
+            top = np.searchsorted(n, min(most[i], n[i] * 100 // cent), side="right")
+            js = np.arange(i + 1, top)
+            js = js[(comp[js] != comp[i]) & (most[js] >= n[i])]
+            if now[1] != now[2]:
+                js = js[block[js] != block[i]]
+            js = js[(keys[js, :place] != keys[i, :place]).all(axis=1)]  # the first band that they share
+            js = js[(drawn[js] == drawn[i]).mean(axis=1) >= least]
+            if len(js):
+                yield pd.DataFrame({"a": np.minimum(ids[i], ids[js]), "b": np.maximum(ids[i], ids[js])})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, now = [], None
-
-        def pairs(rows: list) -> Iterator[pd.DataFrame]:
-            if len(rows) < 2:
-                return
-            ids, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            n, most = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            drawn = np.stack([np.frombuffer(r[4], "<u2") for r in rows])
-            keys = np.stack([r[5] for r in rows])
-            here = np.argwhere(keys == now)
-            place = int(here[0][1]) if len(here) else 0
-            order = np.argsort(n, kind="stable")
-            ids, comp, n, most, drawn, keys = (x[order] for x in (ids, comp, n, most, drawn, keys))
-            for i in range(len(ids) - 1):
-                top = np.searchsorted(n, min(most[i], n[i] * 100 // cent), side="right")
-                js = np.arange(i + 1, top)
-                js = js[(comp[js] != comp[i]) & (most[js] >= n[i])]
-                js = js[(keys[js, :place] != keys[i, :place]).all(axis=1)]  # the first band that they share
-                for at in range(0, len(js), 4096):
-                    part = js[at : at + 4096]
-                    part = part[(drawn[part] == drawn[i]).mean(axis=1) >= least]
-                    if len(part):
-                        yield pd.DataFrame({"a": np.minimum(ids[i], ids[part]), "b": np.maximum(ids[i], ids[part])})
-
         for frame in frames:
-            for key, *row in zip(*(frame[c] for c in ("key", "doc_id", "comp", "n", "most", "drawn", "keys")), strict=True):
-                if key != now:
-                    yield from pairs(kept)
-                    kept, now = [], key
+            for key, low, high, *row in zip(*(frame[c] for c in ("key", "low", "high", "doc_id", "comp", "n", "most", "drawn", "keys", "block")), strict=True):
+                if (key, low, high) != now:
+                    yield from pairs(now, kept)
+                    kept, now = [], (key, low, high)
                 kept.append(row)
-        yield from pairs(kept)
+        yield from pairs(now, kept)
 
     return run
 
@@ -236,12 +236,8 @@ def near_duplicates(docs: DataFrame, cent: int = 85) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
     buckets = written(rows.join(shared, "key").distinct(), "buckets")
     members = written(buckets.select("doc_id").distinct(), "candidates")
-    if (n := members.count()) <= SMALL_IDS:
-        ids = np.sort(np.array([r[0] for r in members.collect()], np.int64))
-        sets = docs.where("doc_id is not null").mapInPandas(_sets(spark.sparkContext.broadcast(ids)), "doc_id long, n long, items binary, drawn binary")
-    else:
-        sets = docs.join(members, "doc_id", "left_semi").mapInPandas(_sets(None), "doc_id long, n long, items binary, drawn binary")
-    sets = written(sets, "sets") if n else None
+    n = members.count()
+    sets = written(docs.join(members, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, items binary, drawn binary"), "sets") if n else None
 
     links = tried = None
     comp = members.withColumn("comp", F.col("doc_id"))
@@ -275,8 +271,11 @@ def near_duplicates(docs: DataFrame, cent: int = 85) -> DataFrame:
         facts = facts.where(F.col("n") * cent <= F.col("most") * 100)
         own = firsts.select("doc_id", "keys").dropDuplicates(["doc_id"])
         ready = open_.join(facts, "doc_id").join(own, "doc_id")
-        pairs = ready.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInPandas(_across(cent), "a long, b long").distinct()
-        links = written(verified(pairs, sets, cent).union(links), "links")
+        group = ["key", "low", "high"]
+        dealt = _blocks(written(ready, "open-members")).repartition(shuffle_parts(spark), *group).sortWithinPartitions(*group)
+        pairs = dealt.mapInPandas(_across(cent), "a long, b long").distinct()
+        found = verified(pairs, sets, cent)
+        links = written(found.union(links) if links is not None else found, "links")
         comp = _joined(members, links)
 
     same = full.select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -316,14 +315,44 @@ def _rare(sets: DataFrame) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame, cent: int = 80) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; columns stay as they are.
+    """One document of each component, the one with the smallest doc_id; columns stay as they are.
 
-    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    Unlike texts of one doc_id are documents of their own, and so are texts without a doc_id, which come last: of each
+    component the row with the smallest (doc_id, hash of the text) stays. Of rows equal in doc_id and text one stays. Null, empty
+    and wordless texts are in no component and all stay. An empty table stays empty. Column names may differ in case only;
+    the text and the doc_id are those that ``only`` takes.
     """
-    found = written(near_duplicates(docs, cent).select("doc_id", "kept"), "kept")
-    gone = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        rest = rest.withColumn("again", again).where("doc_id is null or again = 1").select(docs.columns)
-    return rest
+    names = docs.columns
+    placed = small_batches(docs).toDF(*(f"_{k}" for k in range(len(names))))
+    doc, text = F.col(f"_{place_of(names, 'doc_id')}").cast("long"), F.col(f"_{place_of(names, 'text')}").cast("string")
+    rows = placed.withColumn("doc_id", doc).withColumn("hash", F.xxhash64(text)).withColumn("text", text)
+
+    seen = written(rows.where("text is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("times")), "seen")
+    by_text = seen.groupBy("doc_id").agg(F.count("*").alias("texts")).where("doc_id is null or texts > 1").limit(1).count() > 0
+    if by_text:
+        # Numbers in the order of (doc_id, hash) stand for the texts.
+        order = [F.asc_nulls_last("doc_id"), F.asc("hash")]
+        nodes = seen.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+        nodes = written(nodes.select("doc_id", "hash", F.monotonically_increasing_id().alias("node")), "nodes")
+        given = _with(rows, nodes, "inner").select(F.col("node").alias("doc_id"), "text")
+    else:
+        given = rows.select("doc_id", "text")
+    gone = near_duplicates(given, cent).where("not kept").select("doc_id").distinct()
+    if by_text:
+        rest = _with(rows, written(nodes.join(gone.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("doc_id", "hash"), "gone"), "left_anti")
+    else:
+        rest = rows.join(written(gone, "gone"), "doc_id", "left_anti")
+    twice = seen.where("times > 1").select("doc_id", "hash")
+    if twice.limit(1).count():
+        worded = F.col("text").rlike(r"[^ \t-\r]")
+        plain = [c for c, kind in placed.dtypes if not any(k in kind for k in ("map<", "variant"))]
+        again = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64(*plain)))
+        some = _with(rest.where(worded), twice, "left_semi").withColumn("again", again).where("again = 1").drop("again")
+        rest = rest.where(~F.coalesce(worded, F.lit(False))).unionByName(_with(rest.where(worded), twice, "left_anti")).unionByName(some)
+    return rest.select(*placed.columns).toDF(*names)
+
+
+def _with(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """The rows joined on doc_id, null or not, and hash."""
+    others = others.withColumnRenamed("doc_id", "other_id").withColumnRenamed("hash", "other_hash")
+    return rows.join(others, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash")), how)

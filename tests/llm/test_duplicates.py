@@ -49,9 +49,10 @@ def family(n, edits, seed):
 
 
 @pytest.mark.parametrize("cent", [85, 80])
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_near_duplicates(spark, monkeypatch, cent, small):
-    monkeypatch.setattr(near_dedup, "SMALL_IDS", small)
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_duplicates(spark, monkeypatch, cent, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 2 if block > 3 else 0)
     more = list(family(40, 6, 1)) + list(family(25, 3, 2)) + [(500, "solo " * 3), (13, "é ü ß 中文 😀 " * 30)]
     docs = data.clash(data.documents(spark, more + [(None, "no id here at all")]))
     got = near_dedup.near_duplicates(docs, cent).collect()
@@ -72,12 +73,35 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(data.documents(spark).where("doc_id in (4, 5, 6)")).where("kept").count() == 3
 
 
-def test_keep_firsts(spark):
-    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in data.rows()], "doc_id long, text string, lang string, source string, n_chars long")
+def test_one_large_group_is_found_whole(spark):
+    """Near copies of one text, and as many texts that share most of it and are not linked."""
+    base = data.prose(200, 600).split(" ")
+    near = [(k, " ".join([*base[: k % 190], f"x{k}", *base[k % 190 + 1 :]])) for k in range(700)]
+    apart = [(1000 + k, " ".join(base[:120]) + " " + data.prose(50, 700 + k)) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(near + apart, "doc_id long, text string").repartition(8)).collect()}
+    assert got == grouped(near[::70] + apart, 85) | {k: 0 for k, _ in near}
+
+
+def kept_firsts(rows, h):
+    """What stays of (doc_id, text, ...): the first of each component and all texts without words, each row that is equal once."""
+    nodes = sorted({r[:2] for r in rows if shingle_set(r[1])}, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    groups = grouped([(k, t) for k, (_, t) in enumerate(nodes)], 80)
+    return Counter(n for k, n in enumerate(nodes) if groups[k] == k) + Counter(r[:2] for r in rows if not shingle_set(r[1]))
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_keep_firsts(spark, plain):
+    base = data.prose(90, 800)
+    more = [] if plain else [(500, base), (500, data.prose(80, 801)), (500, data.prose(80, 801)), (501, base + " end"), (None, base), (None, data.prose(70, 802)), (None, data.prose(70, 802) + " x"), (None, None), (4, None), (4, None)]
+    rows = [r for r in dict.fromkeys(data.rows()) if r] if plain else data.rows() + more
+    shape = "doc_id long, text string, lang string, source string, n_chars long, Doc_Id string, again int, hash int, node int"
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), "no", 77, 2, 3) for r in rows], shape)
     left = near_dedup.keep_firsts(docs, 80)
     assert left.schema == docs.schema
-    want = grouped(data.rows(), 80)
-    assert sorted(r.doc_id for r in left.collect()) == sorted({d for d, c in want.items() if c == d})
+    got = left.collect()
+    assert Counter((r[0], r[1]) for r in got) == kept_firsts(rows, hashes(spark, rows))
+    assert {tuple(r[5:]) for r in got} == {("no", 77, 2, 3)}
+    assert near_dedup.keep_firsts(docs.limit(0), 80).count() == 0
 
 
 def test_sketch_fills_and_estimates():
