@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import held, only, small_batches, text_of
+from provena.llm.common import held, only, place_of, small_batches, text_of
 
 #: Bound of the training sample: so many toxic and other texts, chosen by hash, of at most so many code points.
 TOXIC_SAMPLE, OTHER_SAMPLE, SAMPLE_CHARS = 1500, 4000, 20_000
@@ -368,13 +368,15 @@ class Scorer:
 def fitted(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, other: int = OTHER_SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
     """Trains on a bounded sample of labelled texts whose crc32(doc_id as text) mod 3 is not 1.
 
-    Labels other than 0 and 1, null doc_ids and texts, and labels without a document are left out.
+    Labels other than 0 and 1, null doc_ids and texts, longer texts, and labels without a document take no places of the sample. Of several
+    texts of one doc_id the least is taken.
     """
     marks = only(labels, ("doc_id", "long"), ("toxic", "int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out()).distinct()
+    texts = only(docs, ("doc_id", "long"), ("text", "string")).where(F.length("text") <= chars)
+    marks = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     some = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic), (0, other))]
     chosen = some[0].union(some[1])  # so few rows that they may be sent to all tasks
-    texts = only(docs, ("doc_id", "long"), ("text", "string")).where(F.length("text") <= chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "toxic"]).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     return train([r.text for r in rows], [r.toxic for r in rows])
 
@@ -414,7 +416,13 @@ def judged(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents whose score is below ``REJECT``; columns stay as they are."""
+    """The documents whose score is below ``REJECT``; columns stay as they are.
+
+    Null, empty and wordless texts have the score that ``scored`` gives them; rows with a null doc_id and repeated rows are scored like
+    others. Column names may differ in case only; the text is the one that ``only`` takes. No shuffle.
+    """
+    names = docs.columns
+    at_text = place_of(names, "text")
     sent = docs.sparkSession.sparkContext.broadcast(net)
     number = sent._jbroadcast.id()
 
@@ -423,7 +431,8 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                keep = [x < REJECT for x in scorer.scores(text_of(part.column("text").to_pylist()))]
+                keep = [x < REJECT for x in scorer.scores(text_of(part.column(at_text).to_pylist()))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    placed = small_batches(docs).toDF(*(f"_{k}" for k in range(len(names))))
+    return placed.mapInArrow(run, placed.schema).toDF(*names)
