@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -228,7 +229,8 @@ def test_fingerprints(spark):
         edited = t[: len(t) - m] + after[:m]
         row = next(r for r in got if (-1 if r.doc_id is None else r.doc_id) == d and r.fingerprint == plain[t])
         assert row.n_chars == len(t) and row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert row.edited_fingerprint == str(fingerprints.Print(edited)) and 0 <= row.near_edited <= 1 and 0 <= row.near_next <= 1
+        assert row.edited_fingerprint == str(fingerprints.Print(edited))
+        assert row.near_edited == fingerprints.likeness(fingerprints.Print(t), fingerprints.Print(edited)) and row.near_next == fingerprints.likeness(fingerprints.Print(t), fingerprints.Print(after))
     assert fingerprints.edited_and_next(docs.limit(0)).count() == 0
     one = fingerprints.edited_and_next(spark.createDataFrame([(0, "alone")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1
@@ -245,11 +247,44 @@ def test_prefix_hashes_answer_spans():
         while i + k < 300 and j + k < 300 and a[i + k] == b[j + k]:
             k += 1
         assert fingerprints.extension(x, i, y, j) == k
-    p = fingerprints.Print(data.prose(300, 1))
-    q = fingerprints.read_print(str(p))
-    assert fingerprints.likeness(p, q) == 1 and str(q) == str(p)
-    half = fingerprints.Print(data.prose(300, 1)[: len(data.prose(300, 1)) // 2])
-    assert 0.4 < fingerprints.likeness(p, half) < 0.9 and fingerprints.likeness(p, fingerprints.Print(data.prose(300, 9))) < 0.2
+
+
+def shared_share(a, b):
+    """2 m / (n + n'), m the code points of a in spans of 12 and more that b holds too, or in the common begin."""
+    covered = np.zeros(len(a), bool)
+    spans_ = {b[i : i + 12] for i in range(len(b) - 11)}
+    for i in range(len(a) - 11):
+        if a[i : i + 12] in spans_:
+            covered[i : i + 12] = True
+    covered[: len(os.path.commonprefix([a, b]))] = True
+    return 2 * int(covered.sum()) / (len(a) + len(b))
+
+
+def test_likeness_against_the_shared_text():
+    r = random.Random(6)
+    for n in (3, 8, 30, 43, 44, 60, 90, 300, 2000, 20_000):
+        for _ in range(6):
+            a, other = (data.prose(n, r.randrange(10**6))[:n] for _ in range(2))
+            kept = a[: n - n // 4]
+            # Texts, and how much of the first they hold for certain.
+            for b, m in ((kept + other[: n // 4], len(kept)), (kept, len(kept)), ("new words first " + a, n), (a[: n // 3] + other[: n // 20] + a[n // 3 :], n), (a[n // 2 :] + a[: n // 2], n), (other, 0), (a + other, n)):
+                p, q = fingerprints.Print(a), fingerprints.Print(b)
+                got = fingerprints.likeness(p, q)
+                assert (got == 1) == (a == b) and got == fingerprints.likeness(fingerprints.read_print(str(p)), fingerprints.read_print(str(q)))
+                assert got <= shared_share(a, b) + 1e-9
+                if b.startswith(kept) or n >= 300:
+                    assert got >= 2 * m / (len(a) + len(b)) - (0.07 if b.startswith(kept) else 0.15), (n, m, got)
+    for a, b in (("ab" * 500, "ab" * 400 + "x" * 100), ("a" * 4000, "a" * 3000 + "b" * 1000)):
+        assert fingerprints.likeness(fingerprints.Print(a), fingerprints.Print(b)) >= 0.7
+    assert fingerprints.likeness(fingerprints.Print(""), fingerprints.Print("")) == 1 and fingerprints.likeness(fingerprints.Print(""), fingerprints.Print("a")) == 0
+
+
+def test_the_least_and_the_greatest_doc_id(spark):
+    rows = [(-(2**63), "the first text of all " * 9), (0, "another text " * 20), (2**63 - 1, "the last of them")]
+    got = {r.doc_id: r for r in fingerprints.edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (d, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        m = len(t) // 4
+        assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()
 
 
 def edit_distance(a, b):
