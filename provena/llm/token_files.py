@@ -1,13 +1,16 @@
 """Directly addressable codes: token-id files with random access to any token.
 
-A file keeps each id as one or more chunks of ``WIDTHS`` bits. Level 0 has the lowest chunk of all
+A segment keeps each id as one or more chunks of ``WIDTHS`` bits. Level 0 has the lowest chunk of all
 ids and a bitmap that says which ids go on; level 1 has the next chunk of those, and so on. A rank
 directory (set bits before each block of 512) turns a position in one level into the position in
 the next, so any id is read from a few array cells, without decoding its neighbours.
 
-Layout, little-endian: ``DAC1``, u32 size of the header, header (JSON: widths, levels, docs),
+Layout of a segment, little-endian: ``DAC1``, u32 size of the header, header (JSON: widths, levels, docs),
 then per level chunks (u8), bitmap (bits, low first), rank directory (u64), at last doc_id (i64),
 null flags (u8) and starts (i64, one more than documents).
+
+A file is a row of segments, a list of them (JSON: offset, size, documents, ids of each), u64 size of the list, ``DACF``. It is written
+and read a segment at a time. Files are opened with pyarrow, so the shared folder must be in a store that pyarrow opens by its address.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from provena.llm.tokens import encoder
 
 WIDTHS = (8, 8, 8, 8)
 BLOCK = 512
-#: A task closes a file once it holds this many ids, and begins the next.
-FILE_IDS = 2_000_000
+#: A segment ends once it holds this many ids, and a file once its segments do.
+SEGMENT_IDS, FILE_IDS = 2_000_000, 200_000_000
 FILES = "part int, number int, path string, n_docs long, n_ids long"
 
 
 def build(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """The bytes of one file."""
+    """The bytes of one segment."""
     rest = np.concatenate([ids for _, ids in docs]).astype(np.uint32) if docs else np.zeros(0, np.uint32)
     levels, blobs = [], []
     for width in WIDTHS:
@@ -53,7 +56,7 @@ def build(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
 
 
 class Reader:
-    """Reads one file's bytes: ``token(i)`` by rank, ``tokens(a, b)`` for a range, ``doc(k)`` for a document."""
+    """Reads one segment's bytes: ``token(i)`` by rank, ``tokens(a, b)`` for a range, ``doc(k)`` for a document."""
 
     def __init__(self, data: bytes):
         if data[:4] != b"DAC1":
@@ -110,21 +113,57 @@ class Reader:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def _store(path: str, data: bytes) -> None:
-    from pyarrow import fs
+class FileWriter:
+    """Writes one file, segment by segment."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        self.path, self.out, self.segments, self.at, self.ids = path, system.open_output_stream(at), [], 0, 0
+
+    def add(self, docs: list[tuple[int | None, np.ndarray]]) -> None:
+        data = build(docs)
+        self.out.write(data)
+        self.segments.append([self.at, len(data), len(docs), sum(len(ids) for _, ids in docs)])
+        self.at += len(data)
+        self.ids += self.segments[-1][3]
 
-    system, at = fs.FileSystem.from_uri(path)
-    system.create_dir(at.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(at) as out:
-        out.write(data)
+    def close(self) -> tuple[str, int, int]:
+        """(path, documents, ids)."""
+        listed = json.dumps(self.segments).encode()
+        self.out.write(listed + struct.pack("<Q", len(listed)) + b"DACF")
+        self.out.close()
+        return self.path, sum(x[2] for x in self.segments), self.ids
 
 
-def _load(path: str) -> bytes:
-    from pyarrow import fs
+class FileReader:
+    """Reads a file: ``segments`` one by one, ``token(i)`` from its own segment only."""
 
-    system, at = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(at) as f:
-        return f.read()
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        self.file = system.open_input_file(at)
+        size = self.file.size()
+        listed, mark = struct.unpack("<Q4s", self.file.read_at(12, size - 12))
+        if mark != b"DACF":
+            raise ValueError(f"{path} is not a token file")
+        self.listed = json.loads(self.file.read_at(listed, size - 12 - listed))
+        self.starts = np.cumsum([0, *(x[3] for x in self.listed)])
+
+    def segment(self, k: int) -> Reader:
+        return Reader(self.file.read_at(self.listed[k][1], self.listed[k][0]))
+
+    def segments(self) -> Iterator[tuple[int, Reader]]:
+        """(ids before it, segment) of each segment."""
+        for k in range(len(self.listed)):
+            yield int(self.starts[k]), self.segment(k)
+
+    def token(self, at: int) -> int:
+        k = int(np.searchsorted(self.starts, at, side="right")) - 1
+        return self.segment(k).token(at - int(self.starts[k]))
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
@@ -157,23 +196,26 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
                 yield pd.DataFrame({"part": part.astype(np.int32), "doc_id": key.astype("Int64").to_numpy(), "ids": ids})
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, size, part, number = [], 0, None, 0
+        kept, size, part, number, file = [], 0, None, 0, None
 
         def close() -> pd.DataFrame:
-            path = f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.dac"
-            _store(path, build(kept))
-            return pd.DataFrame({"part": [part], "number": [number], "path": [path], "n_docs": [len(kept)], "n_ids": [size]})
+            path, n_docs, n_ids = file.close()
+            return pd.DataFrame({"part": [part], "number": [number], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
         for frame in frames:
             for p, doc, ids in zip(frame["part"].tolist(), frame["doc_id"].tolist(), frame["ids"], strict=True):
-                if kept and (p != part or size >= FILE_IDS):
-                    yield close()
-                    number = number + 1 if p == part else 0
+                if kept and (p != part or size >= SEGMENT_IDS):
+                    file.add(kept)
                     kept, size = [], 0
+                if file and (p != part or file.ids >= FILE_IDS):
+                    yield close()
+                    file, number = None, number + 1 if p == part else 0
                 part = p
+                file = file or FileWriter(f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.dac")
                 kept.append((None if pd.isna(doc) else int(doc), widen(ids)))
                 size += len(kept[-1][1])
         if kept:
+            file.add(kept)
             yield close()
 
     coded = docs.mapInPandas(encode, "part int, doc_id long, ids binary")
@@ -192,24 +234,34 @@ def widen(ids: bytes) -> np.ndarray:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of the documents in listed files; start counts the ids of all files before."""
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    listed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
-    parts = shuffle_parts(files.sparkSession)
+    """(doc_id, start, ids) of the documents in listed files; start counts the ids of all files before.
+
+    The driver adds up one number for each part, of which there are as many as shuffle partitions at most; files are added up within
+    their part.
+    """
+    spark = files.sparkSession
+    sums, bases = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect(), []
+    total = 0
+    for part, n in sums:
+        bases.append((part, total))
+        total += n
+    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    listed = files.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
+    listed = listed.join(F.broadcast(spark.createDataFrame(bases, "part int, first long")), "part").select("path", (F.col("first") + F.col("before")).alias("base"))
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, base in zip(frame["path"], frame["base"], strict=True):
-                file = Reader(_load(path))
-                for at in range(0, len(file.doc_ids), 256):
-                    ks = range(at, min(at + 256, len(file.doc_ids)))
-                    yield pd.DataFrame({
-                        "doc_id": pd.array([file.doc_ids[k] for k in ks], "Int64"),
-                        "start": [int(base + file.starts[k]) for k in ks],
-                        "ids": [file.doc(k).astype("<u4").tobytes() for k in ks],
-                    })
-
-    return listed.select("path", "base").repartition(parts, "path").mapInPandas(load, "doc_id long, start long, ids binary")
+                for first, segment in FileReader(path).segments():
+                    for at in range(0, len(segment.doc_ids), 256):
+                        ks = range(at, min(at + 256, len(segment.doc_ids)))
+                        yield pd.DataFrame({
+                            "doc_id": pd.array([segment.doc_ids[k] for k in ks], "Int64"),
+                            "start": [int(base + first + segment.starts[k]) for k in ks],
+                            "ids": [segment.doc(k).astype("<u4").tobytes() for k in ks],
+                        })
+
+    return listed.repartition(shuffle_parts(spark), "path").mapInPandas(load, "doc_id long, start long, ids binary")
 
 
 def digest(read: DataFrame) -> DataFrame:

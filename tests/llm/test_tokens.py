@@ -128,8 +128,9 @@ def test_empty_tables(spark):
     assert attribution.token_counts(none, BYTE_BPE).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 500])
-def test_token_files_round_trip(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("segment", "limit"), [(2_000_000, 200_000_000), (500, 1200), (500, 500), (1, 1)])
+def test_token_files_round_trip(spark, monkeypatch, segment, limit):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", segment)
     monkeypatch.setattr(token_files, "FILE_IDS", limit)
     docs = data.clash(data.documents(spark, [(None, "no id")]))
     read = sorted(token_files.digest(token_files.read_files(token_files.write_files(docs, WORD_BPE))).collect(), key=lambda r: r.start)
@@ -140,6 +141,18 @@ def test_token_files_round_trip(spark, monkeypatch, limit):
         at += len(ids)
 
 
+def test_any_token_of_a_file(tmp_path):
+    file, docs = token_files.FileWriter(f"file://{tmp_path}/a/x.dac"), [[(k, np.arange(k, dtype=np.uint32) * 70_001 + k)] for k in range(1, 9)]
+    for part in docs:
+        file.add(part)
+    assert file.close()[1:] == (8, 36)
+    flat, read = [int(i) for part in docs for _, ids in part for i in ids], token_files.FileReader(f"file://{tmp_path}/a/x.dac")
+    assert [read.token(i) for i in range(36)] == flat and [s.doc_ids for _, s in read.segments()] == [[k] for k in range(1, 9)]
+    (tmp_path / "bad").write_bytes(b"x" * 40)
+    with pytest.raises(ValueError):
+        token_files.FileReader(f"file://{tmp_path}/bad")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=60), max_size=8))
 def test_addressable_codes(docs):
