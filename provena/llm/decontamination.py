@@ -5,6 +5,9 @@ other run of characters as one space. An item of m plain characters may have flo
 edits. It is split into one piece more than that; an occurrence within the budget leaves one piece
 untouched, so all pieces of all items go into one automaton, each hit gives a diagonal, and the
 text along nearby diagonals is checked with Myers' algorithm.
+
+An item without a budget (fewer than 1 / ``RATE`` plain characters) is found only as whole words, so "art" is not in "start"; it is found
+wherever these words stand, also if it is a single one. Longer items may be found inside a word, as the edits next to them would allow that anyhow.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import held, only, small_batches, text_of
+from provena.llm.common import held, only, place_of, small_batches, text_of
 
 RATE = 0.05
-#: Items are sent to the tasks in blocks of about this many bytes of text, one pass for each block.
-BLOCK_BYTES = 16_000_000
+#: Items are sent to the tasks in blocks of about this many bytes of text, one pass over the documents for each block. An automaton
+#: takes about fifty times as much of a worker's memory. The driver holds one block at a time.
+BLOCK_BYTES = 4_000_000
 LEAKS = "doc_id long, item_id long, start long, end long, edits long"
 
 APART = re.compile(r"\W+")
@@ -99,6 +103,8 @@ class Scanner:
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for form, keys in sorted(forms.items()):
             budget = math.floor(rate * len(form))
+            if not budget:
+                form = f" {form} "
             cuts = [len(form) * k // (budget + 1) for k in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces[form[a:b]].append((len(self.items), a))
@@ -110,7 +116,8 @@ class Scanner:
             self.automaton.make_automaton()
 
     def found(self, text: str, first: bool = False) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) per item in plain places; ``first``: one is enough."""
+        """(item, edits, start, end) per item in places of a plain text; ``first``: one is enough."""
+        text = f" {text} "  # every word stands between blanks
         lines: dict[int, set[int]] = defaultdict(set)
         if self.items:
             for end, (size, owners) in self.automaton.iter(text):
@@ -133,7 +140,11 @@ class Scanner:
                     if not best[0]:
                         break
             if best:
-                out += [(key, *best) for key in keys]
+                edits, a, b = best
+                if not budget:
+                    a, b = a + 1, b - 1
+                # Without the blanks round the text, which an edit may have taken in.
+                out += [(key, edits, max(0, a - 1), min(b - 1, len(text) - 2)) for key in keys]
                 if first:
                     break
         return out
@@ -192,14 +203,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents in which no item occurs; their columns stay as they are. No shuffle."""
+    """The documents in which no item occurs; their columns stay as they are. No shuffle.
+
+    Null and empty texts hold nothing and stay, as do rows with a null doc_id without an item; repeated rows are judged each. Column names may
+    differ in case only; the text is the one that ``only`` takes.
+    """
+    names = docs.columns
+    at = place_of(names, "text")
+    docs = small_batches(docs).toDF(*(f"_{k}" for k in range(len(names))))
     for block in blocks(benchmark, rate):
 
         def clean(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             scanner = _ready(block)
             for batch in batches:
-                keep = [not scanner.found(plain(t or ""), first=True) for t in batch.column("text").to_pylist()]
+                keep = [not scanner.found(plain(t or ""), first=True) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = small_batches(docs).mapInArrow(clean, docs.schema)
-    return docs
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs.toDF(*names)

@@ -330,6 +330,31 @@ def test_leaks(spark, monkeypatch):
     assert decontamination.leaks(df.limit(0), bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_whole_words(spark):
+    items = [(1, "art"), (2, "A"), (3, "A b, c!"), (4, "the whole of a longer item of the benchmark"), (5, "art")]
+    texts = ["start of it", "Art!", "an ART gallery", "banana", "it is a", "a b c", "xa b cx", "THE whole of a longer item of the benchmark", "xthe whole of a longer item of the benchmark", "", None, "art"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits): texts[r.doc_id][r.start : r.end] for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {
+        (1, 1, 0): "Art", (1, 5, 0): "Art", (2, 1, 0): "ART", (2, 5, 0): "ART", (4, 2, 0): "a", (5, 2, 0): "a", (5, 3, 0): "a b c", (7, 2, 0): "a", (7, 4, 0): texts[7], (8, 2, 0): "a",
+        (8, 4, 0): texts[8][1:], (11, 1, 0): "art", (11, 5, 0): "art",
+    }
+
+
+def test_leaks_in_a_very_long_text_and_repeated_rows(spark):
+    item = data.prose(30, 950)
+    text = data.prose(60_000, 951)
+    middle = len(text) // 2
+    rows = [(1, text[:middle] + " " + item + " " + text[middle:])] * 2 + [(2, text), (None, item), (3, None)]
+    shape = "doc_id long, text string, TEXT int, Doc_Id int, keep int"
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], shape)
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.item_id, r.edits, r.end - r.start) for r in decontamination.leaks(docs, bench).collect()))
+    assert got == [(0, 7, 0, len(item)), (1, 7, 0, len(item)), (1, 7, 0, len(item))]
+    clean = decontamination.without_leaks(docs, bench)
+    assert clean.schema == docs.schema and sorted((r[0], *r[2:]) for r in clean.collect()) == [(2, 1, 2, 3), (3, 1, 2, 3)]
+
+
 def test_myers_against_the_plain_table():
     r = random.Random(4)
     for _ in range(200):
