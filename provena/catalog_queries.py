@@ -18,7 +18,7 @@ from provena.functions import wording
 from provena.operators import compare, keys, lookup, matching, verdict, views
 from provena.operators.keys import ASKED, CORPUS
 from provena.plans.check import findings
-from provena.shared import cut
+from provena.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,13 +258,13 @@ def exact_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("evidence_expand", "SELECT model, stage, dataset, source, r AS row_number, sample, cells FROM evid")
 def evidence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _, targets, attempts = _search(spark, sf_dir)
-    return matching.evidence(matching.hits(targets, attempts, t.records), t.records).withColumnRenamed("row", "row_number")
+    return matching.evidence(written(matching.matches(targets, attempts, t.records), "matches"), t.records).withColumnRenamed("row", "row_number")
 
 
 @query("match_summary", "SELECT model, stage, dataset, array_to_string(found, ',') AS keys_hit, array_to_string(sure, ',') AS keys_hit_confirmed, array_to_string(listed, ',') AS listed, array_to_string(samples, ',') AS samples, cells FROM summ WHERE len(found) > 0")
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, listed, targets, attempts = _search(spark, sf_dir)
-    rows = matching.summary(attempts, matching.hits(targets, attempts, t.records), t.records, listed).where(F.size("keys_hit") > 0)
+    rows = matching.summary(attempts, written(matching.matches(targets, attempts, t.records), "matches"), t.records, listed).where(F.size("keys_hit") > 0)
     return rows.select(*ASKED, flat("keys_hit").alias("keys_hit"), flat("keys_hit_confirmed").alias("keys_hit_confirmed"), flat("listed_accessions").alias("listed"), flat("sample_ids").alias("samples"), "cells")
 
 
@@ -484,7 +484,7 @@ def lookup_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dataset looked up by id in every corpus: recorded presences, and fresh answers of all kinds for the rest."""
     queries = syn.base(spark, sf_dir, "datasets").select(F.col("dataset").alias("query_id"), F.lit("dataset").alias("kind"), F.col("dataset").alias("catalog_id"))
     t = syn.tables(spark, sf_dir)
-    recorded = cut(_findings(spark, sf_dir).where("code = 'present'").withColumn("samples", F.size("sample_ids").cast("long")))
+    recorded = written(_findings(spark, sf_dir).where("code = 'present'").withColumn("samples", F.size("sample_ids").cast("long")), "recorded")
     rows = lookup.answers(queries, t.identifiers.withColumnRenamed("dataset", "query_id"), t.corpora.withColumn("unavailable", F.lit(None).cast("string")), t.records, recorded)
     return rows.select("query_id", "model", "stage", "recorded", "code", "verdict", flat("keys_attempted").alias("keys_attempted"), flat("matched_on").alias("matched_on"), "samples", "cells")
 

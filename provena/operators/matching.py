@@ -14,35 +14,50 @@ from provena.functions import identifiers as ids
 from provena.operators.keys import ASKED, CORPUS
 
 ROW = ["source", "row"]
+#: The columns of records that matching reads.
+READ = [*CORPUS, *ROW, "project", "sample", "cells", "accessions", "pmids", "dois"]
 
 
-def tokens(records: DataFrame) -> DataFrame:
-    """(model, stage, source, row, key, value). Rows without tokens have none; nothing matches on null."""
+def tokens(records: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(model, stage, source, row, key, value) and ``more`` columns of the record. Rows without tokens have none; nothing matches on null.
+
+    A row's token lists hold each token once, so there is nothing to deduplicate here.
+    """
+    own = [*CORPUS, *ROW, *(more or [])]
     each = F.array(*(F.struct(F.lit(key).alias("key"), F.col(column).alias("values")) for key, column in (("accession", "accessions"), ("pmid", "pmids"), ("doi", "dois"))))
-    pairs = records.select(*CORPUS, *ROW, F.explode(each).alias("t"))
-    return pairs.select(*CORPUS, *ROW, "t.key", F.explode("t.values").alias("value")).distinct()
+    pairs = records.select(*own, F.explode(each).alias("t"))
+    return pairs.select(*own, "t.key", F.explode("t.values").alias("value"))
 
 
-def hits(targets: DataFrame, attempts: DataFrame, records: DataFrame) -> DataFrame:
-    """(model, stage, dataset, key, source, row) for every attempted key whose token equals a target.
+def matches(targets: DataFrame, attempts: DataFrame, records: DataFrame) -> DataFrame:
+    """(model, stage, dataset, key, source, row, project, sample, cells, listed) for every attempted key whose token equals a target.
 
-    All keys are always tried: a hit on one doesn't end the search on others.
+    All keys are always tried: a hit on one doesn't end the search on others. What later steps need of the record comes along, so
+    the record isn't joined again; ``listed`` is its first accession.
     """
     tried = attempts.select(*ASKED, F.explode("keys_attempted").alias("key"))
     wanted = targets.select(*ASKED, "key", "value").distinct().join(tried, [*ASKED, "key"])
-    return wanted.join(tokens(records), [*CORPUS, "key", "value"]).select(*ASKED, "key", *ROW).distinct()
+    rows = records.withColumn("listed", F.get("accessions", F.lit(0)))
+    facts = ["project", "sample", "cells", "listed"]
+    found = wanted.join(tokens(rows, facts), [*CORPUS, "key", "value"])
+    # Two targets of one key may hit the same row, whose facts are then the same.
+    return found.select(*ASKED, "key", *ROW, *facts).distinct()
+
+
+def hits(targets: DataFrame, attempts: DataFrame, records: DataFrame) -> DataFrame:
+    """(model, stage, dataset, key, source, row) of the matches."""
+    return matches(targets, attempts, records).select(*ASKED, "key", *ROW)
 
 
 def evidence(found: DataFrame, records: DataFrame) -> DataFrame:
-    """(model, stage, dataset, source, row, sample, cells): the sample rows behind the hits, each once.
+    """(model, stage, dataset, source, row, sample, cells): the sample rows behind the matches, each once.
 
-    A hit on a sample row is that row. A hit on a study row is every sample row of its project in the same corpus;
-    a sample hit is never widened.
+    A match on a sample row is that row. A match on a study row is every sample row of its project in the same corpus;
+    a sample match is never widened.
     """
-    rows = found.select(*ASKED, *ROW).distinct().join(records.select(*CORPUS, *ROW, "project", "sample", "cells"), [*CORPUS, *ROW])
-    own = rows.where("sample is not null").select(*ASKED, *ROW, "sample", "cells")
+    own = found.where("sample is not null").select(*ASKED, *ROW, "sample", "cells")
     samples = records.where("sample is not null and project is not null").select(*CORPUS, *ROW, "project", "sample", "cells")
-    studies = rows.where("sample is null and project is not null").select(*ASKED, "project").distinct()
+    studies = found.where("sample is null and project is not null").select(*ASKED, "project").distinct()
     return own.union(studies.join(samples, [*CORPUS, "project"]).select(*ASKED, *ROW, "sample", "cells")).distinct()
 
 
@@ -53,19 +68,17 @@ def sample_id(sample: Column) -> Column:
 
 
 def summary(attempts: DataFrame, found: DataFrame, records: DataFrame, corpora: DataFrame) -> DataFrame:
-    """The attempts with what was found.
+    """The attempts with what ``matches`` found.
 
     Adds keys_hit, keys_hit_confirmed (on rows of sources that aren't unconfirmed), listed_accessions, sample_ids,
     cells, overlap_level, match_level. Cells add up over evidence rows, never over join multiplicity.
     """
-    doubted = F.broadcast(corpora.select(*CORPUS, "unconfirmed"))
-    first = F.element_at(F.when(F.size("accessions") > 0, F.col("accessions")), 1)
-    rows = found.join(records.select(*CORPUS, *ROW, "accessions"), [*CORPUS, *ROW]).join(doubted, CORPUS)
+    rows = found.join(F.broadcast(corpora.select(*CORPUS, "unconfirmed")), CORPUS)
     sure = ~F.coalesce(F.array_contains("unconfirmed", F.col("source")), F.lit(False))
     matched = rows.groupBy(*ASKED).agg(
         F.sort_array(F.collect_set("key")).alias("keys_hit"),
         F.sort_array(F.collect_set(F.when(sure, F.col("key")))).alias("keys_hit_confirmed"),
-        F.sort_array(F.collect_set(first)).alias("listed_accessions"),
+        F.sort_array(F.collect_set("listed")).alias("listed_accessions"),
     )
     behind = evidence(found, records).groupBy(*ASKED).agg(F.sort_array(F.collect_set(sample_id(F.col("sample")))).alias("sample_ids"), F.sum("cells").alias("cells"))
     out = attempts.join(matched, ASKED, "left").join(behind, ASKED, "left")
@@ -87,7 +100,7 @@ def first_answers(tables: DataFrame) -> DataFrame:
 def through_collections(records: DataFrame, answers: DataFrame) -> DataFrame:
     """Adds to each record the collections and DOIs of the ids in its ``join_cell``, after its own tokens, once."""
     cells = records.select(*CORPUS, *ROW, F.posexplode(ids.accessions(F.col("join_cell"))).alias("at", "id"))
-    joined = cells.join(F.broadcast(answers), "id").groupBy(*CORPUS, *ROW).agg(F.sort_array(F.collect_list(F.struct("at", "collection", "doi"))).alias("j"))
+    joined = cells.join(answers, "id").groupBy(*CORPUS, *ROW).agg(F.sort_array(F.collect_list(F.struct("at", "collection", "doi"))).alias("j"))
     rows = records.join(joined, [*CORPUS, *ROW], "left")
     more = lambda column: F.coalesce(column, F.array().cast("array<string>"))
     found = F.flatten(F.transform(F.col("j.doi"), ids.dois))

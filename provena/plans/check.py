@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from provena.operators import keys, matching, verdict
 from provena.operators.keys import ASKED, CORPUS
-from provena.shared import cut
+from provena.shared import written
 
 NONE = "array<string>"
 
@@ -41,11 +41,11 @@ def findings(tables: Tables, pairs: DataFrame) -> DataFrame:
     listed = corpora.where(~F.col("type").isin("C-vague", "D", "by-design"))
     asked = pairs.select(*ASKED).distinct()
     search = asked.join(F.broadcast(listed.select(*CORPUS)), CORPUS, "left_semi")
-    # Targets, attempts, records and hits are each read by several later steps.
-    targets = cut(keys.usable(search, listed, tables.identifiers))
-    attempts = cut(keys.attempted(search, listed, targets, tables.absent))
-    records = cut(tables.records)
-    found = cut(matching.hits(targets, attempts, records))
+    # Targets, attempts, records and matches are each read by several later steps; of records only the columns that matching reads.
+    targets = written(keys.usable(search, listed, tables.identifiers), "targets")
+    attempts = written(keys.attempted(search, listed, targets, tables.absent), "attempts")
+    records = written(tables.records.select(*matching.READ), "records")
+    found = written(matching.matches(targets, attempts, records), "matches")
     rows = keys.identified(matching.summary(attempts, found, records, listed), targets)
     rows = rows.join(F.broadcast(corpora.select(*CORPUS, "type", "can_prove_presence", "requires_keys", "unconfirmed", "unsearched", "unresolved")), CORPUS)
     rows = verdict.decided(rows.withColumn("checkable", F.lit(True))).withColumn("by_design", F.lit(None).cast("string"))
