@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from provena.functions import identifiers as ids
 from provena.functions import wording
 from provena.operators.keys import CORPUS, exact, filled, identified, usable
+from provena.operators.views import REVIEW_CHECKS
+from provena.shared import written
 
 ISSUES = "code string, severity string, model string, dataset string, place string, message string"
-# Rules that only warn, what a review covers, and where a training list may be published.
+# Rules that only warn.
 WARNINGS = ["G05", "G17", "G18", "G25"]
-REVIEW_CHECKS = ["paper", "manifest", "evaluated_on", "judgment_calls", "plausibility"]
 
 
 def dangling(rows: DataFrame, known: DataFrame, on: str = "dataset") -> DataFrame:
@@ -87,7 +88,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
 
     # Sources.
     add(stale(corpora, today, stale_months), "G05", F.concat(say("as_of is "), col("months").cast("string"), say(" months old")), col("stage"))
-    sources, f = t["sources"], F.broadcast(files)
+    sources, f = t["sources"], files
     committed = sources.where("snapshot is not null").select(*CORPUS, col("snapshot").alias("path"), "sha256")
     tables = sources.select(*CORPUS, F.explode("join_tables").alias("j")).select(*CORPUS, col("j.snapshot").alias("path"), "j.sha256")
     for rows in (committed, tables):
@@ -135,7 +136,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     rows = rows.join(backed, [*CORPUS, "dataset"], "left").join(none, "dataset", "left").withColumn("backed", filled(col("backed")))
     derived = F.sort_array(F.array_except(F.array_intersect(filled(col("none")), exact(col("keys_available"))), "keys_attempted"))
     # Some twenty rules read these rows; they are as many as the registry has findings.
-    rows = rows.withColumn("derived", derived).persist()
+    rows = written(rows.withColumn("derived", derived), "findings")
     add(rows.where(some(F.array_except(exact(tried), "backed"))), "G15", say("an attempted key has no usable identifier"), place)
     add(rows.where(F.sort_array("keys_absent") != col("derived")), "G24", F.concat(say("keys_absent should be "), shown(col("derived"))), place)
     both = t["absent"].join(t["identifiers"].where("confirmed in ('true', 'provisional')").select("dataset", ids.identifier_key(col("type")).alias("key")).distinct(), ["dataset", "key"], "left_semi")
@@ -159,7 +160,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     seen = t["recorded"].select("model", "dataset").distinct()
     add(t["evaluated_on"].join(datasets.select("dataset"), "dataset", "left_semi").join(seen, ["model", "dataset"], "left_anti"), "G17", say("an evaluated dataset has no finding"))
     if rerun is not None:
-        add(rerun.persist(), "G26", F.concat(col("field"), say(" is recorded as "), F.coalesce("recorded", say("none")), say(", and comes out as "), F.coalesce("fresh", say("none"))), place)
+        add(rerun, "G26", F.concat(col("field"), say(" is recorded as "), F.coalesce("recorded", say("none")), say(", and comes out as "), F.coalesce("fresh", say("none"))), place)
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)

@@ -6,14 +6,15 @@ verdicts into a number for a model; counts of verdicts are given for one stage o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import wording
 from provena.operators.keys import CORPUS
 
-# The order in which kinds of dataset and keys of severity are shown.
+# The order in which kinds of dataset are shown, and the parts of a review.
 KINDS = ["perturbation", "observational", "multimodal", "spatial"]
+REVIEW_CHECKS = ["paper", "manifest", "evaluated_on", "judgment_calls", "plausibility"]
 
 
 def placed(value: Column, order: list[str]) -> Column:
@@ -86,6 +87,20 @@ def cards(rows: DataFrame) -> DataFrame:
     return own.groupBy(*CORPUS).agg(kept(yes & ~design).alias("present"), kept(design).alias("by_design"), kept(~yes & ~design).alias("rest"))
 
 
+def classes(models: DataFrame) -> DataFrame:
+    """(place, model_class, models): a section for each class of model that has members, foundation models first; members by name."""
+    group = F.when(F.col("model_class") == "task-specific", F.col("model_class")).otherwise("foundation")
+    rows = models.withColumn("model_class", group).groupBy("model_class").agg(F.sort_array(F.collect_list(F.struct(F.lower("name").alias("k"), "model"))).alias("m"))
+    return rows.select(placed(F.col("model_class"), ["foundation", "task-specific"]).alias("place"), "model_class", F.col("m.model").alias("models")).orderBy("place")
+
+
+def dataset_rows(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """A dataset page's findings, in the order in which it shows them: (dataset, place, model, model_name, draft, stage, relation, verdict, evidence, identity, identity_basis)."""
+    named = rows.drop("draft").join(models.select("model", F.col("name").alias("model_name"), "draft"), "model")
+    order = F.row_number().over(Window.partitionBy("dataset").orderBy(F.lower("model_name"), "stage"))
+    return named.select("dataset", order.alias("place"), "model", "model_name", "draft", "stage", "relation", "verdict", wording.evidence_text().alias("evidence"), "identity", "identity_basis")
+
+
 def by_relation(rows: DataFrame) -> DataFrame:
     """For each stage and relation the findings, sorted by dataset."""
     return rows.groupBy(*CORPUS, "relation").agg(F.sort_array(F.collect_list(F.struct("dataset", "verdict"))).alias("findings"))
@@ -122,6 +137,30 @@ def confirmations(sources: DataFrame) -> DataFrame:
     return sources.groupBy("confirmation").agg(F.count("*").alias("files"), F.count_if(F.col("acquired") == "supplied").alias("supplied"))
 
 
+def how_checked(sources: DataFrame, corpora: DataFrame, models: DataFrame, discovery: DataFrame) -> DataFrame:
+    """(model, by_hash, by_snapshot, rerun, not_rerun, checks, unsearched): what the engine checks of a model, what a person has, and what is open.
+
+    ``rerun`` are the stages all of whose files are committed; ``checks`` the review's parts with whether they are done, none for a draft.
+    """
+    how = sources.groupBy("model").agg(F.count_if(F.col("confirmation") == "url_hash").alias("by_hash"), F.count_if(F.col("confirmation") == "api_snapshot").alias("by_snapshot"))
+    stage = sources.groupBy(*CORPUS).agg(F.bool_and(F.col("snapshot").isNotNull() | F.col("extract").isNotNull()).alias("all")).join(corpora.select(*CORPUS, "corpus_ord"), CORPUS)
+    kept = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("corpus_ord", "stage")))), lambda x: x["stage"])
+    stages = stage.groupBy("model").agg(kept(F.col("all")).alias("rerun"), kept(~F.col("all")).alias("not_rerun"))
+    open_ = discovery.where("not checked").groupBy("model").agg(F.sort_array(F.collect_set("location")).alias("unsearched"))
+    done = lambda x: F.array_contains(F.coalesce("review_checked", F.array().cast("array<string>")), x) & ~F.col("draft")
+    checks = F.transform(F.array(*map(F.lit, REVIEW_CHECKS)), lambda x: F.struct(x.alias("check"), done(x).alias("done")))
+    rows = models.select("model", "draft", "review_checked")
+    for part in (how, stages, open_):
+        rows = rows.join(part, "model", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("model", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("by_hash", "by_snapshot")), *(F.coalesce(c, none).alias(c) for c in ("rerun", "not_rerun")), checks.alias("checks"), F.coalesce("unsearched", none).alias("unsearched"))
+
+
+def cell_counts(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """How many rows there are for each combination of some columns; rows with a null among them don't count."""
+    return rows.na.drop(subset=dims).groupBy(*dims).agg(F.count("*").alias("n"))
+
+
 def totals(records: DataFrame) -> DataFrame:
     """Rows, cells, distinct projects, rows without any token, and rows with several PMIDs, for each source."""
     bare = (F.size("accessions") == 0) & (F.size("pmids") == 0) & (F.size("dois") == 0)

@@ -16,10 +16,11 @@ RECORDS = "model string, stage string, source string, row long, project string,
 UNLISTED = ("C-vague", "D", "by-design")
 
 
-def open_registry(spark: SparkSession, root: str | Path, models: list[str] | None = None, otherwise: Callable | None = None, skip: bool = False) -> tuple[Tables, dict[str, DataFrame], dict[tuple, str]]:
+def open_registry(spark: SparkSession, root: str | Path, models: list[str] | None = None, otherwise: Callable | None = None, skip: bool = False, drafts: bool = True) -> tuple[Tables, dict[str, DataFrame], dict[tuple, str]]:
     """The tables of a check, all registry tables, and what could not be opened by (model, stage).
 
-    A source that is missing or changed raises, or with ``skip`` takes its whole corpus out.
+    A source that is missing or changed raises, or with ``skip`` takes its whole corpus out of the tables of a check: a list is searched
+    as a whole or not at all, so ``unsearched`` is always empty here. Without ``drafts`` entries that nobody has reviewed are left out.
     """
     t = catalog.load(spark, root)
     if models:
@@ -27,6 +28,9 @@ def open_registry(spark: SparkSession, root: str | Path, models: list[str] | Non
         if unknown := set(models) - known:
             raise KeyError(f"unknown models: {sorted(unknown)}")
         t = {k: v.where(F.col("model").isin(models)) if "model" in v.columns else v for k, v in t.items()}
+    if not drafts:
+        reviewed = t["models"].where("not draft").select("model")
+        t = {k: v.join(reviewed, "model", "left_semi") if "model" in v.columns else v for k, v in t.items()}
     locate, found, failed = lists.committed(root, otherwise), None, {}
     types = {(r.model, r.stage): r for r in t["corpora"].select("model", "stage", "type", "resolver").collect()}
     by_corpus: dict[tuple, list[dict]] = {}

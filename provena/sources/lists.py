@@ -5,7 +5,6 @@ A file that is missing or changed raises before any plan is built: a search is w
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import zipfile
 from collections.abc import Callable, Iterator
@@ -150,25 +149,36 @@ class _WorkbookReader(DataSourceReader):
 
 
 def read_list(spark: SparkSession, path: str | Path) -> DataFrame:
-    """A list file's rows as text columns beside ``row``, which counts from 1.
+    """A list file's rows as text columns beside ``row``, which counts from 1 in the file's order.
 
-    CSV: every line that begins with # is dropped, wherever it stands. Lists are small and are read on the driver, for
-    the sake of the row number; for large files use ``read_large_list``.
+    CSV of any size is read in parallel: every line that begins with # is dropped, wherever it stands. Only a file with line breaks inside quotes is
+    read by one task, and a workbook is too.
     """
     if str(path).endswith((".xlsx", ".xlsm")):
         spark.dataSource.register(WorkbookSource)
         return spark.read.format("workbook").load(str(path))
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        rows = list(csv.DictReader(line for line in f if not line.startswith("#")))
-        names = list(rows[0]) if rows else []
-    shape = "row long" + "".join(f", `{n}` string" for n in names)
-    return spark.createDataFrame([(k, *(r[n] for n in names)) for k, r in enumerate(rows, start=1)], shape)
+    path = str(path) if "://" in str(path) else f"file://{Path(path).absolute()}"
+    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    broken = lines.where(quotes % 2 == 1).limit(1).count() > 0
+    rows = spark.read.csv(path, header=True, comment="#", quote='"', escape='"', multiLine=broken)
+    if not rows.columns:
+        return spark.createDataFrame([], "row long")
+    return numbered(rows.select("*", F.col("_metadata.file_block_start").alias("block_"))).drop("block_")
 
 
-def read_large_list(spark: SparkSession, path: str) -> DataFrame:
-    """The same from a file of any size, read in parallel; ``row`` is unique but not consecutive."""
-    rows = spark.read.csv(path, header=True, comment="#", quote='"', escape='"', multiLine=False)
-    return rows.withColumn("row", F.monotonically_increasing_id() + 1)
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``row`` to rows read from one file, with ``block_``, the place in the file where their part begins.
+
+    The parts are counted first; the driver gets two numbers for each.
+    """
+    placed = rows.withColumn("id_", F.monotonically_increasing_id())
+    before, starts = 0, []
+    for block, n, first in placed.groupBy("block_").agg(F.count("*"), F.min("id_")).orderBy("block_").collect():
+        starts += [F.lit(block), F.lit(before - first + 1)]
+        before += n
+    shift = F.element_at(F.create_map(*starts), F.col("block_")) if starts else F.lit(0)
+    return placed.select((F.col("id_") + shift).alias("row"), *(F.col(f"`{c}`") for c in rows.columns))
 
 
 def projected(rows: DataFrame, roles: dict[str, list[str]], join_column: str | None = None) -> DataFrame:
