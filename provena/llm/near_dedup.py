@@ -174,8 +174,9 @@ def verified(pairs: DataFrame, sets: DataFrame, cent: int) -> DataFrame:
 
 def _blocks(ready: DataFrame) -> DataFrame:
     """The members of each bucket in groups (key, low, high): all pairs within a block, and all between two blocks, are in one group each."""
-    sizes = ready.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = ready.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = ready.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    own = ready.join(written(large, "large-buckets"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
 
