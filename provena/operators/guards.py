@@ -42,24 +42,34 @@ def stale(rows: DataFrame, today: str, months: int, date: str = "as_of") -> Data
     return rows.withColumn("months", wording.months_since(F.col(date), F.lit(today).cast("date"))).where(F.col("months") > months)
 
 
+def content(doc: Column) -> Column:
+    """What the findings of an entry rest on: its corpora and its evaluations, as they stand in its JSON."""
+    part = lambda name: F.coalesce(F.get_json_object(doc, f"$.{name}"), F.lit(""))
+    return F.concat(part("corpora"), F.lit("\n"), part("evaluated_on"))
+
+
 def _issue(rows: DataFrame, code: str, message: Column, place: Column | None = None) -> DataFrame:
     have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     severity = "warning" if code in WARNINGS else "error"
     return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), have("model").alias("model"), have("dataset").alias("dataset"), (place if place is not None else F.lit("")).alias("place"), message.alias("message"))
 
 
-def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], files: DataFrame, today: str, stale_months: int = 12, allow_draft: bool = False, broken: list[tuple[str, str]] | None = None, rerun: DataFrame | None = None, fetched: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
-    """All violations of the rules over registry tables ``t`` (see ``provena.sources.catalog``).
+def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], files: DataFrame, today: str, stale_months: int = 12, allow_draft: bool = False, broken: list[tuple[str, str]] | None = None, rerun: DataFrame | None = None, fetched: DataFrame | None = None, before: DataFrame | None = None, codes: set[str] | None = None) -> DataFrame:
+    """All violations of the rules over registry tables ``t`` (see ``provena.sources.catalog``), or of those in ``codes``.
 
     ``files`` is (path, exists, sha256, parent) of committed files; ``broken`` are (id, message) of malformed entries; ``rerun``
     are differences from a fresh run; ``fetched`` is (model, stage, source, sha256 or null) of sources fetched anew; ``before`` is the earlier
-    (model, reviewed_by, reviewed_date, content) for comparison.
+    (model, reviewed_by, reviewed_date, content) for comparison, with the ``content`` of its documents.
     """
     bad = [b for b, _ in broken or []]
     t = {k: v.where(~F.col("model").isin(bad)) if bad and "model" in v.columns else v for k, v in t.items()}
     say, col, shown = F.lit, F.col, wording.shown_list
     out = [spark.createDataFrame([("G00", "error", b, None, "", m) for b, m in broken or []], ISSUES)]
-    add = lambda *a: out.append(_issue(*a))
+
+    def add(rows: DataFrame, code: str, *more: Column) -> None:
+        if codes is None or code in codes:
+            out.append(_issue(rows, code, *more))
+
     models, corpora, datasets = t["models"], t["corpora"], t["datasets"]
     place = F.concat_ws("/", "stage", "dataset")
 
@@ -72,8 +82,9 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     add(repeated(t["recorded"], [*CORPUS, "dataset"]), "G16", say("the dataset appears more than once in this corpus"), place)
 
     # Reviews.
-    draft = _issue(models.where("reviewed_by = ''"), "G10", say("the entry is not reviewed"))
-    out.append(draft.withColumn("severity", say("warning")) if allow_draft else draft)
+    if codes is None or "G10" in codes:
+        draft = _issue(models.where("reviewed_by = ''"), "G10", say("the entry is not reviewed"))
+        out.append(draft.withColumn("severity", say("warning")) if allow_draft else draft)
     add(models.where((col("reviewed_by") != "") & ~col("reviewed_by").isin(sorted(reviewers) or [""])), "G10", say("the reviewer is not listed"))
     left = F.array_except(F.array(*map(F.lit, REVIEW_CHECKS)), filled(col("review_checked")))
     add(models.where(col("reviewed_by").isin(sorted(reviewers) or [""]) & (col("reviewed_by") != "")).withColumn("left", left).where(F.size("left") > 0), "G25", F.concat(say("the review did not cover "), F.array_join("left", ", ")))
@@ -81,7 +92,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     paper = models.withColumn("p", gives).withColumn("key", F.explode(F.array_distinct(filled(col("p.absent.key")))))
     add(paper.where((col("key") == "doi") & col("p.doi").isNotNull() | (col("key") == "pmid") & col("p.pmid").isNotNull()), "G27", F.concat(say("the paper gives and denies its "), col("key")))
     if before is not None:
-        now = models.select("model", "reviewed_by", "reviewed_date", F.to_json(F.struct(F.get_json_object("doc", "$.corpora"), F.get_json_object("doc", "$.evaluated_on"))).alias("content"))
+        now = models.select("model", "reviewed_by", "reviewed_date", content(col("doc")).alias("content"))
         old = before.select("model", *(col(c).alias(f"old_{c}") for c in ("reviewed_by", "reviewed_date", "content")))
         same = col("reviewed_by").eqNullSafe(col("old_reviewed_by")) & col("reviewed_date").eqNullSafe(col("old_reviewed_date"))
         add(now.join(old, "model").where((col("reviewed_by") != "") & same & (col("content") != col("old_content"))), "G03", say("findings changed under an unchanged review"))
@@ -99,7 +110,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     named = sources.where("columns is not null").withColumn("odd", F.array_except(F.flatten(F.map_values("roles")), "columns"))
     add(named.where(F.size("odd") > 0), "G19", F.concat(say("roles name missing columns "), shown(col("odd"))), col("stage"))
     add(sources.where(col("join_column").isNotNull() & ~F.array_contains(filled(col("columns")), col("join_column"))), "G19", say("the join column is not among the columns"), col("stage"))
-    if fetched is not None:
+    if fetched is not None and (codes is None or "G04" in codes):
         new = sources.where("snapshot is null").join(fetched.withColumnRenamed("sha256", "found"), [*CORPUS, "source"])
         changed = _issue(new.where("found is null or found <> sha256 or acquired = 'supplied'"), "G04", F.when(col("found").isNull(), "the source can't be reached").when(col("found") != col("sha256"), "the source has changed").otherwise("the supplied file equals the source, and could be recorded as fetched"), col("stage"))
         out.append(changed.withColumn("severity", F.when(col("message") == "the source has changed", "error").otherwise("warning")))
@@ -135,8 +146,10 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     none = t["absent"].where(col("key").isin(ids.EXACT_KEYS)).groupBy("dataset").agg(F.collect_set("key").alias("none"))
     rows = rows.join(backed, [*CORPUS, "dataset"], "left").join(none, "dataset", "left").withColumn("backed", filled(col("backed")))
     derived = F.sort_array(F.array_except(F.array_intersect(filled(col("none")), exact(col("keys_available"))), "keys_attempted"))
-    # Some twenty rules read these rows; they are as many as the registry has findings.
-    rows = written(rows.withColumn("derived", derived), "findings")
+    # Some twenty rules read these rows.
+    rows = rows.withColumn("derived", derived)
+    if codes is None or len(codes) > 1:
+        rows = written(rows, "findings")
     add(rows.where(some(F.array_except(exact(tried), "backed"))), "G15", say("an attempted key has no usable identifier"), place)
     add(rows.where(F.sort_array("keys_absent") != col("derived")), "G24", F.concat(say("keys_absent should be "), shown(col("derived"))), place)
     both = t["absent"].join(t["identifiers"].where("confirmed in ('true', 'provisional')").select("dataset", ids.identifier_key(col("type")).alias("key")).distinct(), ["dataset", "key"], "left_semi")
@@ -161,7 +174,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     add(t["evaluated_on"].join(datasets.select("dataset"), "dataset", "left_semi").join(seen, ["model", "dataset"], "left_anti"), "G17", say("an evaluated dataset has no finding"))
     if rerun is not None:
         add(rerun, "G26", F.concat(col("field"), say(" is recorded as "), F.coalesce("recorded", say("none")), say(", and comes out as "), F.coalesce("fresh", say("none"))), place)
-    result = out[0]
-    for part in out[1:]:
+    result = out[0] if broken or len(out) == 1 else out[1]
+    for part in out[1 if broken else 2 :]:
         result = result.unionByName(part)
     return result
