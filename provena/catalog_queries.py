@@ -305,9 +305,26 @@ def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*ASKED, "relation", "verdict", "code", *(flat(a).alias(a) for a in arrays), "match_level", "overlap_level", "cells", "identity", "identity_basis", "by_design")
 
 
-@query("decide_verdict", "SELECT model, stage, dataset, verdict, code FROM final")
+# What a search may come to, one case for each order, so that every condition of the decision table decides some. Both engines read it.
+CASES = """SELECT o_orderkey AS k, CASE o_orderkey % 13 WHEN 0 THEN 'by-design' WHEN 1 THEN 'C-vague' WHEN 2 THEN 'D' WHEN 3 THEN 'B' ELSE 'A' END AS type, o_orderkey % 17 <> 4 AS checkable, o_orderkey % 13 <> 3 AS can_prove_presence,
+    CASE WHEN o_orderkey % 5 = 0 THEN ['studies'] ELSE [] END AS unconfirmed, CASE o_orderkey % 7 WHEN 0 THEN ['accession'] WHEN 1 THEN ['pmid'] WHEN 2 THEN ['title'] WHEN 3 THEN ['accession', 'doi'] ELSE [] END AS keys_hit,
+    CASE o_orderkey % 21 WHEN 0 THEN ['accession'] WHEN 1 THEN ['pmid'] WHEN 2 THEN ['title'] WHEN 3 THEN ['doi'] ELSE [] END AS keys_hit_confirmed, CASE WHEN o_orderkey % 11 = 5 THEN ['a third list'] ELSE [] END AS unsearched,
+    CASE o_orderkey % 4 WHEN 0 THEN ['accession', 'pmid'] WHEN 1 THEN ['accession'] WHEN 2 THEN ['title'] ELSE [] END AS keys_attempted, CASE WHEN o_orderkey % 2 = 0 THEN ['accession', 'pmid'] WHEN o_orderkey % 3 = 0 THEN ['accession', 'pmid'] ELSE ['accession'] END AS requires_keys,
+    CASE WHEN o_orderkey % 6 = 3 THEN ['pmid'] ELSE [] END AS keys_absent, CASE o_orderkey % 9 WHEN 4 THEN ['one'] WHEN 6 THEN ['one', 'two', 'three', 'four'] ELSE [] END AS unresolved FROM orders"""
+PARTS["cases"] = CASES
+PARTS["judged"] = """SELECT *, CASE WHEN len(unconfirmed) > 0 THEN list_intersect(keys_hit_confirmed, keys_hit) ELSE keys_hit END AS h, list_filter(requires_keys, lambda x: NOT list_contains(keys_attempted, x) AND NOT list_contains(keys_absent, x)) AS needs FROM cases"""
+
+
+@query(
+    "decide_verdict",
+    """SELECT k, code, CASE code WHEN 'present' THEN 'PRESENT' WHEN 'not_present' THEN 'NOT PRESENT' WHEN 'no_manifest' THEN 'NOT CHECKABLE' ELSE 'INCONCLUSIVE' END AS verdict, code IN ('present', 'not_present') AS without_reason FROM (SELECT k,
+    CASE WHEN type = 'by-design' THEN 'by_design_stage' WHEN type IN ('C-vague', 'D') OR NOT checkable THEN 'no_manifest' WHEN len(unconfirmed) > 0 AND NOT list_has_any(h, ['accession', 'doi', 'pmid']) THEN 'unconfirmed_source'
+    WHEN list_has_any(h, ['accession', 'doi', 'pmid']) THEN CASE WHEN NOT can_prove_presence THEN 'superset' WHEN NOT list_contains(h, 'accession') THEN 'same_publication' ELSE 'present' END
+    WHEN len(h) > 0 THEN 'weak_only' WHEN len(unsearched) > 0 THEN 'unsearched' WHEN NOT list_has_any(keys_attempted, ['accession', 'doi', 'pmid']) THEN 'no_exact_key' WHEN len(needs) > 0 THEN 'missing_required_key' WHEN len(unresolved) > 0 THEN 'unresolved_entries' ELSE 'not_present' END AS code FROM judged)""",
+)
 def decide_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).select(*ASKED, "verdict", "code")
+    rows = verdict.decided(syn.both(spark, sf_dir, CASES).withColumn("listed_accessions", F.array(F.lit("GSE1"))))
+    return rows.select("k", "code", "verdict", F.col("reason").isNull().alias("without_reason"))
 
 
 @query("unconfirmed_cap", "SELECT model, stage, dataset, verdict FROM final WHERE code = 'unconfirmed_source'")
@@ -342,9 +359,16 @@ def compare_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ledger and views --------------------------------------------------------------------------------------------------------
 
 
-@query("ledger_rows", "SELECT dataset, model, stage, verdict FROM final")
+@query(
+    "ledger_rows",
+    """SELECT dataset, array_to_string(e.models, ',') AS evaluated_by, x.n AS exposure, r.n AS reuse FROM datasets LEFT JOIN (SELECT dataset, list_sort(list(model)) AS models FROM evaluated_on GROUP BY dataset) e USING (dataset)
+    LEFT JOIN (SELECT dataset, count(*) AS n FROM expo GROUP BY dataset) x USING (dataset) LEFT JOIN (SELECT x.dataset, count(*) AS n FROM expo x JOIN evaluated_on e ON e.dataset = x.dataset AND e.model <> x.model GROUP BY x.dataset) r USING (dataset)""",
+)
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).select("dataset", "model", "stage", "verdict").orderBy("dataset", "model", "stage")
+    """One row for each dataset of the catalog; counts of none are null."""
+    rows = views.ledger(_findings(spark, sf_dir), syn.base(spark, sf_dir, "datasets"), syn.base(spark, sf_dir, "evaluated_on"))
+    n = lambda c: F.nullif(F.size(c).cast("long"), F.lit(0).cast("long"))
+    return rows.select("dataset", F.nullif(flat("evaluated_by"), F.lit("")).alias("evaluated_by"), n("exposure").alias("exposure"), n("reuse").alias("reuse"))
 
 
 @query("evaluated_by", "SELECT dataset, array_to_string(list_sort(list(model)), ',') AS models FROM evaluated_on GROUP BY dataset")
@@ -368,15 +392,9 @@ def reuse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dataset", "in_training_of", "stage", flat("evaluated_by").alias("models"))
 
 
-GRID = ["m0", "m1", "m2", "m5"]
 STAGES = ["sA", "sN", "sR"]
 
 
-@query("dataset_grid_pivot", "SELECT dataset, " + ", ".join(f"string_agg(DISTINCT CASE WHEN model = '{m}' THEN stage || ': ' || verdict END, '; ' ORDER BY CASE WHEN model = '{m}' THEN stage || ': ' || verdict END) AS {m}" for m in GRID) + " FROM final WHERE model IN ('m0', 'm1', 'm2', 'm5') GROUP BY dataset")
-def dataset_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.grid(_findings(spark, sf_dir).where(F.col("model").isin(GRID)), GRID)
-
-
 @query("dataset_grid", "SELECT d.dataset, d.name, d.kind, " + ", ".join(f"string_agg(DISTINCT CASE WHEN stage = '{s}' THEN model || ': ' || verdict END, '; ' ORDER BY CASE WHEN stage = '{s}' THEN model || ': ' || verdict END) AS {s}" for s in STAGES) + " FROM datasets d LEFT JOIN final USING (dataset) GROUP BY ALL")
 def dataset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All datasets by stage, with the verdicts of all models in a cell: models are too many for columns, stages are few."""
@@ -409,12 +427,7 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cell_counts_by_dims", "SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL")
 def cell_counts_by_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
-    return read(spark, sf_dir, "lineitem").na.drop(subset=dims).groupBy(*dims).agg(F.count("*").alias("n"))
-
-
-@query("source_hash", "SELECT o_orderkey AS k, sha256(o_orderpriority || o_orderkey) AS sha256 FROM orders")
-def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.sha2(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), 256).alias("sha256"))
+    return views.cell_counts(read(spark, sf_dir, "lineitem"), dims)
 
 
 # Lookup ------------------------------------------------------------------------------------------------------------------
@@ -429,46 +442,6 @@ def catalog_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.catalog_match(inputs, syn.base(spark, sf_dir, "datasets").withColumn("name", F.lit(None).cast("string")), syn.base(spark, sf_dir, "identifiers"))
 
 
-LOOKUP = """SELECT 'd' || CAST(p_partkey AS STRING) AS dataset FROM part WHERE p_size = 7"""
-PARTS["asked"] = "SELECT 'd' || p_partkey AS dataset FROM part WHERE p_size = 7"
-
-
-@query(
-    "recorded_wins",
-    "SELECT f.dataset AS query_id, f.model, f.stage, true AS recorded, 'recorded' AS code, f.verdict FROM final f JOIN asked a USING (dataset) WHERE f.by_design IS NULL AND f.code = 'present' "
-    "UNION ALL SELECT a.dataset, c.model, c.stage, false, CASE WHEN c.type = 'by-design' THEN 'by_design_stage' ELSE 'no_manifest' END, CASE WHEN c.type = 'by-design' THEN 'INCONCLUSIVE' ELSE 'NOT CHECKABLE' END FROM asked a CROSS JOIN corp c WHERE c.type IN ('C-vague', 'D', 'by-design')",
-)
-def recorded_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded presences, and the answers that need no list, for the parts of one size looked up by id."""
-    part = read(spark, sf_dir, "part")
-    asked = part.where("p_size = 7").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("query_id"))
-    queries = asked.select("query_id", F.lit("dataset").alias("kind"), F.col("query_id").alias("catalog_id"))
-    own = syn.base(spark, sf_dir, "identifiers").withColumnRenamed("dataset", "query_id").join(asked, "query_id", "left_semi").select("query_id", "ord", "type", "value", "confirmed", "basis")
-    t = syn.tables(spark, sf_dir)
-    recorded = _findings(spark, sf_dir).where("code = 'present'").withColumn("samples", F.size("sample_ids").cast("long"))
-    rows = lookup.answers(queries, own, t.corpora.withColumn("unavailable", F.lit(None).cast("string")), t.records, recorded)
-    return rows.where(F.col("recorded") | F.col("code").isin("by_design_stage", "no_manifest")).select("query_id", "model", "stage", "recorded", "code", "verdict")
-
-
-@query(
-    "paper_query_expansion",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS query_id, 'paper' AS kind, CAST(NULL AS VARCHAR) AS linked_from FROM orders WHERE o_orderkey % 50 = 0
-    UNION ALL SELECT o_orderkey || '/GSE' || o_orderkey, 'dataset', CAST(o_orderkey + 1 AS VARCHAR) FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey % 100 = 0
-    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'unrecognised', NULL FROM orders WHERE o_orderkey % 50 = 1""",
-)
-def paper_query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers become one paper query and one dataset query for each linked series that the cache knows."""
-    orders, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
-    inputs = orders.where("o_orderkey % 50 in (0, 1)").select(k.cast("string").alias("query_id"), F.when(k % 50 == 0, (k + 1).cast("string")).otherwise("no such thing").alias("raw"))
-    one = lambda x: F.array(x)
-    cache = orders.where("o_orderkey % 100 = 0").select(
-        F.lit("pubmed").alias("kind"), (k + 1).cast("string").alias("query"), F.array(F.concat(F.lit("GSE"), k.cast("string")), F.lit("SRP1")).alias("accessions"), one((k + 1).cast("string")).alias("pmids"), F.lit(None).cast("string").alias("doi")
-    )
-    empty = syn.base(spark, sf_dir, "datasets").limit(0)
-    queries, _ = lookup.interpreted(inputs, empty, syn.base(spark, sf_dir, "identifiers").limit(0), cache)
-    return queries.select("query_id", "kind", "linked_from")
-
-
 WIDE = {"pairs": "SELECT c.model, c.stage, d.dataset FROM corpus c CROSS JOIN datasets d", "absent": "SELECT dataset, key FROM absent WHERE false"}
 PARTS |= {f"{n}_all": WIDE.get(n) or re.sub(r"\b(FROM|JOIN) (pairs|absent|search|target|att|hit|evid|hits_|evids|prov|summ|dec)\b", r"\1 \2_all", PARTS[n]) for n in ("pairs", "absent", "search", "target", "att", "hit", "evid", "hits_", "evids", "prov", "summ", "dec", "coded")}
 

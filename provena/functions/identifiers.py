@@ -24,9 +24,14 @@ DOI = r"10\.\d{4,9}/[^\s|;,]+"
 EXACT_KEYS = ["accession", "doi", "pmid"]
 WEAK_KEYS = ["keyword", "title"]
 
+# An accession, a UUID and a PMID by themselves, what a person may type, which cache an identifier belongs to and what it can look up.
 ACCESSION = r"(?iU)(?<![A-Za-z0-9])(" + "|".join(ACCESSION_KINDS) + r")(?![0-9A-Za-z])"
 UUID = r"(?iU)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 PMID = r"(?U)(?<![\d.])(\d{1,9})(?![\d.])"
+TYPED_PMID = r"(?iU)^(?:pmid:?\s*)?(\d{1,9})$"
+PUBMED_ADDRESS = r"(?iU)pubmed\.ncbi\.nlm\.nih\.gov/(\d{1,9})"
+CACHES = {"geo": r"(?iU)^GS[EM]\d+$", "arrayexpress": r"(?iU)^E-[A-Z]{4}-\d+$", "doi": r"(?iU)^10\.\d{4,}/\S+$", "pubmed": r"(?U)^\d+$"}
+EXPANDABLE = r"(?iU)^(GS[EM]\d+|E-[A-Z]{4}-\d+|\d{1,9}|10\.\d{4,}/\S+)$"
 
 
 def stripped(cell: Column) -> Column:
@@ -99,8 +104,8 @@ def parse(raw: Column) -> Column:
     PMIDs only come from a bare number or a PubMed address, and may repeat.
     """
     line = stripped(raw)
-    bare = F.regexp_extract(line, r"(?iU)^(?:pmid:?\s*)?(\d{1,9})$", 1)
-    linked = F.regexp_extract_all(line, F.lit(r"(?iU)pubmed\.ncbi\.nlm\.nih\.gov/(\d{1,9})"), 1)
+    bare = F.regexp_extract(line, TYPED_PMID, 1)
+    linked = F.regexp_extract_all(line, F.lit(PUBMED_ADDRESS), 1)
     own = F.when(bare != "", F.array(bare)).otherwise(F.array().cast("array<string>"))
     return F.struct(accessions(line).alias("accession"), dois(line).alias("doi"), F.concat(own, linked).alias("pmid"))
 
@@ -108,12 +113,7 @@ def parse(raw: Column) -> Column:
 def classify(identifier: Column) -> Column:
     """struct<kind, value>: which cache an identifier belongs to; null for none."""
     s = stripped(identifier)
-    kind = (
-        F.when(s.rlike(r"(?iU)^GS[EM]\d+$"), "geo")
-        .when(s.rlike(r"(?iU)^E-[A-Z]{4}-\d+$"), "arrayexpress")
-        .when(s.rlike(r"(?iU)^10\.\d{4,}/\S+$"), "doi")
-        .when(s.rlike(r"(?U)^\d+$"), "pubmed")
-    )
+    kind = F.coalesce(*(F.when(s.rlike(shape), name) for name, shape in CACHES.items()))
     value = F.when(kind.isin("geo", "arrayexpress"), F.upper(s)).when(kind == "doi", F.lower(s)).otherwise(s)
     return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), value.alias("value")))
 
@@ -129,7 +129,7 @@ def decode_doi(name: Column) -> Column:
 
 def expandable(token: Column) -> Column:
     """Whether a token can be looked up in the crosswalk; a DOI's prefix may be of any length here."""
-    return token.rlike(r"(?iU)^(GS[EM]\d+|E-[A-Z]{4}-\d+|\d{1,9}|10\.\d{4,}/\S+)$")
+    return token.rlike(EXPANDABLE)
 
 
 def ecitmatch(reply: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from provena import sinks
 from provena import synthetic as syn
-from provena.catalog_queries import PARTS, query, read
+from provena.catalog_queries import PARTS, query
 from provena.operators import guards
 
 TODAY = "2026-10-01"
@@ -65,16 +65,8 @@ PARTS |= TABLES | {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of ``TABLES`` in Spark, whose lists are written array(...)."""
-    # Between quotes nothing changes.
-    parts = TABLES[name].split("'")
-    parts[::2] = [p.replace("[]", "CAST(array() AS array<string>)").replace("[", "array(").replace("]", ")") for p in parts[::2]]
-    sql, given = "'".join(parts).replace("{", "{{").replace("}", "}}"), {}
-    for source in ("lineitem", "part", "supplier", "corpus"):
-        if f"FROM {source}" in sql:
-            given[source] = read(spark, sf_dir, source) if source != "corpus" else syn.base(spark, sf_dir, source)
-            sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}")
-    return spark.sql(sql, **given)
+    """One table of ``TABLES`` in Spark."""
+    return syn.both(spark, sf_dir, TABLES[name])
 
 
 def issues(spark: SparkSession, sf_dir: str, code: str | None = None) -> DataFrame:

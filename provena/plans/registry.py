@@ -36,7 +36,8 @@ def open_registry(spark: SparkSession, root: str | Path, models: list[str] | Non
     by_corpus: dict[tuple, list[dict]] = {}
     for s in t["sources"].orderBy("model", "stage", "ord").collect():
         by_corpus.setdefault((s.model, s.stage), []).append(s.asDict(recursive=True))
-    for corpus, sources in by_corpus.items():
+    for corpus in sorted(types):
+        sources = by_corpus.get(corpus, [])
         if types[corpus].type in UNLISTED:
             continue
         try:
@@ -48,7 +49,8 @@ def open_registry(spark: SparkSession, root: str | Path, models: list[str] | Non
                 raise
             failed[corpus] = str(e)
             continue
-        found = part if found is None else found.unionByName(part)
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
     corpora = t["corpora"].withColumn("unsearched", F.array().cast("array<string>"))
     for model, stage in failed:
         corpora = corpora.where((F.col("model") != model) | (F.col("stage") != stage))

@@ -47,6 +47,19 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **given)
 
 
+def both(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over the driver's tables or ``corpus``, in the words that both engines read but for lists: [...] is array(...) here."""
+    # Between quotes nothing changes.
+    parts = sql.split("'")
+    parts[::2] = [p.replace("[]", "CAST(array() AS array<string>)").replace("[", "array(").replace("]", ")") for p in parts[::2]]
+    sql, given = "'".join(parts).replace("{", "{{").replace("}", "}}"), {}
+    for source in ("lineitem", "orders", "part", "supplier", "corpus"):
+        if f"FROM {source}" in sql:
+            given[source] = spark.read.parquet(f"{sf_dir}/{source}.parquet") if source != "corpus" else base(spark, sf_dir, source)
+            sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}")
+    return spark.sql(sql, **given)
+
+
 def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpora with their key lists, unconfirmed files and entries that can't be searched."""
     rows = base(spark, sf_dir, "corpus")
