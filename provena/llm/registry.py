@@ -63,7 +63,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +87,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {}
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+_PLAIN = "length({0}) + length({0}) - length(regexp_replace({0}, '[\\\\\\[\\]<]', '', 'g'))"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The operators whose results SQL can give too. Documents' ids are unique in the driver's tables.
+SQL: dict[str, str] = {
+    # Lengths of the marks: [SYS] and [/SYS] with their blanks have 13 characters, [INST] 15, [OUT] and </s> 10, [ROLE x] and [/ROLE] 16 and the role.
+    "op2_reply_trees": f"""WITH rows AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' {_ORDER})) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(t, '' {_ORDER}) FILTER (r = 'assistant'), '')) AS loss_sha256,
+        CAST(3 + sum(CASE r WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 16 + {_PLAIN.format('r')} END + {_PLAIN.format('t')}) AS BIGINT) AS formatted_chars FROM rows GROUP BY conv_id""",
+    # All pairs of different sets that share a shingle, then the least node that each can reach.
+    "op7_near_dedup": rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+        kinds AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s), items AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM kinds),
+        links AS (SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT rep AS doc, rep AS low FROM kinds UNION SELECT near.b, reach.low FROM reach JOIN near ON near.a = reach.doc WHERE reach.low < near.b),
+        least AS (SELECT doc, min(low) AS low FROM reach GROUP BY doc), found AS (SELECT doc_id, len(sets.s) AS n, coalesce(low, doc_id) AS c FROM sets LEFT JOIN kinds USING (s) LEFT JOIN least ON least.doc = kinds.rep)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM found""",
+    # Each passage of 50 words by its text; all but its first place are repeats, and those that touch are one span.
+    "op8_suffix_dedup": r"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '[ 	-]*[^ 	-]+') AS p, regexp_extract_all(text, '[^ 	-]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+        places AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(list_transform(p, lambda x: length(x))) AS size, unnest(list_transform(w, lambda x: length(x))) AS own, w FROM parts WHERE len(w) >= 50),
+        ends AS (SELECT doc_id, i, sum(size) OVER (PARTITION BY doc_id ORDER BY i) AS e, own, CASE WHEN i + 50 <= len(w) THEN md5(array_to_string(w[i + 1:i + 50], ' ')) END AS k FROM places),
+        spots AS (SELECT a.doc_id, a.i, a.e - a.own AS b, z.e, a.k FROM ends a JOIN ends z ON z.doc_id = a.doc_id AND z.i = a.i + 49),
+        again AS (SELECT doc_id, i, b, e FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM spots) WHERE n > 1),
+        cut AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM again))
+        SELECT doc_id, CAST(min(b) AS BIGINT) AS begin, CAST(max(e) AS BIGINT) AS "end", CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) + 49 AS BIGINT) AS last_word FROM cut GROUP BY doc_id, part""",
+}
