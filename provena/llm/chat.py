@@ -78,10 +78,19 @@ def _paths(messages: DataFrame, leaves: DataFrame) -> DataFrame:
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, depth, role, text) of the ``branches`` best root-to-leaf paths of each tree.
 
-    Messages are (tree string, msg long, parent long, role, text, score double); (tree, msg) is
-    unique. A root has no parent; a message whose parent is missing is a root as well. A branch's score is the mean of its
-    messages' scores, null counts as 0; ties go to the smaller leaf. Messages on a cycle have no leaf and don't appear.
+    Messages are (tree string, msg long, parent long, role, text, score double); of rows that share (tree, msg), repeated ones too, the
+    least (parent, role, text, score) counts, null before all; rows with a null tree or msg are left out. A root has no parent; a message whose parent is
+    missing is a root as well. A branch's score is the mean of its messages' scores, null counts as 0; ties go to the smaller leaf. Messages on a
+    cycle have no leaf and don't appear. Null and empty texts are kept as they are; an empty table gives no rows; other columns are ignored.
     """
+    rows = only(messages, ("tree", "string"), ("msg", "long"), ("parent", "long"), ("role", "string"), ("text", "string"), ("score", "double"))
+    # A struct with a null field comes before others.
+    least = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    return _best(rows.where("tree is not null and msg is not null").groupBy("tree", "msg").agg(least).select("tree", "msg", "m.*"), branches)
+
+
+def _best(messages: DataFrame, branches: int) -> DataFrame:
+    """The same of messages whose (tree, msg) is unique."""
     # A cycle would never run out of jumps: what can't be reached from a root within the rounds is cut off first.
     above = messages.where("parent is not null").select("tree", F.col("parent").alias("msg")).distinct()
     leaves = messages.join(above, ["tree", "msg"], "left_anti").select("tree", F.col("msg").alias("leaf"))
@@ -196,4 +205,4 @@ def linear(conversations: DataFrame) -> DataFrame:
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:
     """Each conversation as formatted rows. An empty table gives none; other columns are ignored."""
-    return format_paths(best_paths(written(linear(conversations), "messages")))
+    return format_paths(_best(written(linear(conversations), "messages"), 1))

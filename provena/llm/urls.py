@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from provena.llm.common import only, written
 
-#: About how many labelled URLs the trees learn from, chosen by hash; all of them if there are fewer.
+#: At most how many different labelled URLs the trees learn from, chosen by hash; all of them if there are fewer.
 SAMPLE = 50_000
 TREES, DEPTH, RATE, BINS, RIDGE = 12, 3, 0.4, 16, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,9 +126,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES) -> Mode
     Without labels everything is allowed; with one kind only, that is the verdict for all.
     """
     labelled = labelled.where("allow is not null")
-    n = labelled.count()
+    n, order = labelled.count(), F.pmod(F.xxhash64("url"), F.lit(1 << 60))
     if n > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < math.ceil(1e6 * sample / n))
+        # A url counts once, however often it occurs; the hash picks about as many rows as are wanted, and the limit makes that a bound.
+        labelled = labelled.where(order < math.ceil((1 << 60) * sample / n)).dropDuplicates(["url"]).orderBy(order, "url").limit(sample)
     rows = written(labelled.select("url", *FEATURES[:-3], *STATS, (~F.col("allow")).cast("double").alias("y")), "urls")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     share = (ones + 0.5) / (n + 1) if n else 0.0

@@ -175,6 +175,35 @@ def test_token_counts_add_up_and_follow_the_rule(spark):
     assert attribution.dealt(np.array([(0, 4, 6)]), np.array([(0, 5), (5, 8)]))[0].tolist() == [0]  # a tie: the first
 
 
+def counted(text, sections):
+    """Section to (tokens, tokens that reach into others, first token), token by token."""
+    out = {k: [0, 0, -1] for k in range(len(sections))}
+    for n, (a, b) in enumerate(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).offsets):
+        b = max(b, a + 1)
+        over = {k: min(b, e) - max(a, s) for k, (s, e) in enumerate(sections) if min(b, e) > max(a, s)}
+        own = out.setdefault(max(over, key=lambda k: (over[k], -k)) if over else -1, [0, 0, -1])
+        own[0] += 1
+        own[1] += len(over) > 1
+        own[2] = n if own[2] < 0 else own[2]
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_sections_against_each_token(spark):
+    texts = ["one two\nthree  four\n\n\nfive", "\n", "", "é ü 中文 😀\n😀😀 x", data.prose(300, 60).replace(" ", "\n"), data.prose(20_000, 61), "a" * 3000]
+    rows = attribution.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE_BPE).collect()
+    for d, text in enumerate(texts):
+        ends = np.cumsum([len(x) + 1 for x in text.split("\n")]).tolist()
+        ends[-1] = len(text)
+        got = {r.section: (r.n_tokens, r.n_crossing, r.first_token) for r in rows if r.doc_id == d}
+        assert got == counted(text, list(zip([0, *ends[:-1]], ends, strict=True)))
+    given = [[(0, 3), (3, 9), (12, 20)], [(1, 2)], [(5, 6), (6, 7), (7, 30)]]
+    text = "alpha beta gamma delta epsilon"
+    docs = spark.createDataFrame([(k, text, g) for k, g in enumerate(given)], "doc_id long, text string, s array<struct<begin:long,end:long>>")
+    rows = attribution.token_counts(docs, BYTE_BPE, "s").collect()
+    for k, g in enumerate(given):
+        assert {r.section: (r.n_tokens, r.n_crossing, r.first_token) for r in rows if r.doc_id == k} == counted(text, g)
+
+
 def test_given_sections(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma", [(0, 5), (6, 10)]), (2, "x", None), (3, None, [])], "doc_id long, text string, s array<struct<begin:long,end:long>>")
     got = {(r.doc_id, r.section): r.n_tokens for r in attribution.token_counts(docs, BYTE_BPE, "s").collect()}
