@@ -1,14 +1,11 @@
-"""What the operators share: the shared folder, written tables, range dealing and tolerant columns."""
+"""What the operators share: batches, range dealing, tolerant columns, and the shared folder's tables."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -17,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provena.shared import dropped, new_path, noted, shared_dir, written  # noqa: F401 (the operators take them from here)
+
 _held: tuple[object, object] | None = None
 
 
@@ -79,57 +78,6 @@ def portions(texts: list[str], most: int = 64, size: int = 1 << 20) -> Iterator[
         yield slice(at, len(texts))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
-
-
-@contextlib.contextmanager
-def noted() -> Iterator[list[str]]:
-    """The paths that are handed out within this context, and nowhere else."""
-    paths: list[str] = []
-    before = _noted.set(paths)
-    try:
-        yield paths
-    finally:
-        _noted.reset(before)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    if (paths := _noted.get()) is not None:
-        paths.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, paths: list[str]) -> None:
-    """Delete the tables at these paths. Call it only when every result built on them has been stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
