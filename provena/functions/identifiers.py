@@ -52,7 +52,9 @@ def accession(value: Column) -> Column:
 
 def accessions(cell: Column) -> Column:
     """Every accession that stands by itself in a cell, in order, once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text(cell), F.lit(ACCESSION), 1), accession))
+    # A token holds no white space, and a UUID has 36 characters.
+    cased = lambda t: F.when((F.length(t) == 36) & t.rlike(UUID), F.lower(t)).otherwise(F.upper(t))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text(cell), F.lit(ACCESSION), 1), cased))
 
 
 def doi(value: Column) -> Column:
