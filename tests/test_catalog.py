@@ -60,5 +60,5 @@ def test_the_grid_has_all_datasets_and_models(spark, tables):
     rows = both(spark, tables, "dataset_grid")
     cells = [c for r in rows for s in ("sA", "sN", "sR") for c in (r[s] or "").split("; ") if c]
     assert {r.dataset for r in rows} == {f"d{p}" for p in range(PARTS)} and {c.split(": ")[0] for c in cells} == {f"m{s}" for s in range(SUPPLIERS)}
-    found = catalog_queries.QUERIES["ledger_rows"](spark, str(tables)).count()
+    found = catalog_queries.QUERIES["check_findings"](spark, str(tables)).count()
     assert len(cells) == found
