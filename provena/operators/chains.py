@@ -15,6 +15,8 @@ from provena.functions import identifiers as ids
 from provena.sources import replies
 
 SAMPLES = "array<struct<accession:string,title:string>>"
+# How records name the replies that they come from.
+FOUND_GDS, TOLD_GDS, FOUND_PUBMED, TOLD_PUBMED, LINKED, STUDY = "esearch.fcgi?db=gds", "esummary.fcgi?db=gds", "esearch.fcgi?db=pubmed", "esummary.fcgi?db=pubmed", "elink.fcgi?dbfrom=pubmed&db=gds", "biostudies:studies"
 RECORD = ["kind", "query", "accessions", "pmids", "doi", "pmcid", "title", "organism", "samples", "sources"]
 
 
@@ -54,7 +56,7 @@ def geo(queries: DataFrame, r: Replies) -> DataFrame:
     rows = rows.select("key", "own", F.when(borrows, F.col("series.pmids")).otherwise(F.col("own.pmids")).alias("pmids"), F.when(borrows & (F.size("own.samples") == 0), F.col("series.samples")).otherwise(F.col("own.samples")).alias("samples"))
     papers = replies.pubmed(replies.summaries(r.pubmed)).groupBy("pmid").agg(F.max(F.struct("doi", "pmcid")).alias("p"))
     rows = rows.withColumn("pmid", F.get("pmids", F.lit(0))).join(papers, "pmid", "left")
-    sources = F.array_compact(F.array(F.lit("esearch.fcgi?db=gds"), F.lit("esummary.fcgi?db=gds"), F.when(F.size("pmids") > 0, "esummary.fcgi?db=pubmed")))
+    sources = F.array_compact(F.array(F.lit(FOUND_GDS), F.lit(TOLD_GDS), F.when(F.size("pmids") > 0, TOLD_PUBMED)))
     return rows.select(
         F.lit("geo").alias("kind"), F.col("key").alias("query"), _once(F.array("key", "own.bioproject", "own.sra")).alias("accessions"), "pmids", "p.doi", "p.pmcid", "own.title", "own.organism", "samples", sources.alias("sources"),
     )
@@ -71,7 +73,7 @@ def papers(queries: DataFrame, r: Replies) -> DataFrame:
     order = lambda a, b: F.when(a["accession"] < b["accession"], -1).when(a["accession"] > b["accession"], 1).otherwise(0)
     samples = F.array_sort(F.array_distinct(F.flatten("s.samples")), order)
     any_link = F.coalesce(F.size("uids"), F.lit(0)) > 0
-    sources = F.array_compact(F.array(F.lit("esummary.fcgi?db=pubmed"), F.lit("elink.fcgi?dbfrom=pubmed&db=gds"), F.when(any_link, "esummary.fcgi?db=gds")))
+    sources = F.array_compact(F.array(F.lit(TOLD_PUBMED), F.lit(LINKED), F.when(any_link, TOLD_GDS)))
     return rows.select(
         F.lit("pubmed").alias("kind"), F.col("pmid").alias("query"), F.coalesce(_once(F.flatten("s.a")), F.array().cast("array<string>")).alias("accessions"), F.array("pmid").alias("pmids"), "p.doi", "p.pmcid", "p.title",
         F.get("s.organism", F.lit(0)).alias("organism"), F.coalesce(samples, F.array().cast(SAMPLES)).alias("samples"), sources.alias("sources"),
@@ -84,7 +86,7 @@ def dois(queries: DataFrame, r: Replies) -> DataFrame:
     hits = replies.found(r.searches.where("db = 'pubmed'"), "term")
     first = queries.select("query", term.alias("term")).join(hits, "term").select("query", F.get("uids", F.lit(0)).alias("pmid")).where("pmid is not null")
     own = papers(first.select(F.col("pmid").alias("query")), r).drop("kind").withColumnRenamed("query", "pmid")
-    rows = first.join(own, "pmid").withColumn("kind", F.lit("doi")).withColumn("sources", F.concat(F.array(F.lit("esearch.fcgi?db=pubmed")), "sources"))
+    rows = first.join(own, "pmid").withColumn("kind", F.lit("doi")).withColumn("sources", F.concat(F.array(F.lit(FOUND_PUBMED)), "sources"))
     return rows.select(*RECORD)
 
 
@@ -93,7 +95,7 @@ def arrays(queries: DataFrame, r: Replies) -> DataFrame:
     rows = queries.select(F.col("query").alias("accession")).distinct().join(replies.studies(r.studies, "accession"), "accession")
     return rows.select(
         F.lit("arrayexpress").alias("kind"), F.col("accession").alias("query"), F.array("accession").alias("accessions"), F.array_compact(F.array("pmid")).alias("pmids"), "doi", _no("string").alias("pmcid"), "title", "organism",
-        F.array().cast(SAMPLES).alias("samples"), F.array(F.lit("biostudies:studies")).alias("sources"),
+        F.array().cast(SAMPLES).alias("samples"), F.array(F.lit(STUDY)).alias("sources"),
     )
 
 

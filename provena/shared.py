@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a session on one machine (tests) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(named)

@@ -56,5 +56,5 @@ def expanded(tokens: DataFrame, cache: DataFrame) -> DataFrame:
         F.when(F.upper("token").startswith("GSE") & F.col("hit"), F.col("accessions")).otherwise(none).alias("accessions"),
         F.coalesce("pmids", none).alias("pmids"), F.when(F.col("doi").isNotNull(), F.array(ids.doi(F.col("doi")))).otherwise(none).alias("dois"),
         F.when(F.col("key").isin("pmid", "doi") & F.col("hit"), series).otherwise(none).alias("linked"),
-        F.when(~F.col("hit"), F.concat(F.lit("Could not expand "), F.col("token"), F.lit("; matched only on what was entered."))).alias("note"),
+        F.when(~F.col("hit"), F.concat(F.col("token"), F.lit(" is not in the crosswalk, so only what was typed is searched"))).alias("note"),
     )
