@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import attribution, chat, decontamination, fingerprints, near_dedup, packing, suffix_dedup, token_files, toxicity, urls
+from provena.llm import attribution, chat, decontamination, fingerprints, infill, near_dedup, packing, rules, suffix_dedup, token_files, toxicity, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read_files(files))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transformed(table(spark, sf_dir, "documents")))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_reply_trees": op2_reply_trees,
@@ -86,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_quality_rules": op13_quality_rules,
 }
 _ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
 _PLAIN = "length({0}) + length({0}) - length(regexp_replace({0}, '[\\\\\\[\\]<]', '', 'g'))"
@@ -107,11 +117,33 @@ SQL: dict[str, str] = {
         least AS (SELECT doc, min(low) AS low FROM reach GROUP BY doc), found AS (SELECT doc_id, len(sets.s) AS n, coalesce(low, doc_id) AS c FROM sets LEFT JOIN kinds USING (s) LEFT JOIN least ON least.doc = kinds.rep)
         SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM found""",
     # Each passage of 50 words by its text; all but its first place are repeats, and those that touch are one span.
-    "op8_suffix_dedup": r"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '[ 	-]*[^ 	-]+') AS p, regexp_extract_all(text, '[^ 	-]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+    "op8_suffix_dedup": r"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '[ 	-
+]*[^ 	-
+]+') AS p, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
         places AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(list_transform(p, lambda x: length(x))) AS size, unnest(list_transform(w, lambda x: length(x))) AS own, w FROM parts WHERE len(w) >= 50),
         ends AS (SELECT doc_id, i, sum(size) OVER (PARTITION BY doc_id ORDER BY i) AS e, own, CASE WHEN i + 50 <= len(w) THEN md5(array_to_string(w[i + 1:i + 50], ' ')) END AS k FROM places),
         spots AS (SELECT a.doc_id, a.i, a.e - a.own AS b, z.e, a.k FROM ends a JOIN ends z ON z.doc_id = a.doc_id AND z.i = a.i + 49),
         again AS (SELECT doc_id, i, b, e FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM spots) WHERE n > 1),
         cut AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM again))
         SELECT doc_id, CAST(min(b) AS BIGINT) AS begin, CAST(max(e) AS BIGINT) AS "end", CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) + 49 AS BIGINT) AS last_word FROM cut GROUP BY doc_id, part""",
+    # Units as a list, whose slices are the parts.
+    "op11_fill_in_middle": r"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        cut AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS h FROM docs),
+        forms AS (SELECT doc_id, t, u, len(u) AS n, h[1] % (len(u) + 1) AS a, h[2] % (len(u) + 1) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+        parts AS (SELECT doc_id, t, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM forms)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts""",
+    # Windows as rows, counted by their three words; the bits of the eight rules.
+    "op13_quality_rules": r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        cut AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
+        spots AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM cut WHERE len(w) >= 3),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM spots) WHERE c > 1),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) AS x(k) GROUP BY r),
+        counts AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+            length(t) - length(replace(t, '!', '')) AS n_marks, length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{L}+', '', 'g')) AS n_letters FROM cut LEFT JOIN covered USING (r)),
+        bits AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(100 * n_symbols > 10 * n_words AS BIGINT) + 8 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT) + 16 * CAST(100 * n_marks > 20 * n_words AS BIGINT)
+            + 32 * CAST(100 * n_upper > 50 * n_letters AS BIGINT) + 64 * CAST(word_chars > 20 * n_words AS BIGINT) + 128 * CAST(word_chars < 2 * n_words AS BIGINT) AS failures FROM counts)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM bits""",
 }
