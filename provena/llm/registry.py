@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import attribution, chat, decontamination, fingerprints, infill, near_dedup, packing, rules, suffix_dedup, token_files, toxicity, urls
+from provena.llm import alignment, attribution, chat, decontamination, fingerprints, infill, near_dedup, packing, rules, suffix_dedup, token_files, toxicity, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transformed(table(spark, sf_dir, "documents")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), alignment.Pair(BYTE_BPE, PIECE_BPE))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_alignment": op12_alignment,
     "op13_quality_rules": op13_quality_rules,
 }
 _ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"

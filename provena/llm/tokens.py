@@ -65,11 +65,12 @@ class Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, offsets: bool = False):
+    def __init__(self, path: str, offsets: bool = False, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.offsets = Tokenizer.from_file(path), offsets
+        self.tokenizer.encode_special_tokens = plain  # special tokens' strings are text like any other
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.bare = "Lowercase" in repr(self.tokenizer.normalizer)
         self.known = Pieces(self._spans if offsets else self._piece)
