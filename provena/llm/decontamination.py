@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import held, only, place_of, small_batches, text_of
+from provena.llm.common import held, only, place_of, small_batches, text_of, written
 
 RATE = 0.05
 #: Items are sent to the tasks in blocks of about this many bytes of text, one pass over the documents for each block. An automaton
@@ -90,25 +90,21 @@ def occurrence(item: str, text: str, budget: int) -> tuple[int, int, int] | None
 
 
 class Scanner:
-    """Finds items in texts. Empty items are never found; items of equal plain form are found together."""
+    """Finds items in texts. An item is (ids, plain form); no form comes twice and none is empty."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[list[int], str]], rate: float = RATE):
         import ahocorasick
 
         self.items: list[tuple[str, int, list[int]]] = []
-        forms: dict[str, list[int]] = defaultdict(list)
-        for key, text in items:
-            if form := plain(text or ""):
-                forms[form].append(key)
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for form, keys in sorted(forms.items()):
+        for keys, form in sorted(items, key=lambda x: x[1]):
             budget = math.floor(rate * len(form))
             if not budget:
                 form = f" {form} "
             cuts = [len(form) * k // (budget + 1) for k in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces[form[a:b]].append((len(self.items), a))
-            self.items.append((form, budget, sorted(set(keys))))
+            self.items.append((form, budget, keys))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in pieces.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -164,14 +160,25 @@ class Block:
         return self.sent.value
 
 
+def forms(benchmark: DataFrame) -> DataFrame:
+    """(form, keys): each plain form of the items once, with the distinct ids that have it, so that no way of dealing them out changes what is found."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(plain)
+
+    items = only(benchmark, ("item_id", "long"), ("text", "string")).where("item_id is not null and text is not null")
+    return items.select("item_id", form("text").alias("form")).where("form <> ''").groupBy("form").agg(F.sort_array(F.collect_set("item_id")).alias("keys"))
+
+
 def blocks(benchmark: DataFrame, rate: float) -> Iterator[Block]:
-    """The items in broadcasts of a bounded size."""
+    """The items in broadcasts of a bounded size, each form in one of them."""
     spark = benchmark.sparkSession
-    items = only(benchmark, ("item_id", "long"), ("text", "string")).where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    items = written(forms(benchmark), "items")
+    size = items.agg(F.sum(F.octet_length("form") + 64 + 8 * F.size("keys"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(n):
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        rows = [(r.keys, r.form) for r in items.where(F.pmod(F.xxhash64("form"), F.lit(n)) == k).select("keys", "form").toLocalIterator()]
         sent = spark.sparkContext.broadcast((rows, rate))
         yield Block(sent, sent._jbroadcast.id())
 
@@ -180,8 +187,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     """(doc_id, item_id, start, end, edits): the best occurrence of each item in each document.
 
     start and end count the document's code points. Null and empty texts and items match nothing;
-    repeated documents give rows each, repeated items with one id give one; a null item_id is left out, a null doc_id is
-    kept; empty tables give no rows; other columns are ignored.
+    repeated documents give rows each. An item is an id and a plain form: rows of one id with equal forms are one item, with different forms as many, each with its
+    rows. A null item_id is left out, a null doc_id is kept; empty tables give no rows; other columns are ignored.
     """
     docs = only(docs, ("doc_id", "long"), ("text", "string"))
     out = None

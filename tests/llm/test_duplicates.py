@@ -360,3 +360,17 @@ def test_myers_against_the_plain_table():
     for _ in range(200):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(1, 12))) for _ in range(2))
         assert min([len(a), *decontamination.distances(a, b)]) == edit_distance(a, b)
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    words = "harbour lantern gravel meadow copper thunder orchard velvet marble signal".split()
+    form = lambda k: " ".join(words[(k * 3 + i * i) % 10] + str(k) for i in range(12))
+    items = [(7, form(1) + "!" * k) for k in range(6)] + [(8, form(1).upper())] + [(9, form(2)), (9, form(3)), (9, form(3))] + [(10 + k, form(10 + k)) for k in range(40)]
+    docs = [(k, f"so {form(k)} and {form(k + 1)} then") for k in range(0, 52)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, decontamination.leaks(df, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 64)
+    many = sorted(map(tuple, decontamination.leaks(df, bench).collect()))
+    assert one == many and len({x[:2] for x in one}) == len(one) - 1  # both forms of item 9 in document 2
+    assert [x[1] for x in one if x[0] == 0] == [7, 8] and [x[1] for x in one if x[0] == 2] == [9, 9]
