@@ -286,7 +286,7 @@ def list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_text",
-    """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 2 THEN 'Inconclusive' ELSE 'Not checkable' END AS short, CASE p_partkey % 3 WHEN 0 THEN 'PMID ' WHEN 1 THEN 'DOI ' ELSE '' END || p_name AS label, CASE WHEN p_partkey % 5 = 0 THEN 'Unreviewed draft' ELSE 'reviewed by ' || p_brand || ', 2026-01-01' END AS provenance,
+    """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 2 THEN 'Inconclusive' ELSE 'Not checkable' END AS short, CASE p_partkey % 3 WHEN 0 THEN 'PMID ' WHEN 1 THEN 'DOI ' ELSE '' END || p_name AS label, CASE WHEN p_partkey % 5 = 0 THEN 'no review yet' ELSE 'signed ' || p_brand || ' on 2026-01-01' END AS provenance,
     'https://r.example/issues/new?template=correction.yml&title=%5Bcorrection%5D%20' || replace(p_name, ' ', '%20') AS correction, 'https://r.example/blob/main/' || CASE WHEN p_partkey % 2 = 0 THEN 'registry' ELSE 'datasets' END || '/' || p_partkey || '.yaml' AS source FROM part""",
 )
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,13 +313,21 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syn.both(spark, sf_dir, ANSWERS).select("k", wording.answer_text().alias("sentence"))
 
 
+# A reason as each code of the decision table records it, for every part; both engines read it.
+REASONS = """SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'no match, but 2 entries of this list cannot be searched exactly (x)' WHEN 1 THEN 'no exact key could be attempted: ' || p_name WHEN 2 THEN 'no match on accession; this manifest needs pmid'
+    WHEN 3 THEN 'no match, but manifest source a was not searched' WHEN 4 THEN 'same publication, matched on PMID' WHEN 5 THEN 'matched on title only — not an exact identifier' WHEN 6 THEN 'the manifest source b is not confirmed' WHEN 7 THEN 'no manifest was published' ELSE p_name END AS reason FROM part"""
+
+
 @query(
     "evidence_words",
-    f"""SELECT k, CASE WHEN by_design IS NOT NULL THEN 'by design; held out for testing: one part.' WHEN verdict = 'PRESENT' THEN CASE WHEN samples > 0 AND cells IS NOT NULL THEN samples || ' sample(s) · ' || format('{{:,}}', cells) || ' cells' WHEN samples > 0 THEN samples || ' sample(s)' WHEN cells IS NOT NULL THEN format('{{:,}}', cells) || ' cells' ELSE 'the study is listed' END
-    WHEN len(keys_absent) > 0 THEN CASE WHEN reason IS NULL THEN '' ELSE reason || ' · ' END || 'none exists: DOI' ELSE coalesce(reason, '—') END AS evidence, CASE WHEN reason IS NOT NULL THEN 'the catalog has no identifier of a kind the list carries' END AS why FROM ({ANSWERS})""",
+    f"""SELECT a.k, CASE WHEN by_design IS NOT NULL THEN 'chosen by its authors for training, apart from one part.' WHEN verdict = 'PRESENT' THEN CASE WHEN samples > 0 AND cells IS NOT NULL THEN samples || ' listed samples, ' || format('{{:,}}', cells) || ' cells' WHEN samples > 0 THEN samples || ' listed samples' WHEN cells IS NOT NULL THEN format('{{:,}}', cells) || ' cells' ELSE 'listed as a study' END
+    WHEN a.reason IS NULL AND len(keys_absent) = 0 THEN 'nothing to show' ELSE concat_ws('; ', a.reason, CASE WHEN len(keys_absent) > 0 THEN 'has no DOI to search for' END) END AS evidence,
+    CASE a.k % 9 WHEN 0 THEN 'parts of its list name no dataset' WHEN 1 THEN 'nothing that its list prints is known of the dataset' WHEN 2 THEN 'a further identifier must be known before the dataset can be ruled out' WHEN 3 THEN 'one of its files is still to be searched' WHEN 4 THEN 'only the publication is in its list'
+    WHEN 5 THEN 'what was found is no identifier' WHEN 6 THEN 'nobody has confirmed one of its files' WHEN 7 THEN 'its training data were never listed' END AS why FROM ({ANSWERS}) AS a""",
 )
 def evidence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syn.both(spark, sf_dir, ANSWERS).select("k", wording.evidence_text().alias("evidence"), wording.why(F.col("reason")).alias("why"))
+    why = syn.both(spark, sf_dir, REASONS).select("k", wording.why_text(wording.why(F.col("reason"))).alias("why"))
+    return syn.both(spark, sf_dir, ANSWERS).select("k", wording.evidence_text().alias("evidence")).join(why, "k")
 
 
 # Sinks and page tables ------------------------------------------------------------------------------------------------------
@@ -378,7 +386,7 @@ def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.classes(led.models).select("model_class", F.col("place").cast("int").alias("place"), F.array_join("models", ",").alias("models"))
 
 
-@query("page_datasets", "SELECT 'd' || s_suppkey AS dataset, CAST(1 AS INTEGER) AS place, 'Model ' || s_suppkey AS model_name, s_suppkey % 4 = 0 AS draft, CASE WHEN s_suppkey % 2 = 0 THEN '—' WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 4) || ' sample(s) · ' || format('{:,}', 1000 * s_suppkey) || ' cells' END AS evidence FROM supplier")
+@query("page_datasets", "SELECT 'd' || s_suppkey AS dataset, CAST(1 AS INTEGER) AS place, 'Model ' || s_suppkey AS model_name, s_suppkey % 4 = 0 AS draft, CASE WHEN s_suppkey % 2 = 0 THEN 'nothing to show' WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 4) || ' listed samples, ' || format('{:,}', 1000 * s_suppkey) || ' cells' END AS evidence FROM supplier")
 def page_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = ledgers.ledger(spark, registry(spark, sf_dir))
     return views.dataset_rows(led.rows, led.models).select("dataset", "place", "model_name", "draft", "evidence")

@@ -64,18 +64,15 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def phrases(rows: DataFrame, corpora: DataFrame) -> DataFrame:
-    """(model, stage, phrase): why findings of a stage are inconclusive or not checkable, in a few words."""
-    open_ = rows.where(F.col("verdict").isin("INCONCLUSIVE", "NOT CHECKABLE")).withColumn("phrase", wording.why(F.col("reason")))
-    total = open_.groupBy(*CORPUS).agg(F.count("*").alias("all"))
-    n = F.size(F.coalesce("unresolved", F.array().cast("array<string>")))
-    names = F.concat(
-        F.lit("its list names "), n.cast("string"), F.when(n == 1, " collection or source").otherwise(" collections or sources"),
-        F.lit(" without their datasets, and a dataset missing from it could be inside one"),
-    )
-    found = open_.where("phrase is not null").groupBy(*CORPUS, "phrase").agg(F.count("*").alias("n")).join(total, CORPUS).join(F.broadcast(corpora.select(*CORPUS, "unresolved")), CORPUS)
-    text = F.when(F.col("phrase") == "unresolved", names).when(F.col("n") < F.col("all"), F.concat(F.lit("for some, "), F.col("phrase"))).otherwise(F.col("phrase"))
-    order = placed(F.col("phrase"), [p for _, p in wording.PHRASES])
-    return found.select(*CORPUS, order.alias("place"), text.alias("phrase")).orderBy(*CORPUS, "place")
+    """(model, stage, place, phrase): why findings of a stage are open, in a few words, by weight; ``in part`` where that isn't true of all its open findings."""
+    open_ = rows.where(F.col("verdict").isin("INCONCLUSIVE", "NOT CHECKABLE")).withColumn("code", wording.why(F.col("reason")))
+    per = open_.groupBy(*CORPUS, "code").agg(F.count("*").alias("n"))
+    stage = Window.partitionBy(*CORPUS)
+    per = per.withColumn("all", F.sum("n").over(stage)).where("code is not null").join(corpora.select(*CORPUS, "unresolved"), CORPUS, "left")
+    some = F.size(F.coalesce("unresolved", F.array().cast("array<string>")))
+    parts = F.when((F.col("code") == "unresolved_entries") & (some > 0), F.concat(some.cast("string"), F.lit(" "))).otherwise("")
+    partly = F.when((F.col("n") < F.col("all")) & (F.col("code") != "unresolved_entries"), "in part: ").otherwise("")
+    return per.select(*CORPUS, placed(F.col("code"), [*wording.PHRASES]).alias("place"), F.concat(partly, parts, wording.why_text(F.col("code"))).alias("phrase")).orderBy(*CORPUS, "place")
 
 
 def cards(rows: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def test_views(spark):
     assert not any("score" in c or "rank" in c for c in views.ledger(rows, names, judged).columns)
     assert [r.dataset for r in views.grid(rows, ["a", "b"], names).collect()] == ["d9", "d1"]
     why = views.phrases(rows, spark.createDataFrame([("a", "s", [])], "model string, stage string, unresolved array<string>")).collect()
-    assert len(why) == 1 and why[0].phrase.startswith("for some, ")
+    assert len(why) == 1 and why[0].phrase.startswith("in part: ")
 
 
 def test_lookup(spark, tmp_path):

@@ -44,7 +44,7 @@ def test_page_tables(spark, root):
     led = ledgers.build(t)
     assert [tuple(r)[1:] for r in views.classes(led.models).collect()] == [("foundation", ["north"]), ("task-specific", ["south"])]
     page = [tuple(r)[1:] for r in views.dataset_rows(led.rows, led.models).where("dataset = 'harbor-atlas'").orderBy("place").collect()]
-    assert [(p[0], p[1], p[3], p[4], p[6]) for p in page] == [(1, "north", False, "pretraining", "PRESENT"), (2, "south", True, "first", "NOT CHECKABLE")] and page[0][7] == "2 sample(s) · 42 cells"
+    assert [(p[0], p[1], p[3], p[4], p[6]) for p in page] == [(1, "north", False, "pretraining", "PRESENT"), (2, "south", True, "first", "NOT CHECKABLE")] and page[0][7] == "2 listed samples, 42 cells"
     how = {r.model: r for r in views.how_checked(t["sources"], t["corpora"], t["models"], t["discovery"]).collect()}
     assert (how["north"].by_hash, how["north"].by_snapshot, how["north"].rerun, how["north"].unsearched) == (2, 0, ["pretraining"], [])
     assert (how["south"].by_snapshot, how["south"].rerun, how["south"].unsearched) == (1, ["second"], ["methods"])
@@ -73,7 +73,7 @@ def test_report_and_csv(spark, root):
     rows = registry.check(spark, root, models=["north"], datasets=["harbor-atlas", "reef", "lagoon"])
     text = [r.line for r in sinks.report(rows).collect()]
     assert text[0] == "INCONCLUSIVE: 1" and text[1].startswith("  reef [tried: pmid] — same publication") and len(text[1]) == 110 and text[1].endswith("...")
-    assert "  harbor-atlas [tried: accession, pmid] — 2 sample(s) · 42 cells" in text
+    assert "  harbor-atlas [tried: accession, pmid] — 2 listed samples, 42 cells" in text
     odd = spark.createDataFrame([("a,b", 'say "x"', None, 1.5), ("two\nlines", "plain", "", 2.0)], "a string, b string, c string, d double")
     assert [r.line for r in sinks.csv_rows(odd).collect()] == ['"a,b","say ""x""",,1.5', '"two\nlines",plain,,2.0']
     assert tuple(sinks.severities(spark.createDataFrame([("error",), ("error",), ("warning",)], "severity string")).first()) == (2, 1)
