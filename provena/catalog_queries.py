@@ -18,7 +18,8 @@ from provena.functions import wording
 from provena.operators import compare, keys, lookup, matching, verdict, views
 from provena.operators.keys import ASKED, CORPUS
 from provena.plans.check import findings
-from provena.shared import written
+from provena.shared import new_path, shuffle_parts, written
+from provena.sources import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -446,22 +447,57 @@ WIDE = {"pairs": "SELECT c.model, c.stage, d.dataset FROM corpus c CROSS JOIN da
 PARTS |= {f"{n}_all": WIDE.get(n) or re.sub(r"\b(FROM|JOIN) (pairs|absent|search|target|att|hit|evid|hits_|evids|prov|summ|dec)\b", r"\1 \2_all", PARTS[n]) for n in ("pairs", "absent", "search", "target", "att", "hit", "evid", "hits_", "evids", "prov", "summ", "dec", "coded")}
 
 
-@query(
-    "lookup_answers",
-    """SELECT a.dataset AS query_id, a.model, a.stage, f.model IS NOT NULL AS recorded, CASE WHEN f.model IS NOT NULL THEN 'recorded' ELSE a.code END AS code, coalesce(f.verdict, CASE a.code WHEN 'present' THEN 'PRESENT' WHEN 'not_present' THEN 'NOT PRESENT' WHEN 'no_manifest' THEN 'NOT CHECKABLE' ELSE 'INCONCLUSIVE' END) AS verdict,
+LOOKUP_SQL = """SELECT a.dataset AS query_id, a.model, a.stage, f.model IS NOT NULL AS recorded, CASE WHEN f.model IS NOT NULL THEN 'recorded' ELSE a.code END AS code, coalesce(f.verdict, CASE a.code WHEN 'present' THEN 'PRESENT' WHEN 'not_present' THEN 'NOT PRESENT' WHEN 'no_manifest' THEN 'NOT CHECKABLE' ELSE 'INCONCLUSIVE' END) AS verdict,
     array_to_string(CASE WHEN f.model IS NOT NULL THEN f.tried ELSE a.tried END, ',') AS keys_attempted, array_to_string(CASE WHEN f.model IS NOT NULL THEN f.found ELSE a.found END, ',') AS matched_on, CASE WHEN f.model IS NOT NULL THEN len(f.samples) WHEN len(a.samples) > 0 THEN len(a.samples) END AS samples, CASE WHEN f.model IS NOT NULL THEN f.cells ELSE a.cells END AS cells
     FROM (SELECT model, stage, dataset, code, tried, found, samples, cells FROM coded_all UNION ALL SELECT c.model, c.stage, d.dataset, CASE WHEN c.type = 'by-design' THEN 'by_design_stage' ELSE 'no_manifest' END, [], [], [], NULL FROM corp c CROSS JOIN datasets d WHERE c.type IN ('C-vague', 'D', 'by-design')) a
-    LEFT JOIN (SELECT * FROM final WHERE code = 'present') f USING (model, stage, dataset)""",
-)
+    LEFT JOIN (SELECT * FROM final WHERE code = 'present') f USING (model, stage, dataset)"""
+
+
+@query("lookup_answers", LOOKUP_SQL)
 def lookup_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dataset looked up by id in every corpus: recorded presences, and fresh answers of all kinds for the rest."""
+    return _answers(*_lookup_tables(spark, sf_dir))
+
+
+def _lookup_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries, their identifiers, corpora, records and recorded findings."""
     queries = syn.base(spark, sf_dir, "datasets").select(F.col("dataset").alias("query_id"), F.lit("dataset").alias("kind"), F.col("dataset").alias("catalog_id"))
     t = syn.tables(spark, sf_dir)
     recorded = written(_findings(spark, sf_dir).where("code = 'present'").withColumn("samples", F.size("sample_ids").cast("long")), "recorded")
-    rows = lookup.answers(queries, t.identifiers.withColumnRenamed("dataset", "query_id"), t.corpora.withColumn("unavailable", F.lit(None).cast("string")), t.records, recorded)
+    return queries, t.identifiers.withColumnRenamed("dataset", "query_id"), t.corpora.withColumn("unavailable", F.lit(None).cast("string")), t.records, recorded
+
+
+def _answers(*tables) -> DataFrame:
+    rows = lookup.answers(*tables)
     return rows.select("query_id", "model", "stage", "recorded", "code", "verdict", flat("keys_attempted").alias("keys_attempted"), flat("matched_on").alias("matched_on"), "samples", "cells")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """The synthetic registry as a stored index: its path, and the queries and identifiers that are looked up in it."""
+    queries, identifiers, corpora, records, recorded = _lookup_tables(spark, sf_dir)
+    path = new_path(spark, "index")
+    small = {"corpora": corpora, "recorded": recorded, "datasets": syn.base(spark, sf_dir, "datasets"), "identifiers": syn.base(spark, sf_dir, "identifiers"), "models": corpora.select("model").distinct()}
+    index.write(records, small, path, max(8, shuffle_parts(spark)))
+    return path, queries, identifiers
+
+
+@query("index_answers", LOOKUP_SQL)
+def index_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``lookup_answers`` from a stored index, without reading a list."""
+    path, queries, identifiers = stored_index(spark, sf_dir)
+    stored = index.open_index(spark, path)
+    return _answers(queries, identifiers, stored.small("corpora"), stored, stored.small("recorded"))
+
+
+@query("index_answers_of_models", LOOKUP_SQL + " WHERE a.model IN (SELECT model FROM corpus WHERE type = 'A+')")
+def index_answers_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset in the models whose lists are complete (type A+): only the shelves of these models are read."""
+    path, queries, identifiers = stored_index(spark, sf_dir)
+    wanted = [r.model for r in syn.base(spark, sf_dir, "corpus").where("type = 'A+'").select("model").distinct().collect()]
+    stored = index.open_index(spark, path, wanted)
+    return _answers(queries, identifiers, stored.small("corpora"), stored, stored.small("recorded"))
+
+
 # What people type, one line for each order: a paper, something unknown, a catalog id, an accession or a catalog name. Both engines read it.
 TYPED = """SELECT o.o_orderkey AS k, CASE o.o_orderkey % 5 WHEN 0 THEN CAST(o.o_orderkey + 1 AS STRING) WHEN 1 THEN 'no such thing' WHEN 2 THEN ' D' || CAST(p.p_partkey AS STRING)
     WHEN 3 THEN 'see GEO-GSE' || CAST(o.o_orderkey AS STRING) || '.' ELSE upper(p.p_name) || ' ' || CAST(p.p_partkey AS STRING) END AS raw FROM orders o CROSS JOIN (SELECT count(*) AS n FROM part) c LEFT JOIN part p ON p.p_partkey = o.o_orderkey % c.n"""

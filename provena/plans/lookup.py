@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provena.operators import lookup as ops
 from provena.plans import registry
-from provena.sources import crosswalk
+from provena.sources import crosswalk, index
 
 CACHE = "kind string, query string, accessions array<string>, pmids array<string>, doi string"
 
@@ -41,14 +41,33 @@ def lookup(spark: SparkSession, root: str | Path, inputs: Iterable[str] | DataFr
     so. Answers also name the model, the sources searched and the review.
     """
     tables, t, failed = registry.open_registry(spark, root, models, otherwise, skip=True, drafts=include_drafts)
+    return _answered(spark, inputs, cache, t | {"corpora": _corpora(spark, t, failed)}, tables.records)
+
+
+def build_index(spark: SparkSession, root: str | Path, path: str, include_drafts: bool = False, otherwise: Callable | None = None, buckets: int = index.BUCKETS) -> None:
+    """Store what lookups need of a registry folder: its reviewed entries, and drafts only with ``include_drafts``."""
+    tables, t, failed = registry.open_registry(spark, root, None, otherwise, skip=True, drafts=include_drafts)
+    index.write(tables.records, t | {"corpora": _corpora(spark, t, failed)}, path, buckets)
+
+
+def lookup_stored(spark: SparkSession, path: str, inputs: Iterable[str] | DataFrame, cache: str | DataFrame | None = None, models: list[str] | None = None) -> Lookup:
+    """The same answers as ``lookup`` gives over the lists, from a stored index alone; ``models`` reads their shelves only."""
+    stored = index.open_index(spark, path, models)
+    return _answered(spark, inputs, cache, {name: stored.small(name) for name in index.SMALL}, stored)
+
+
+def _corpora(spark: SparkSession, t: dict[str, DataFrame], failed: dict[tuple, str]) -> DataFrame:
+    why = spark.createDataFrame([(*corpus, text) for corpus, text in failed.items()], "model string, stage string, unavailable string")
+    return t["corpora"].join(why, ["model", "stage"], "left")
+
+
+def _answered(spark: SparkSession, inputs: Iterable[str] | DataFrame, cache: str | DataFrame | None, t: dict[str, DataFrame], records: DataFrame | index.Index) -> Lookup:
     if cache is None:
         cache = spark.createDataFrame([], CACHE)
     elif not isinstance(cache, DataFrame):
         cache = crosswalk.read(spark, cache)
     queries, identifiers = ops.interpreted(typed(spark, inputs), t["datasets"], t["identifiers"], cache)
-    why = spark.createDataFrame([(*corpus, text) for corpus, text in failed.items()], "model string, stage string, unavailable string")
-    corpora = t["corpora"].join(why, ["model", "stage"], "left")
-    rows = ops.answers(queries, identifiers, corpora, tables.records, t["recorded"])
+    rows = ops.answers(queries, identifiers, t["corpora"], records, t["recorded"])
     shown = t["models"].select("model", F.col("name").alias("model_name"), F.nullif("reviewed_by", F.lit("")).alias("reviewed_by"), "reviewed_date", "draft")
     searched = t["corpora"].select("model", "stage", "sources_searched")
     rows = rows.join(F.broadcast(shown), "model").join(F.broadcast(searched), ["model", "stage"])  # one row for each model and stage
