@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import identifiers as ids
 from provena.operators.keys import ASKED, CORPUS
+from provena.operators.screen import screened
 
 ROW = ["source", "row"]
 #: The columns of records that matching reads.
@@ -29,17 +30,21 @@ def tokens(records: DataFrame, more: list[str] | None = None) -> DataFrame:
     return pairs.select(*own, "t.key", F.explode("t.values").alias("value"))
 
 
-def matches(targets: DataFrame, attempts: DataFrame, records: DataFrame) -> DataFrame:
+def matches(targets: DataFrame, attempts: DataFrame, records: DataFrame, n_targets: int | None = None) -> DataFrame:
     """(model, stage, dataset, key, source, row, project, sample, cells, listed) for every attempted key whose token equals a target.
 
     All keys are always tried: a hit on one doesn't end the search on others. What later steps need of the record comes along, so
-    the record isn't joined again; ``listed`` is its first accession.
+    the record isn't joined again; ``listed`` is its first accession. With the number of targets known (stored tables tell it for nothing), tokens that equal
+    none of them are dropped where they are read, before they would be shuffled.
     """
     tried = attempts.select(*ASKED, F.explode("keys_attempted").alias("key"))
     wanted = targets.select(*ASKED, "key", "value").distinct().join(tried, [*ASKED, "key"])
     rows = records.withColumn("listed", F.get("accessions", F.lit(0)))
     facts = ["project", "sample", "cells", "listed"]
-    found = wanted.join(tokens(rows, facts), [*CORPUS, "key", "value"])
+    each = tokens(rows, facts)
+    if n_targets is not None:
+        each = screened(each, wanted, [*CORPUS, "key", "value"], n_targets)
+    found = wanted.join(each, [*CORPUS, "key", "value"])
     # Two targets of one key may hit the same row, whose facts are then the same.
     return found.select(*ASKED, "key", *ROW, *facts).distinct()
 
@@ -67,6 +72,16 @@ def sample_id(sample: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, 1)).otherwise(sample)
 
 
+def united(rows: DataFrame) -> DataFrame:
+    """(model, stage, dataset, sample_ids, cells) of evidence, the ids sorted and each once.
+
+    First by dataset and sample, which deals a huge project out; what is then one row for each sample is gathered in arrays by the tasks that hold it, and the arrays of
+    a dataset, one from each task, are put together at last.
+    """
+    each = rows.groupBy(*ASKED, sample_id(F.col("sample")).alias("sample_id")).agg(F.sum("cells").alias("cells"))
+    return each.groupBy(*ASKED).agg(F.sort_array(F.collect_list("sample_id")).alias("sample_ids"), F.sum("cells").alias("cells"))
+
+
 def summary(attempts: DataFrame, found: DataFrame, records: DataFrame, corpora: DataFrame) -> DataFrame:
     """The attempts with what ``matches`` found.
 
@@ -80,7 +95,7 @@ def summary(attempts: DataFrame, found: DataFrame, records: DataFrame, corpora:
         F.sort_array(F.collect_set(F.when(sure, F.col("key")))).alias("keys_hit_confirmed"),
         F.sort_array(F.collect_set("listed")).alias("listed_accessions"),
     )
-    behind = evidence(found, records).groupBy(*ASKED).agg(F.sort_array(F.collect_set(sample_id(F.col("sample")))).alias("sample_ids"), F.sum("cells").alias("cells"))
+    behind = united(evidence(found, records))
     out = attempts.join(matched, ASKED, "left").join(behind, ASKED, "left")
     for name in ("keys_hit", "keys_hit_confirmed", "listed_accessions", "sample_ids"):
         out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))

@@ -45,7 +45,7 @@ def findings(tables: Tables, pairs: DataFrame) -> DataFrame:
     targets = written(keys.usable(search, listed, tables.identifiers), "targets")
     attempts = written(keys.attempted(search, listed, targets, tables.absent), "attempts")
     records = written(tables.records.select(*matching.READ), "records")
-    found = written(matching.matches(targets, attempts, records), "matches")
+    found = written(matching.matches(targets, attempts, records, targets.count()), "matches")
     rows = keys.identified(matching.summary(attempts, found, records, listed), targets)
     rows = rows.join(F.broadcast(corpora.select(*CORPUS, "type", "can_prove_presence", "requires_keys", "unconfirmed", "unsearched", "unresolved")), CORPUS)
     rows = verdict.decided(rows.withColumn("checkable", F.lit(True))).withColumn("by_design", F.lit(None).cast("string"))
