@@ -8,41 +8,35 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.operators import compare, guards, structure
+from provena.operators import compare, guards
 from provena.plans import registry
 from provena.plans.check import all_pairs, findings
 from provena.sources import catalog, lists
 
-FILES = "path string, sha256 string, parent string"
-
-
 def _files(spark: SparkSession, root: Path, t: dict[str, DataFrame]) -> DataFrame:
-    """Hash and declared parent of every committed file that a source names and that is there."""
+    """(path, sha256, parent) of every committed file that a source names and that is there."""
     s = t["sources"]
-    named = s.select(F.explode(F.array_compact(F.concat(F.array("snapshot", "extract"), F.col("join_tables.snapshot"))))).distinct().collect()
-    rows = [(r[0], lists.sha256_file(root / r[0]), lists.declared_parent(root / r[0])) for r in named if (root / r[0]).is_file()]
-    return spark.createDataFrame(rows, FILES)
+    named = s.select(F.explode(F.array_compact(F.concat(F.array("snapshot", "extract"), F.col("join_tables.snapshot")))).alias("name")).distinct()
+    return lists.committed_facts(spark, root, named).select(F.col("name").alias("path"), "sha256", "parent")
 
 
 def validate(spark: SparkSession, root: str | Path, today: str | None = None, stale_months: int = 12, allow_draft: bool = False, fetched: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """(code, severity, model, dataset, place, message) of every violation; errors first."""
     root = Path(root)
-    broken = [(doc["id"], m) for _, doc in catalog.entries(root / "registry") for m in structure.entry_faults(doc)]
-    faults = [(doc["id"], m) for _, doc in catalog.entries(root / "datasets") for m in structure.dataset_faults(doc)]
-    bad = {b for b, _ in broken}
-    good = [doc["id"] for _, doc in catalog.entries(root / "registry") if doc["id"] not in bad]
-    if bad:
-        t, rerun = catalog.load(spark, root), None
+    everything = catalog.load(spark, root)
+    faults = everything["faults"]
+    bad = {r.id for r in faults.where("kind = 'model'").select("id").distinct().collect()}
+    good = [r.model for r in everything["models"].select("model").distinct().collect() if r.model not in bad]
+    t, rerun = everything, None
     if good:
-        tables, t, _ = registry.open_registry(spark, root, skip=True, models=good)
+        tables, t, _ = registry.open_registry(spark, root, skip=True, models=good, tables=everything)
         own = tables.splits.select("model", "stage", "dataset")
         pairs = all_pairs(tables.corpora, t["datasets"].select("dataset")).unionByName(own)
         rerun = compare.differences(t["recorded"], findings(tables, pairs))
-    elif not bad:
-        t, rerun = catalog.load(spark, root), None
-    if not good:
+    elif bad:
         t = {k: v.limit(0) if "model" in v.columns else v for k, v in t.items()}
     day = today or datetime.date.today().isoformat()
-    out = guards.issues(spark, t, catalog.reviewers(root), _files(spark, root, t), day, stale_months, allow_draft, None, rerun, fetched, before)
-    more = spark.createDataFrame([("G00", "error", b, None, "", m) for b, m in broken] + [("G00", "error", None, d, "", m) for d, m in faults], guards.ISSUES)
+    out = guards.issues(spark, t, {r.initials for r in everything["reviewers"].collect()}, _files(spark, root, t), day, stale_months, allow_draft, None, rerun, fetched, before)
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    more = faults.select(F.lit("G00").alias("code"), F.lit("error").alias("severity"), of("model").alias("model"), of("dataset").alias("dataset"), F.lit("").alias("place"), "message")
     return out.unionByName(more).orderBy("severity", "code", "place")

@@ -61,6 +61,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def dropped(spark: SparkSession, paths: list[str]) -> None:
     """Delete the tables at these paths. Call it only when every result built on them has been stored."""
     jvm = spark.sparkContext._jvm

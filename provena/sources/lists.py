@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from provena.functions import identifiers as ids
-from provena.sources import quoted
+from provena.shared import written
+from provena.sources import files, quoted
 
 
 class SourceError(Exception):
@@ -29,9 +30,48 @@ def sha256_file(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def hashes(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, sha256) of many files, read in parallel."""
-    return spark.read.format("binaryFile").load(glob).select("path", F.sha2("content", 256).alias("sha256"))
+def address(path: str | Path) -> str:
+    """A local path as an address that Spark reads; other addresses stay as they are."""
+    text = str(path)
+    return text if "://" in text else "file://" + (text.removeprefix("file:") if text.startswith("file:") else str(Path(text).absolute()))
+
+
+def committed_facts(spark: SparkSession, root: str | Path, named: DataFrame) -> DataFrame:
+    """(name, path, size, sha256, parent) of the files under the root with one of the given names, relative to it."""
+    base = F.lit(address(root).split("://", 1)[1].rstrip("/") + "/")
+    place = F.regexp_replace("path", r"^\w+:/+", "/")
+    name = F.substr(place, F.instr(place, base) + F.length(base)).alias("name")
+    found = files.listed(spark, address(root)).withColumn("name", name).join(named, "name", "left_semi")
+    return files.facts(found.select("path", "size")).withColumn("name", name)
+
+
+def located(sources: DataFrame, root: str | Path, folder: str | Path | None = None) -> DataFrame:
+    """The sources with ``path`` and ``how`` (snapshot, folder or extract), or ``problem`` where a list isn't there or isn't the recorded one.
+
+    The files that sources name under the root and those in the publisher's folder are hashed by tasks, and met by name. A source with a snapshot has nothing else; the others
+    are looked for in the folder, under the last part of their address, and then as an extract that names them.
+    """
+    spark = sources.sparkSession
+    named = sources.select(F.explode(F.array_compact(F.array("snapshot", "extract"))).alias("name")).distinct()
+    inside = written(committed_facts(spark, root, named).withColumnRenamed("path", "at"), "facts")
+    kept = lambda column, own: inside.select(F.col("name").alias(column), F.col("at").alias(f"{own}_at"), F.col("sha256").alias(f"{own}_sha256"), F.col("parent").alias(f"{own}_parent"))
+    last = F.element_at(F.split(F.regexp_replace(F.regexp_replace("url", r"^\w+://[^/?#]*", ""), "[?#].*$", ""), "/"), -1)
+    rows = sources.withColumn("file_", F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))))
+    rows = rows.join(kept("snapshot", "s"), "snapshot", "left").join(kept("extract", "e"), "extract", "left")
+    if folder is not None:
+        found = files.facts(files.listed(spark, address(folder)))
+        found = found.select(F.element_at(F.split("path", "/"), -1).alias("file_"), F.col("path").alias("f_at"), F.col("sha256").alias("f_sha256"))
+        rows = rows.join(written(found, "facts"), "file_", "left")
+    else:
+        rows = rows.withColumn("f_at", F.lit(None).cast("string")).withColumn("f_sha256", F.lit(None).cast("string"))
+    whole, own, cut = (F.col("s_sha256") == F.col("sha256")), (F.col("f_sha256") == F.col("sha256")), (F.col("e_parent") == F.col("sha256"))
+    fixed = F.col("snapshot").isNotNull()
+    how = F.when(fixed & whole, "snapshot").when(~fixed & own, "folder").when(~fixed & cut, "extract")
+    said = F.when(fixed, F.concat("snapshot", F.lit(" is missing or has another hash than the recorded one"))).when(
+        F.col("extract").isNotNull(), F.concat("extract", F.lit(" is missing or names another file than the recorded one"))
+    ).otherwise(F.concat(F.coalesce("source", F.lit("the source")), F.lit(" is not committed" if folder is None else " is neither committed nor, as recorded, in the folder")))
+    path = F.when(how == "snapshot", F.col("s_at")).when(how == "folder", F.col("f_at")).when(how == "extract", F.col("e_at"))
+    return rows.select(*(F.col(c) for c in sources.columns), how.alias("how"), path.alias("path"), F.when(how.isNull(), said).alias("problem"))
 
 
 def declared_parent(path: str | Path, lines: int = 10) -> str | None:
@@ -157,7 +197,7 @@ def read_list(spark: SparkSession, path: str | Path) -> DataFrame:
     if str(path).endswith((".xlsx", ".xlsm")):
         spark.dataSource.register(WorkbookSource)
         return spark.read.format("workbook").load(str(path))
-    path = str(path) if "://" in str(path) else f"file://{Path(path).absolute()}"
+    path = address(path)
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     if lines.where(quotes % 2 == 1).limit(1).count():
