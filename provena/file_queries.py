@@ -5,11 +5,12 @@ Files are written into the shared folder from the benchmark tables and read back
 
 from __future__ import annotations
 
-import hashlib
+import io
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from provena.operators import chains, keys, lookup, views
 from provena.plans import ledger as ledgers
 from provena.plans import lookup as lookups
 from provena.shared import new_path
-from provena.sources import catalog, crosswalk, lists, replies
+from provena.sources import catalog, crosswalk, files, lists, replies
 
 def pk() -> Column:
     return F.col("p_partkey")
@@ -37,13 +38,6 @@ def text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def folder(spark: SparkSession, name: str) -> Path:
-    """A new folder under the shared one, on a path that Python opens too."""
-    path = Path(new_path(spark, name).removeprefix("file://").replace("file:", "", 1))
-    path.mkdir(parents=True)
-    return path
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part")
 
@@ -58,52 +52,76 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("csv_scan", "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, 'GSE' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ', \"x\"' ELSE '' END AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS note FROM orders")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a line of a list with comments, empty cells, commas and quotes, read back with consecutive row numbers."""
-    path = folder(spark, "csv") / "list.csv"
-    k = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").orderBy("o_orderkey").select(k, text("GSE", k, F.when(k % 3 == 0, ', "x"').otherwise("")).alias("id"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("note"))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("# a list\nid,note\n")
-        for order, row in zip(rows.select("o_orderkey").toLocalIterator(), sinks.csv_rows(rows.select("id", "note")).toLocalIterator(), strict=True):
-            f.write(("# a page ends here\n" if order[0] % 50 == 0 else "") + row[0] + "\n")
+    path, k = new_path(spark, "csv") + "/list.csv", F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(k, text("GSE", k, F.when(k % 3 == 0, ', "x"').otherwise("")).alias("id"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("note"))
+    lines = rows.select(k, F.concat(F.when(k % 50 == 0, F.lit("# a page ends here\n")).otherwise(""), sinks.csv_line(["id", "note"])).alias("line"))
+    files.joined(lines, ["o_orderkey"], path, ["# a list", "id,note"])
     return lists.read_list(spark, path).withColumnRenamed("row", "row_number")
 
 
-@query("xlsx_scan", "SELECT row_number() OVER (ORDER BY p_partkey) AS row_number, p_name AS name, CAST(p_size AS VARCHAR) || '.0' AS size FROM part")
-def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark, "xlsx") / "book.xlsx"
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="one" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
-        with z.open("xl/worksheets/s.xml", "w") as f:
-            cell = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
-            f.write(f'<worksheet xmlns="{main}"><sheetData><row>{cell("A1", " name")}{cell("B1", "size ")}</row>'.encode())
-            for n, (name, size) in enumerate(parts(spark, sf_dir).orderBy("p_partkey").select("p_name", "p_size").toLocalIterator(), start=2):
-                f.write(f'<row>{cell(f"A{n}", name)}<c r="B{n}"><v>{size}.0</v></c></row><row></row>'.encode())
-            f.write(b"</sheetData></worksheet>")
+@query("csv_quoted", """SELECT row_number() OVER (ORDER BY k, n, note) AS row_number, 'GSM' || k || '-' || n AS id, note FROM (SELECT l_orderkey AS k, l_linenumber AS n,
+    CASE WHEN l_linenumber % 3 = 0 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || chr(10) || '"' || l_returnflag || '",' || chr(10) || chr(10) || '# ' || l_linestatus ELSE l_returnflag || ' by rail' END AS note FROM lineitem)""")
+def csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a row of one list, in which every third has a note over four lines, read back in parallel parts."""
+    path = new_path(spark, "quoted") + "/list.csv"
+    note = F.when(F.col("l_linenumber") % 3 == 0, text(F.col("l_shipdate").cast("date"), '\n"', F.col("l_returnflag"), '",\n\n# ', F.col("l_linestatus"))).otherwise(text(F.col("l_returnflag"), " by rail"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text("GSM", F.col("l_orderkey"), "-", F.col("l_linenumber")).alias("id"), note.alias("note"))
+    files.joined(rows.select("l_orderkey", "l_linenumber", "note", sinks.csv_line(["id", "note"]).alias("line")), ["l_orderkey", "l_linenumber", "note"], path, ["# a list with notes", "id,note"])
     return lists.read_list(spark, path).withColumnRenamed("row", "row_number")
 
 
-def registry(spark: SparkSession, sf_dir: str) -> Path:
-    """A registry folder with a dataset and a model for each supplier; some datasets come twice, some documents are malformed."""
-    root = folder(spark, "registry")
-    for name in ("datasets", "registry"):
-        (root / name).mkdir()
-    for (k,) in suppliers(spark, sf_dir).select("s_suppkey").orderBy("s_suppkey").toLocalIterator():
-        known = [{"type": "geo", "value": f"GSE{k}", "confirmed": "provisional" if k % 3 == 0 else k % 3 == 1, **({"basis": "its title"} if k % 3 == 0 else {})}, {"type": "pmid", "value": k + 1, "confirmed": True}]
-        sets = [{"schema_version": 1, "id": f"d{k}", "name": f"Set {k}", "kind": views.KINDS[k % 4], "identifiers": known}]
-        if k % 10 == 3:
-            sets.append(sets[0] | {"name": f"Later set {k}"})
-        for n, doc in enumerate(sets):
-            (root / f"datasets/d{k}-{n}.yaml").write_text(yaml.safe_dump(doc))
-        finding = {"dataset": f"d{k}", "verdict": "PRESENT", "keys_attempted": ["accession"], "matched_on": ["accession"], "match_level": "dataset", "overlap_level": "study", "samples": k % 4, "cells": 1000 * k} if k % 2 else {"dataset": f"d{k}", "verdict": "NOT CHECKABLE"}
-        corpus = {"stage": "training", "manifest": {"type": "A" if k % 2 else "D", "quote": "q", "as_of": "2026-01-31"}, "result": {"checked": "2026-02-01", "sources_searched": ["s"], "findings": [finding], "caveats": ["c"] * (k % 3)}}
-        review = {"review": {"by": "QR" if k % 4 else " ", "date": "2026-02-02", "checked": ["paper"]}} if k % 5 else {"provenance": {"verified_by": "QR" if k % 4 else "", "verified_date": "2025-05-05"}}
-        judged = sorted({f"d{k}", f"d{k // 2 + 1}"})
-        doc = {"schema_version": 3, "id": f"m{k}", "model": f"Model {k}", "model_class": "task-specific" if k % 7 == 0 else "foundation", "paper": {}, "discovery": {"methods": {"checked": k % 6 != 0}}, "evaluated_on": [{"dataset": d} for d in judged], "corpora": [corpus], **review}
-        (root / f"registry/m{k}.yaml").write_text(yaml.safe_dump(doc))
-    (root / "registry/broken.yaml").write_text("- only\n- a list\n")
-    (root / "reviewers.yaml").write_text("reviewers:\n- initials: QR\n")
+MAIN, REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def workbook(frame: pd.DataFrame) -> bytes:
+    """A workbook of (name, size) rows, with an empty row after each."""
+    cell = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    rows = "".join(f'<row>{cell(f"A{n}", name)}<c r="B{n}"><v>{size}.0</v></c></row><row></row>' for n, (name, size) in enumerate(zip(frame["p_name"], frame["p_size"], strict=True), start=2))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets><sheet name="one" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{MAIN}"><sheetData><row>{cell("A1", " name")}{cell("B1", "size ")}</row>{rows}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+@query("xlsx_scan", "SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_number, p_name AS name, CAST(p_size AS VARCHAR) || '.0' AS size FROM part")
+def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each brand, written by tasks and read back a task each."""
+    path = new_path(spark, "xlsx")
+
+    def book(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f"{key[0]}.xlsx"], "body": [workbook(frame.sort_values("p_partkey"))]})
+
+    files.write(parts(spark, sf_dir).groupBy("p_brand").applyInPandas(book, "name string, body binary"), path)
+    return lists.workbooks(spark, path).select(F.regexp_replace("file", r"\.xlsx$", "").alias("brand"), F.col("row").alias("row_number"), "name", "size")
+
+
+def entry_files(k: int) -> Iterator[tuple[str, str]]:
+    """The YAML files of a supplier: its dataset, some twice, and its model."""
+    known = [{"type": "geo", "value": f"GSE{k}", "confirmed": "provisional" if k % 3 == 0 else k % 3 == 1, **({"basis": "its title"} if k % 3 == 0 else {})}, {"type": "pmid", "value": k + 1, "confirmed": True}]
+    one = {"schema_version": 1, "id": f"d{k}", "name": f"Set {k}", "kind": views.KINDS[k % 4], "identifiers": known}
+    for n, doc in enumerate([one] + [one | {"name": f"Later set {k}"}] * (k % 10 == 3)):
+        yield f"datasets/d{k}-{n}.yaml", yaml.safe_dump(doc)
+    finding = {"dataset": f"d{k}", "verdict": "PRESENT", "keys_attempted": ["accession"], "matched_on": ["accession"], "match_level": "dataset", "overlap_level": "study", "samples": k % 4, "cells": 1000 * k} if k % 2 else {"dataset": f"d{k}", "verdict": "NOT CHECKABLE"}
+    corpus = {"stage": "training", "manifest": {"type": "A" if k % 2 else "D", "quote": "q", "as_of": "2026-01-31"}, "result": {"checked": "2026-02-01", "sources_searched": ["s"], "findings": [finding], "caveats": ["c"] * (k % 3)}}
+    review = {"review": {"by": "QR" if k % 4 else " ", "date": "2026-02-02", "checked": ["paper"]}} if k % 5 else {"provenance": {"verified_by": "QR" if k % 4 else "", "verified_date": "2025-05-05"}}
+    judged = sorted({f"d{k}", f"d{k // 2 + 1}"})
+    doc = {"schema_version": 3, "id": f"m{k}", "model": f"Model {k}", "model_class": "task-specific" if k % 7 == 0 else "foundation", "paper": {}, "discovery": {"methods": {"checked": k % 6 != 0}}, "evaluated_on": [{"dataset": d} for d in judged], "corpora": [corpus], **review}
+    yield f"registry/m{k}.yaml", yaml.safe_dump(doc)
+
+
+def registry(spark: SparkSession, sf_dir: str) -> str:
+    """A registry folder with a dataset and a model for each supplier, written by tasks; some datasets come twice, some documents are malformed."""
+
+    def docs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([x for k in frame["s_suppkey"].tolist() for x in entry_files(k)], columns=["name", "body"])
+
+    rows = suppliers(spark, sf_dir).select("s_suppkey").mapInPandas(docs, "name string, body string")
+    more = [("registry/broken.yaml", "- only\n- a list\n"), ("reviewers.yaml", "reviewers:\n- initials: QR\n")]
+    root = new_path(spark, "registry")
+    files.write(rows.union(spark.createDataFrame(more, "name string, body string")), root)
     return root
 
 
@@ -118,54 +136,44 @@ def yaml_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("yaml_registry", """SELECT 'm' || s_suppkey AS model, s_suppkey % 4 = 0 AS draft, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'QR' END AS reviewed_by, CASE WHEN s_suppkey % 5 <> 0 THEN '2026-02-02' ELSE '2025-05-05' END AS reviewed_date, CASE WHEN s_suppkey % 2 = 1 THEN 'A' ELSE 'D' END AS type, '2026-01-31' AS as_of, s_suppkey % 4 <> 0 AS listed FROM supplier""")
 def yaml_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry entries from YAML: reviews of two shapes, drafts, dates as text, and whether the reviewer is listed."""
-    root = registry(spark, sf_dir)
-    t, known = catalog.load(spark, root), sorted(catalog.reviewers(root))
-    return t["models"].join(t["corpora"].select("model", "type", "as_of"), "model").select("model", "draft", "reviewed_by", "reviewed_date", "type", "as_of", F.col("reviewed_by").isin(known).alias("listed"))
+    t = catalog.load(spark, registry(spark, sf_dir))
+    known = t["reviewers"].select(F.col("initials").alias("reviewed_by"), F.lit(True).alias("known")).distinct()
+    rows = t["models"].join(t["corpora"].select("model", "type", "as_of"), "model").join(known, "reviewed_by", "left")
+    return rows.select("model", "draft", "reviewed_by", "reviewed_date", "type", "as_of", F.coalesce("known", F.lit(False)).alias("listed"))
 
 
 @query("source_hash", "SELECT 's' || s_suppkey || '.txt' AS name, sha256('list ' || s_suppkey || chr(10)) AS sha256 FROM supplier")
 def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each supplier, hashed in parallel."""
-    path = folder(spark, "hashed")
-    for (k,) in suppliers(spark, sf_dir).select("s_suppkey").toLocalIterator():
-        (path / f"s{k}.txt").write_text(f"list {k}\n")
-    return lists.hashes(spark, f"file://{path}/*.txt").select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "sha256")
+    """A file for each supplier, written and hashed by tasks."""
+    path = new_path(spark, "hashed")
+    files.write(suppliers(spark, sf_dir).select(text("s", sk(), ".txt").alias("name"), text("list ", sk(), "\n").alias("body")), path)
+    return files.facts(files.listed(spark, path, "*.txt")).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
 
 
-@query("located_sources", "SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'snapshot' WHEN 1 THEN 'error' WHEN 2 THEN 'folder' WHEN 3 THEN 'extract' WHEN 4 THEN 'error' ELSE 'error' END AS found FROM supplier")
+@query("located_sources", "SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'snapshot' WHEN 2 THEN 'folder' WHEN 3 THEN 'extract' ELSE 'error' END AS found FROM supplier")
 def located_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each source is found: its snapshot, the publisher's folder, its extract, or nowhere, as a hash or a named parent differs."""
-    root, other, out = folder(spark, "root"), folder(spark, "publisher"), []
-    for (k,) in suppliers(spark, sf_dir).select("s_suppkey").orderBy("s_suppkey").toLocalIterator():
-        body = f"id\nGSE{k}\n"
-        sha = hashlib.sha256(body.encode()).hexdigest()
-        source = {"name": f"s{k}", "url": f"https://h.example/a%20{k}.csv?v=1", "sha256": sha}
-        way = k % 6
-        if way < 2:
-            source["snapshot"] = f"s{k}.csv"
-            (root / f"s{k}.csv").write_text(body if way == 0 else "other")
-        elif way == 2:
-            (other / f"a {k}.csv").write_text(body)
-        elif way < 5:
-            source["extract"] = f"x{k}.csv"
-            (other / f"a {k}.csv").write_text("other")
-            (root / f"x{k}.csv").write_text(f"# from it\n# derived-from-sha256: {sha if way == 3 else 'b' * 64}\n{body}")
-        try:
-            at = lists.committed(root, lists.in_folder(other))(source)
-            out.append((k, "folder" if at.parent == other else "snapshot" if way < 2 else "extract"))
-        except lists.SourceError:
-            out.append((k, "error"))
-    return spark.createDataFrame(out, "k long, found string")
+    root, other, way = new_path(spark, "root"), new_path(spark, "publisher"), sk() % 6
+    body = text("id\nGSE", sk(), "\n")
+    rows = suppliers(spark, sf_dir).select(
+        sk().alias("k"), way.alias("way"), body.alias("body"), F.sha2(body, 256).alias("sha256"), text("s", sk()).alias("source"), text("https://h.example/a%20", sk(), ".csv?v=1").alias("url"),
+        F.when(way < 2, text("s", sk(), ".csv")).alias("snapshot"), F.when(way.isin(3, 4), text("x", sk(), ".csv")).alias("extract"),
+    )
+    named = F.when(F.col("way") == 3, F.col("sha256")).otherwise("b" * 64)
+    files.write(rows.where("way < 2").select(F.col("snapshot").alias("name"), F.when(F.col("way") == 0, F.col("body")).otherwise("other").alias("body")).union(
+        rows.where("way in (3, 4)").select("extract", text("# from it\n# derived-from-sha256: ", named, "\n", F.col("body")))), root)
+    files.write(rows.where("way in (2, 3, 4)").select(text("a ", F.col("k"), ".csv").alias("name"), F.when(F.col("way") == 2, F.col("body")).otherwise("other").alias("body")), other)
+    return lists.located(rows, root, other).select("k", F.coalesce("how", F.lit("error")).alias("found"))
 
 
 @query("crosswalk_cache", "SELECT 'doi' AS kind, '10.1000/a_' || s_suppkey AS query, 'GSE' || s_suppkey AS accessions, s_suppkey % 2 = 0 AS hit FROM supplier")
 def crosswalk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOIs looked up in a cache folder that knows every second one."""
-    path = folder(spark, "cache")
+    """DOIs looked up in a cache folder that knows every second one; its records are written by tasks, a file each."""
+    path = new_path(spark, "cache")
     rows = suppliers(spark, sf_dir).select(sk(), text("10.1000/a_", sk()).alias("doi"))
-    for k, doi in rows.where("s_suppkey % 2 = 0").toLocalIterator():
-        crosswalk.write(path, "doi", {"query": doi, "accessions": [f"GSE{k}"], "pmids": [], "doi": doi, "samples": [["GSM1", "t"]]})
-    found = crosswalk.resolve(rows.select(sk(), F.upper("doi").alias("input")), crosswalk.read(spark, f"file://{path}"))
+    sample = F.array(F.struct(F.lit("GSM1").alias("accession"), F.lit("t").alias("title")))
+    crosswalk.store(rows.where("s_suppkey % 2 = 0").select(F.lit("doi").alias("kind"), F.col("doi").alias("query"), F.array(text("GSE", sk())).alias("accessions"), F.array().cast("array<string>").alias("pmids"), "doi", sample.alias("samples")), path)
+    found = crosswalk.resolve(rows.select(sk(), F.upper("doi").alias("input")), crosswalk.read(spark, path))
     return found.select("kind", F.col("value").alias("query"), text("GSE", sk()).alias("accessions"), F.col("hit") & (F.coalesce(flat("accessions"), F.lit("")) == text("GSE", sk())) & (F.size("samples") == 1)).toDF("kind", "query", "accessions", "hit").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
@@ -358,16 +366,17 @@ def index_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extract_rows", "SELECT row_number() OVER (ORDER BY s_suppkey) AS row_number, CAST(s_nationkey AS VARCHAR) AS s_nationkey, s_name, repeat('c', 64) AS parent FROM supplier")
 def extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen columns written as an extract and read back, with the parent that it names."""
-    path = folder(spark, "extract") / "x.csv"
+    path = new_path(spark, "extract") + "/x.csv"
     rows = suppliers(spark, sf_dir).select(sk().alias("row"), "s_name", "s_acctbal", "s_nationkey")
     sinks.extract(rows, ["s_nationkey", "s_name"], path, "c" * 64, ["from the supplier table"])
-    return lists.read_list(spark, path).withColumn("parent", F.lit(lists.declared_parent(path))).withColumnRenamed("row", "row_number")
+    parent = files.facts(files.listed(spark, path.rpartition("/")[0])).first().parent
+    return lists.read_list(spark, path).withColumn("parent", F.lit(parent)).withColumnRenamed("row", "row_number")
 
 
 @query("snapshot_rows", "SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS owner, CAST(p_size AS VARCHAR) AS cells FROM part")
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A release written as a snapshot, whose total must be the published one, and read back."""
-    path = folder(spark, "snapshot") / "s.csv"
+    path = new_path(spark, "snapshot") + "/s.csv"
     p = parts(spark, sf_dir).select(text("p", F.lpad(pk().cast("string"), 9, "0")).alias("id"), F.when(pk() % 4 != 0, F.col("p_brand")).alias("owner"), F.col("p_size").alias("cells"))
     sinks.snapshot(p, ["id", "owner", "cells"], path, "cells", int(p.agg(F.sum("cells")).first()[0]))
     return lists.read_list(spark, path).drop("row")

@@ -1,20 +1,19 @@
 """What goes out: JSON, text reports, the lookup index, CSV, extracts and snapshots.
 
-Tables of any size are written in parallel, as a folder of files. Extracts and snapshots are single files with a header of their own and are
-streamed through the driver, one partition at a time.
+Tables of any size are written in parallel, as a folder of files. Extracts and snapshots are single files with a header of their own: their rows are sorted and written by
+ranges, which one task then puts together.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import wording
+from provena.sources import files
 
 #: Fixed value: where a line of a report ends.
 WIDTH = 110
@@ -81,31 +80,24 @@ def lookup_index(records: DataFrame, t: dict[str, DataFrame], failed: dict[tuple
     json_lines(t["recorded"].orderBy("dataset", "model", "stage"), f"{path}/recorded")
 
 
-def csv_rows(rows: DataFrame) -> DataFrame:
-    """(line): each row as comma-separated text; a field that holds a quote, a comma or a line break stands in quotes."""
-    def field(name: str):
+def csv_line(columns: list[str]) -> Column:
+    """Columns as comma-separated text; a field that holds a quote, a comma or a line break stands in quotes, null is empty."""
+    def field(name: str) -> Column:
         text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
-        return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+        return F.when(text.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    return rows.select(F.concat_ws(",", *map(field, rows.columns)).alias("line"))
+    return F.concat_ws(",", *map(field, columns))
 
 
-def _line(values: list) -> str:
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n").writerow(["" if v is None else v for v in values])
-    return out.getvalue()
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """(line): each row as comma-separated text."""
+    return rows.select(csv_line(rows.columns).alias("line"))
 
 
 def extract(rows: DataFrame, columns: list[str], path: str | Path, parent_sha256: str, said: list[str] | None = None) -> int:
     """Chosen columns of a list's rows, in order of ``row``, under comment lines that name the publisher's file; returns the number of rows."""
-    n = 0
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.writelines(f"# {line}\n" for line in [*(said or []), f"derived-from-sha256: {parent_sha256}"])
-        f.write(_line(columns))
-        for row in rows.orderBy("row").select(*(F.col(f"`{c}`") for c in columns)).toLocalIterator():
-            f.write(_line(list(row)))
-            n += 1
-    return n
+    head = [f"# {line}" for line in [*(said or []), f"derived-from-sha256: {parent_sha256}"]]
+    return _one_file(rows, "row", columns, path, head)
 
 
 def snapshot(rows: DataFrame, columns: list[str], path: str | Path, total_of: str, published: int, said: list[str] | None = None, check: Callable[[int, int], None] | None = None) -> int:
@@ -115,11 +107,15 @@ def snapshot(rows: DataFrame, columns: list[str], path: str | Path, total_of: st
         check(total, published)
     elif total != published:
         raise ValueError(f"{total_of} adds up to {total}, and {published} is published")
-    n = 0
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.writelines(f"# {line}\n" for line in said or [])
-        f.write(_line(columns))
-        for row in rows.select(*(F.col(c).cast("string") for c in columns)).na.fill("").orderBy(columns[0]).toLocalIterator():
-            f.write(_line(list(row)))
-            n += 1
-    return n
+    return _one_file(rows.withColumn("order_", F.coalesce(F.col(columns[0]).cast("string"), F.lit(""))), "order_", columns, path, [f"# {line}" for line in said or []])
+
+
+def _one_file(rows: DataFrame, order: str, columns: list[str], path: str | Path, head: list[str]) -> int:
+    lines = rows.select(F.col(order).alias("order_"), csv_line(columns).alias("line"))
+    files.joined(lines, ["order_"], str(path), [*head, _header(columns)])
+    return rows.count()
+
+
+def _header(columns: list[str]) -> str:
+    quoted = ('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\n\r') else c for c in columns)
+    return ",".join(quoted)

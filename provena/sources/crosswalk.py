@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import identifiers as ids
+from provena.sources import files
 
 SCHEMA = "query string, accessions array<string>, pmids array<string>, doi string, pmcid string, title string, organism string, samples array<array<string>>, retrieved string, sources array<string>"
 
@@ -24,6 +25,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("kind", kind).withColumn("samples", samples).drop("path")
 
 
+def store(records: DataFrame, folder: str) -> None:
+    """Store records (kind, query, and any of ``SCHEMA``'s other columns; samples as accession and title), a file each, written by tasks. Of records with one kind and query one stays."""
+    name = F.concat("kind", F.lit("/"), F.when(F.col("kind") == "doi", ids.encode_doi(F.col("query"))).otherwise(F.col("query")), F.lit(".json"))
+    pair = lambda s: F.array(s["accession"], s["title"])
+    given = [F.transform(c, pair).alias(c) if c == "samples" else F.col(c) for c in (part.split()[0] for part in SCHEMA.split(", ")) if c in records.columns]
+    files.write(records.dropDuplicates(["kind", "query"]).select(name.alias("name"), F.to_json(F.struct(*given)).alias("body")), folder)
+
+
 def write(folder: str | Path, kind: str, record: dict) -> Path:
     """Store one record under its encoded query."""
     name = record["query"].strip().lower().replace("_", "~5f").replace("/", "_") if kind == "doi" else record["query"]

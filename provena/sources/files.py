@@ -102,7 +102,7 @@ def write(rows: DataFrame, folder: str) -> None:
 
 
 def listed(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, size) of the files anywhere under a folder whose name fits; no rows if there are none."""
+    """(path, size) of the files anywhere under a folder whose name fits; no rows if there are none. Spark's readers pass over empty files, and so does this."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).schema("path string, modificationTime timestamp, length long, content binary")
     return rows.load(str(folder)).select("path", F.col("length").alias("size"))
 

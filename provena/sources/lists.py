@@ -129,7 +129,8 @@ def _sheet(path: str) -> Iterator[list[str | None]]:
     """The rows of a workbook's first sheet, as the cells are stored."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(path) as z:
+    system, at = files.opened(path)
+    with system.open_input_file(at) as stored, zipfile.ZipFile(stored) as z:
         words = []
         if "xl/sharedStrings.xml" in z.namelist():
             words = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
@@ -163,30 +164,52 @@ def sheet_rows(path: str | Path) -> Iterator[dict[str, str | None]]:
 
 
 class WorkbookSource(DataSource):
-    """``spark.read.format("workbook").load(path)``: one partition per file; all columns are text, ``row`` counts from 1."""
+    """``spark.read.format("workbook").load(path)``: a workbook or a folder of workbooks with the same columns, one task for each; all columns are text, ``row`` counts from 1 in each file.
+
+    A folder's rows also have ``file``, the name of theirs.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
+    def _books(self) -> tuple[list[str], bool]:
+        from pyarrow import fs
+
+        path = self.options["path"]
+        system, at = files.opened(path)
+        if system.get_file_info(at).type != fs.FileType.Directory:
+            return [path], False
+        inside = system.get_file_info(fs.FileSelector(at, recursive=True))
+        found = sorted(x.path for x in inside if x.type == fs.FileType.File and x.path.endswith((".xlsx", ".xlsm")) and not x.base_name.startswith(("_", ".")))
+        return [path.rstrip("/") + x.removeprefix(at.rstrip("/")) for x in found], True
+
     def schema(self) -> str:
-        names = next(_sheet(self.options["path"]), [])
-        return "row long, " + ", ".join(f"`{(n or '').strip()}` string" for n in names)
+        books, many = self._books()
+        names = next(_sheet(books[0]), []) if books else []
+        return ", ".join(["row long", *(["file string"] if many else []), *(f"`{(n or '').strip()}` string" for n in names)])
 
     def reader(self, schema) -> DataSourceReader:
-        return _WorkbookReader(self.options["path"], schema.names[1:])
+        books, many = self._books()
+        return _WorkbookReader(books, many, schema.names[1 + many :])
 
 
 class _WorkbookReader(DataSourceReader):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path, names
+    def __init__(self, books: list[str], many: bool, names: list[str]):
+        self.books, self.many, self.names = books, many, names
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+        return [InputPartition(book) for book in self.books]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        file = [partition.value.rsplit("/", 1)[-1]] * self.many
         for n, row in enumerate(sheet_rows(partition.value), start=1):
-            yield n, *(row.get(c) for c in self.names)
+            yield n, *file, *(row.get(c) for c in self.names)
+
+
+def workbooks(spark: SparkSession, path: str | Path) -> DataFrame:
+    spark.dataSource.register(WorkbookSource)
+    return spark.read.format("workbook").load(address(path))
 
 
 def read_list(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -195,8 +218,7 @@ def read_list(spark: SparkSession, path: str | Path) -> DataFrame:
     CSV of any size is read in parallel, with line breaks inside quotes too. Lines that begin with # are dropped where a row would begin. A workbook is read by one task.
     """
     if str(path).endswith((".xlsx", ".xlsm")):
-        spark.dataSource.register(WorkbookSource)
-        return spark.read.format("workbook").load(str(path))
+        return workbooks(spark, path)
     path = address(path)
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
