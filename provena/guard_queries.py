@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from provena import sinks
 from provena import synthetic as syn
 from provena.catalog_queries import PARTS, query
-from provena.operators import guards
+from provena.operators import guards, versions
 
 TODAY = "2026-10-01"
 ALL_CHECKS = "['paper', 'manifest', 'evaluated_on', 'judgment_calls', 'plausibility']"
@@ -147,3 +147,22 @@ for _code, _parts in RULES.items():
 def guard_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many errors and warnings all rules find."""
     return sinks.severities(issues(spark, sf_dir))
+
+
+# Registry files of two states: of each supplier twelve lines, eight of them its own. Every fifth file has another name now, of which every second also changed two lines; every fifth one is new.
+@query(
+    "review_renames",
+    """SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'n' ELSE 'm' END || s_suppkey || CASE WHEN s_suppkey % 5 = 1 THEN 'x' ELSE '' END || '.yaml' AS file, CASE WHEN s_suppkey % 5 <> 1 THEN 'm' || s_suppkey || '.yaml' END AS before FROM supplier""",
+)
+def review_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which earlier file each registry file comes from."""
+    k = F.col("s_suppkey")
+    s = k.cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    everywhere = F.array(*(F.lit(f"a line of every file, number {n}") for n in range(4)))
+    own = lambda kind: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.concat(F.when((kind == 2) | (kind == 1) & (n < 3), F.lit("now line ")).otherwise("line "), n.cast("string"), F.lit(" of "), s, F.lit(", "), F.col("s_name")))
+    text = lambda kind: F.array_join(F.concat(everywhere, own(kind)), "\n")
+    before = rows.select(F.concat(F.lit("m"), s, F.lit(".yaml")).alias("file"), text(F.lit(0)).alias("text"))
+    name = F.concat(F.when(k % 5 == 0, "n").otherwise("m"), s, F.when(k % 5 == 1, "x").otherwise(""), F.lit(".yaml"))
+    now = rows.select(name.alias("file"), text(F.when(k % 10 == 0, 1).when(k % 5 == 1, 2).otherwise(0)).alias("text"))
+    return versions.renamed(now, before)
