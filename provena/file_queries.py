@@ -295,13 +295,14 @@ def list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "label_text",
     """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 2 THEN 'Inconclusive' ELSE 'Not checkable' END AS short, CASE p_partkey % 3 WHEN 0 THEN 'PMID ' WHEN 1 THEN 'DOI ' ELSE '' END || p_name AS label, CASE WHEN p_partkey % 5 = 0 THEN 'no review yet' ELSE 'signed ' || p_brand || ' on 2026-01-01' END AS provenance,
-    'https://r.example/issues/new?template=correction.yml&title=%5Bcorrection%5D%20' || replace(p_name, ' ', '%20') AS correction, 'https://r.example/blob/main/' || CASE WHEN p_partkey % 2 = 0 THEN 'registry' ELSE 'datasets' END || '/' || p_partkey || '.yaml' AS source FROM part""",
+    'https://r.example/issues/new?template=correction.yml&title=%5Bcorrection%5D%20' || replace(p_name, ' ', '%20') AS correction, 'https://r.example/blob/main/' || CASE WHEN p_partkey % 2 = 0 THEN 'registry' ELSE 'datasets' END || '/' || p_partkey || '.yaml' AS source, 'https://r.example/issues/new?template=add-dataset.yml&title=%5Badd-dataset%5D%20GSE' || p_partkey AS addition, 'https://r.example/blob/main/docs/RULES.md' AS rules FROM part""",
 )
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (pk() % len(v) + 1).cast("int"))
     return parts(spark, sf_dir).select(
         pk().alias("k"), wording.short(pick("PRESENT", "NOT PRESENT", "INCONCLUSIVE", "NOT CHECKABLE")).alias("short"), wording.identifier_label(pick("pmid", "doi", "geo"), F.col("p_name")).alias("label"),
         wording.provenance_text(pk() % 5 == 0, F.col("p_brand"), F.lit("2026-01-01")).alias("provenance"), wording.correction_url("https://r.example", F.col("p_name")).alias("correction"), wording.source_url("https://r.example", F.when(pk() % 2 == 0, "model").otherwise("dataset"), text(pk())).alias("source"),
+        wording.addition_url("https://r.example", text("GSE", pk())).alias("addition"), wording.rules_url("https://r.example").alias("rules"),
     )
 
 
@@ -409,7 +410,7 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("model", done("paper").alias("paper_read"), done("manifest").alias("manifest_read"), F.array_join("unsearched", ",").alias("unsearched"))
 
 
-@query("page_judgments", "SELECT 'm' || s_suppkey AS model, 'the wording of ' || (s_suppkey % 3) || CASE WHEN s_suppkey % 3 = 1 THEN ' caveat' ELSE ' caveats' END AS call FROM supplier WHERE s_suppkey % 3 > 0")
+@query("page_judgments", "SELECT 'm' || s_suppkey AS model, 'caveats as worded: ' || (s_suppkey % 3) AS call FROM supplier WHERE s_suppkey % 3 > 0")
 def page_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = catalog.load(spark, registry(spark, sf_dir))
     return views.judgment_calls(t["recorded"], t["datasets"], t["corpora"]).select("model", "call")

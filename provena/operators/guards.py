@@ -6,7 +6,7 @@ Rows are (code, severity, model, dataset, place, message). Entries that break th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.functions import identifiers as ids
@@ -25,6 +25,11 @@ def dangling(rows: DataFrame, known: DataFrame, on: str = "dataset") -> DataFram
     return rows.join(known.select(on).distinct(), on, "left_anti")
 
 
+def numbered(issues: DataFrame) -> DataFrame:
+    """Adds ``n``, from 1, among a model's violations: errors first, then by rule and place."""
+    return issues.withColumn("n", F.row_number().over(Window.partitionBy("model").orderBy("severity", "code", "place")))
+
+
 def repeated(rows: DataFrame, on: list[str]) -> DataFrame:
     """Keys that occur more than once, and how often."""
     return rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")

@@ -104,20 +104,79 @@ def by_relation(rows: DataFrame) -> DataFrame:
 
 
 def judgment_calls(rows: DataFrame, datasets: DataFrame, corpora: DataFrame) -> DataFrame:
-    """(model, dataset, stage, call): what rests on a person's judgment, in words; caveats are counted once for each model."""
-    named = rows.join(datasets.select("dataset", "name"), "dataset", "left").withColumn("name", F.coalesce(F.when(F.col("name") != "", F.col("name")), F.col("dataset")))
-    stage = F.concat(F.lit(" ("), F.col("stage"), F.lit(")"))
-    say = lambda *parts: F.concat(F.col("name"), *parts, stage)
-    calls = F.array_compact(F.array(
-        F.when(F.col("identity") == "provisional", say(F.lit(": provisional identity"))),
-        F.when(F.size("keys_absent") > 0, say(F.lit(": no "), wording.key_names(F.col("keys_absent"), ", "), F.lit(" exists, recorded with evidence"))),
-        F.when(F.coalesce("identity_note", F.lit("")) != "", say(F.lit(": a paper-level match accepted as this dataset"))),
-        F.when(F.coalesce("by_design", F.lit("")) != "", say(F.lit(": trained on by design, holding out "), F.col("by_design"))),
-    ))
-    out = named.select("model", "dataset", "stage", F.posexplode(calls).alias("place", "call"))
-    n = F.sum(F.greatest(F.size("caveats"), F.lit(0)))
-    caveats = corpora.groupBy("model").agg(n.alias("n")).where("n > 0").select("model", F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("string").alias("stage"), F.lit(9).alias("place"), F.concat(F.lit("the wording of "), F.col("n").cast("string"), F.when(F.col("n") == 1, " caveat").otherwise(" caveats")).alias("call"))
-    return out.unionByName(caveats)
+    """(model, dataset, stage, place, call): what rests on a person's judgment, in words; caveats are counted once for each model."""
+    named = rows.join(datasets.select("dataset", "name"), "dataset", "left")
+    subject = F.concat(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("dataset")), F.lit(" in "), F.col("stage"))
+    given = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
+    calls = [
+        F.when(F.col("identity") == "provisional", F.lit("is the dataset meant")),
+        F.when(F.size("keys_absent") > 0, F.concat(F.lit("has no "), wording.key_names(F.col("keys_absent"), " and no "))),
+        F.when(given("identity_note"), F.lit("is what its paper was matched for")),
+        F.when(given("by_design"), F.concat(F.lit("was left out of training in part: "), F.col("by_design"))),
+    ]
+    said = F.transform(F.array_compact(F.array(*calls)), lambda call: F.concat(subject, F.lit(": "), call))
+    out = named.select("model", "dataset", "stage", F.posexplode(said).alias("place", "call"))
+    nothing = F.lit(None).cast("string")
+    caveats = corpora.groupBy("model").agg(F.sum(F.greatest(F.size("caveats"), F.lit(0))).alias("n")).where("n > 0")
+    return out.unionByName(caveats.select("model", nothing.alias("dataset"), nothing.alias("stage"), F.lit(9).alias("place"), F.concat(F.lit("caveats as worded: "), F.col("n").cast("string")).alias("call")))
+
+
+def review_points(t: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
+    """(model, check, place, point): what a reviewer looks at under each part of a review, from registry tables ``t`` and the ledger's rows.
+
+    The paper's address and keys; for each corpus what was published and what of it can't be searched; the datasets of the paper's evaluations; judgment calls; and how many findings
+    have each verdict.
+    """
+    point = lambda check, place, text: [F.lit(check).alias("check"), place.cast("long").alias("place"), text.alias("point")]
+    names = t["datasets"].select("dataset", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("dataset")).alias("shown"))
+    p = F.from_json("paper", "journal string, published string, doi string, pmid string, openreview string, url string, preprint string, absent array<struct<key:string>>")
+    paper = t["models"].withColumn("p", p)
+    keys = [F.concat(F.lit(label + " "), F.col(f"p.{name}")) for name, label in (("doi", "DOI"), ("pmid", "PMID"), ("openreview", "OpenReview"), ("url", "at"))]
+    lines = [
+        F.concat_ws("; ", F.nullif(F.concat_ws(" ", "p.journal", "p.published"), F.lit("")), *keys),
+        F.when(F.size("p.absent") > 0, F.concat(F.lit("said to have no "), wording.key_names(F.col("p.absent.key"), " and no "))),
+        F.concat(F.lit("an earlier preprint is "), F.col("p.preprint")),
+    ]
+    papers = paper.select("model", F.posexplode(F.array(*lines)).alias("n", "line")).where("line <> ''").select("model", *point("paper", F.col("n"), F.col("line")))
+    given = t["sources"].groupBy(*CORPUS).agg(
+        F.sort_array(F.collect_list(F.struct("ord", F.concat(F.col("source"), F.coalesce(F.concat(F.lit(" of "), wording.counted(F.col("records")), F.lit(" rows")), F.lit(""))).alias("s")))).alias("g"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col("join_tables.name"), F.array().cast("array<string>")))))).alias("through"),
+    )
+    kept = t["splits"].groupBy(*CORPUS).agg(F.count_distinct("dataset").alias("kept"))
+    c = t["corpora"].join(given, CORPUS, "left").join(kept, CORPUS, "left")
+    target = F.from_json("pointer", "corpus string, release string")
+    listed = F.concat_ws(", ", F.array_join(F.col("g.s"), " and "), F.concat(wording.counted(F.col("totals")["cells"]), F.lit(" cells in all")), F.when(F.size("through") > 0, F.concat(F.lit("joined through "), F.array_join("through", " and "))))
+    what = (
+        F.when(F.col("type") == "by-design", F.concat(F.lit("trains by design on evaluations of its own: "), F.coalesce("kept", F.lit(0)).cast("string")))
+        .when(F.col("type").isin("C-vague", "D"), "published no list")
+        .when(F.col("type") == "B", F.concat(F.lit("took part of "), F.concat_ws(" ", F.coalesce(target["corpus"], F.lit("a public corpus")), target["release"])))
+        .otherwise(F.concat(F.lit("published "), listed))
+    )
+    closed = F.when(F.size("unresolved") > 0, F.concat(F.lit("names without their datasets: "), F.size("unresolved").cast("string")))
+    manifest = c.select("model", "corpus_ord", "stage", F.posexplode(F.array(what, closed)).alias("n", "line")).where("line is not null")
+    manifest = manifest.select("model", *point("manifest", F.col("corpus_ord") * 2 + F.col("n"), F.concat("stage", F.lit(": "), "line")))
+    judged = t["evaluated_on"].groupBy("model", "dataset").agg(F.min("ord").alias("ord")).join(names, "dataset", "left")
+    judged = judged.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("shown", "dataset").alias("s")))).alias("e"))
+    judged = judged.select("model", *point("evaluated_on", F.lit(0), F.concat(F.size("e").cast("string"), F.lit(": "), F.array_join("e.s", ", "))))
+    calls = judgment_calls(rows, t["datasets"], t["corpora"])
+    calls = calls.select("model", *point("judgment_calls", F.row_number().over(Window.partitionBy("model").orderBy(F.col("dataset").isNull(), "dataset", "stage", "place")) - 1, F.col("call")))
+    per = rows.where("by_design is null").join(names, "dataset", "left").withColumn("shown", F.coalesce("shown", "dataset")).groupBy(*CORPUS).agg(
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("verdict") == "PRESENT", F.col("shown")))), ", ").alias("present"),
+        *(F.count_if(F.col("verdict") == v).alias(v) for v in ("NOT PRESENT", "INCONCLUSIVE", "NOT CHECKABLE")),
+    )
+    others = [F.when(F.col(f"`{v}`") > 0, F.concat(F.lit(f"{v} "), F.col(f"`{v}`").cast("string"))) for v in ("NOT PRESENT", "INCONCLUSIVE", "NOT CHECKABLE")]
+    per = per.join(t["corpora"].select(*CORPUS, "corpus_ord"), CORPUS)
+    verdicts = per.select("model", *point("plausibility", F.col("corpus_ord"), F.concat_ws("; ", F.concat("stage", F.lit(": present "), F.coalesce(F.nullif(F.col("present"), F.lit("")), F.lit("none"))), *others)))
+    out = papers
+    for part in (manifest, judged, calls, verdicts):
+        out = out.unionByName(part)
+    return out
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1, among the findings of a stage: the model's own evaluations first, then by dataset."""
+    order = Window.partitionBy(*CORPUS).orderBy(placed(F.col("relation"), ["reported-eval", "catalog"]), "dataset")
+    return rows.withColumn("place", F.row_number().over(order))
 
 
 def plausibility(rows: DataFrame) -> DataFrame:
@@ -166,6 +225,15 @@ def totals(records: DataFrame) -> DataFrame:
     )
 
 
+def absent_projects(records: DataFrame) -> DataFrame:
+    """(model, stage, source, other, projects): how many projects of one file of a list stand in no row of another file; no row where all do."""
+    own = records.where("project is not null").groupBy(*CORPUS, "project").agg(F.collect_set("source").alias("own"))
+    every = records.groupBy(*CORPUS).agg(F.collect_set("source").alias("every"))
+    pairs = own.groupBy(*CORPUS, F.array_sort("own").alias("own")).agg(F.count("*").alias("n")).join(every, CORPUS)
+    each = pairs.select(*CORPUS, "n", F.explode("own").alias("source"), F.array_except("every", "own").alias("others")).select(*CORPUS, "n", "source", F.explode("others").alias("other"))
+    return each.groupBy(*CORPUS, "source", "other").agg(F.sum("n").alias("projects"))
+
+
 def ledger(rows: DataFrame, datasets: DataFrame, evaluated_on: DataFrame) -> DataFrame:
     """One row for each dataset of the catalog: who trained on it, who evaluates on it, where they meet."""
     found = exposed(rows).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("model", "stage"))).alias("exposure"))

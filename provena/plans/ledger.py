@@ -59,6 +59,7 @@ def export_views(spark: SparkSession, root: str | Path, out: str) -> list[str]:
         "models": made.models, "rows": made.rows, "datasets": made.datasets, "reuse": views.reuse_table(made.rows, t["evaluated_on"]), "cards": views.cards(made.rows), "classes": views.classes(made.models),
         "grouped": views.grouped(made.rows), "by_relation": views.by_relation(made.rows), "dataset_pages": views.dataset_rows(made.rows, made.models), "how_checked": views.how_checked(t["sources"], t["corpora"], t["models"], t["discovery"]),
         "judgment_calls": views.judgment_calls(made.rows, t["datasets"], t["corpora"]), "plausibility": views.plausibility(made.rows),
+        "review_points": views.review_points(t, made.rows),
     }
     for name, rows in found.items():
         sinks.json_lines(rows, f"{out}/{name}")

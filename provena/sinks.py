@@ -53,6 +53,14 @@ def severities(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
+def checked(documents: DataFrame, issues: DataFrame) -> DataFrame:
+    """(kind, files, errors, warnings): for each kind of registry file how many were checked, and what was found in all entries of that kind."""
+    kind = F.when(F.col("model").isNull() & F.col("dataset").isNotNull(), "datasets").otherwise("registry")
+    found = issues.groupBy(kind.alias("kind")).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    each = documents.where("kind in ('datasets', 'registry')").groupBy("kind").agg(F.count("*").alias("files")).join(found, "kind", "left")
+    return each.select("kind", "files", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("errors", "warnings")))
+
+
 def index_rows(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(model, stage, row): each record as a compact JSON list [source number, project, sample, cells, accessions, pmids, dois].
 

@@ -43,8 +43,8 @@ SCHEMAS = {
     "models": "model string, file string, name string, version string, model_class string, paper string, reviewed_by string, reviewed_date string, review_checked array<string>, disputed string, draft boolean, doc string",
     "discovery": "model string, location string, checked boolean, found string",
     "evaluated_on": "model string, ord long, dataset string, task string, obtained_from string",
-    "corpora": "model string, stage string, corpus_ord long, name string, type string, resolver string, quote string, as_of string, keys_available array<string>, requires_keys array<string>, accession_types array<string>, sources array<string>, sources_searched array<string>, unconfirmed array<string>, unresolved array<string>, caveats array<string>, can_prove_presence boolean",
-    "sources": "model string, stage string, source string, ord long, url string, sha256 string, extract string, snapshot string, acquired string, confirmation string, columns array<string>, roles map<string,array<string>>, join_column string, join_tables array<struct<name:string,snapshot:string,sha256:string>>",
+    "corpora": "model string, stage string, corpus_ord long, name string, type string, resolver string, quote string, as_of string, keys_available array<string>, requires_keys array<string>, accession_types array<string>, sources array<string>, sources_searched array<string>, unconfirmed array<string>, unresolved array<string>, caveats array<string>, can_prove_presence boolean, pointer string, totals map<string,long>",
+    "sources": "model string, stage string, source string, ord long, url string, sha256 string, extract string, snapshot string, acquired string, confirmation string, columns array<string>, roles map<string,array<string>>, join_column string, join_tables array<struct<name:string,snapshot:string,sha256:string>>, records long",
     "splits": "model string, stage string, ord long, dataset string, held_out string",
     "faults": "kind string, id string, message string",
     "reviewers": "initials string",
@@ -91,12 +91,12 @@ def _corpus(m: str, n: int, corpus: dict) -> Iterator[tuple[str, tuple]]:
     files = man.get("sources") or []
     doubted = [x["name"] for x in files if (x.get("confirmation") or {}).get("method") == "none"]
     unresolved = [x["entry"] for x in man.get("unresolved_entries") or []]
-    yield "corpora", (m, s, n, corpus.get("name"), man["type"], man.get("resolver"), man.get("quote"), man.get("as_of"), man.get("keys_available"), man.get("requires_keys"), _texts(man.get("accession_types")), [x["name"] for x in files], result.get("sources_searched"), doubted, unresolved, result.get("caveats"), RESOLVERS.get(man.get("resolver"), False))
+    yield "corpora", (m, s, n, corpus.get("name"), man["type"], man.get("resolver"), man.get("quote"), man.get("as_of"), man.get("keys_available"), man.get("requires_keys"), _texts(man.get("accession_types")), [x["name"] for x in files], result.get("sources_searched"), doubted, unresolved, result.get("caveats"), RESOLVERS.get(man.get("resolver"), False), json.dumps(man["pointer"]) if man.get("pointer") else None, man.get("totals"))
     for k, x in enumerate(files):
         roles = {r: (c if isinstance(c, list) else [c]) for r, c in (x.get("roles") or {}).items()}
         join = x.get("join") or {}
         tables = [{"name": t.get("name"), "snapshot": t.get("snapshot"), "sha256": t.get("sha256")} for t in join.get("tables") or []]
-        yield "sources", (m, s, x["name"], k, x.get("url"), x.get("sha256"), x.get("extract"), x.get("snapshot"), x.get("acquired"), (x.get("confirmation") or {}).get("method"), x.get("columns"), roles, join.get("column"), tables)
+        yield "sources", (m, s, x["name"], k, x.get("url"), x.get("sha256"), x.get("extract"), x.get("snapshot"), x.get("acquired"), (x.get("confirmation") or {}).get("method"), x.get("columns"), roles, join.get("column"), tables, x.get("records"))
     for k, x in enumerate(man.get("splits") or []):
         yield "splits", (m, s, k, x["dataset"], x["held_out"])
     for k, f in enumerate(result.get("findings") or []):

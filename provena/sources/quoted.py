@@ -11,10 +11,16 @@ for any reader.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Lines that are looked through for the first row, before all rows are.
+HEAD = 100
+
+
 def _open(text: Column) -> Column:
     """Whether text without doubled quotes, begun at a field, ends inside a quoted one: closed fields are taken out, and an opening quote is left."""
     return F.regexp_replace(text, '(^|,)"[^"]*"', "$1").rlike('(^|,)"')
@@ -67,15 +73,31 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return alone.unionByName(pieces).withColumn("text", F.regexp_replace("text", "\r$", ""))
 
 
+def header(lines: list) -> list[str] | None:
+    """The fields of the first row among a file's first lines; none if it isn't there, or isn't whole."""
+    text = ""
+    for (line,) in lines:
+        if not text and (line.startswith("#") or not line.strip("\r ")):
+            continue
+        text += line
+        # As many quotes that open as close: the row is whole.
+        if text.count('"') % 2 == 0:
+            return next(csv.reader([text.rstrip("\r")]), None)
+        text += "\n"
+    return None
+
+
 def rows(spark: SparkSession, path: str) -> DataFrame:
     """The columns that the first row names, as text, and ``row``, from 1. Missing fields are null, further ones are left out, names that repeat get their place added."""
     found = records(spark, path)
-    first = found.where("record = 1").first()
-    if first is None:
-        return spark.createDataFrame([], "row long")
+    # The first row stands among the first lines, unless a great deal of comment goes before it.
+    names = header(spark.read.text(path, lineSep="\n").limit(HEAD).collect())
+    if names is None:
+        first = found.where("record = 1").first()
+        if first is None:
+            return spark.createDataFrame([], "row long")
+        names = header([first])
     options = {"quote": '"', "escape": '"', "multiLine": "true"}
-    names = spark.range(1).select(F.from_csv(F.lit(first.text), F.schema_of_csv(F.lit(first.text), options), options).alias("x")).first().x
-    names = [name if name is not None else f"_c{k}" for k, name in enumerate(map(lambda v: None if v is None else str(v), names))]
     names = [name if names.count(name) == 1 else f"{name}{k}" for k, name in enumerate(names)]
     quote = "`{}` string".format
     shape = ", ".join(quote(name.replace("`", "``")) for name in names)

@@ -50,7 +50,7 @@ def test_page_tables(spark, root):
     assert (how["south"].by_snapshot, how["south"].rerun, how["south"].unsearched) == (1, ["second"], ["methods"])
     assert all(c.done for c in how["north"].checks) and not any(c.done for c in how["south"].checks)
     calls = {r.model: r.call for r in views.judgment_calls(led.rows, t["datasets"], t["corpora"]).where("dataset is null").collect()}
-    assert calls == {"north": "the wording of 1 caveat"}
+    assert calls == {"north": "caveats as worded: 1"}
 
 
 def lines(folder):
