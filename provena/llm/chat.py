@@ -96,14 +96,38 @@ def _best(messages: DataFrame, branches: int) -> DataFrame:
     leaves = messages.join(above, ["tree", "msg"], "left_anti").select("tree", F.col("msg").alias("leaf"))
     known = messages.select("tree", F.col("msg").alias("parent"))
     sound = messages.join(known, ["tree", "parent"], "left_semi").select("tree", "msg", "parent")
-    paths = _paths(_acyclic(sound), leaves)
-    scored = paths.join(messages, ["tree", "msg"])
+    edges = _acyclic(sound)
     if branches < 1:
-        return scored.limit(0)
-    mean = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"), F.max("up").alias("last"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
-    chosen = mean.withColumn("rank", rank).where(F.col("rank") <= branches)
-    return scored.join(chosen, ["tree", "leaf"]).select("tree", "leaf", (F.col("last") - F.col("up")).alias("depth"), "role", "text", "rank")
+        return messages.limit(0).select("tree", F.col("msg").alias("leaf"), F.lit(0).cast("long").alias("depth"), "role", "text", F.lit(0).alias("rank"))
+    chosen = _ranked(messages, edges, leaves).where(F.col("rank") <= branches)
+    chosen = written(chosen, "leaves")
+    paths = _paths(edges, chosen.select("tree", "leaf"))
+    ends = paths.groupBy("tree", "leaf").agg(F.max("up").alias("last")).join(chosen, ["tree", "leaf"])
+    return paths.join(messages, ["tree", "msg"]).join(ends, ["tree", "leaf"]).select("tree", "leaf", (F.col("last") - F.col("up")).alias("depth"), "role", "text", "rank")
+
+
+def _ranked(messages: DataFrame, edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, rank): leaves by the mean score of their branch, from sums that are carried up along jumps of doubling length; no path is written out for it.
+
+    A tree's only leaf is its best.
+    """
+    n = F.count("*").over(Window.partitionBy("tree"))
+    counted = leaves.withColumn("n", n)
+    alone = counted.where("n = 1").select("tree", "leaf", F.lit(1).alias("rank"))
+    several = counted.where("n > 1").select("tree", "leaf")
+    if not several.limit(1).count():
+        return alone
+    trees = several.select("tree").distinct()
+    own = messages.join(trees, "tree", "left_semi").select("tree", "msg", F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n"))
+    to = edges.select("tree", "msg", F.col("parent").alias("to"))
+    state = written(own.join(to, ["tree", "msg"], "left"), "sums")
+    while state.where("to is not null").limit(1).count():
+        far = state.select("tree", F.col("msg").alias("to"), F.col("sum").alias("more"), F.col("n").alias("further"), F.col("to").alias("far"))
+        up = state.join(far, ["tree", "to"], "left")
+        state = written(up.select("tree", "msg", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("further", F.lit(0))).alias("n"), F.col("far").alias("to")), "sums")
+    scored = several.join(state.withColumnRenamed("msg", "leaf"), ["tree", "leaf"])
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), "leaf"))
+    return scored.select("tree", "leaf", rank.alias("rank")).unionByName(alone)
 
 
 def _acyclic(edges: DataFrame) -> DataFrame:
