@@ -152,6 +152,7 @@ class FileReader:
             raise ValueError(f"{path} is not a token file")
         self.listed = json.loads(self.file.read_at(listed, size - 12 - listed))
         self.starts = np.cumsum([0, *(x[3] for x in self.listed)])
+        self._levels: dict[int, list[tuple[int, int, int, int]]] = {}
 
     def segment(self, k: int) -> Reader:
         return Reader(self.file.read_at(self.listed[k][1], self.listed[k][0]))
@@ -162,8 +163,34 @@ class FileReader:
             yield int(self.starts[k]), self.segment(k)
 
     def token(self, at: int) -> int:
+        """One token, from a few cells of the file: for each level a chunk and a byte of the bitmap, and where the id goes on a rank and the bitmap of a part of a block."""
         k = int(np.searchsorted(self.starts, at, side="right")) - 1
-        return self.segment(k).token(at - int(self.starts[k]))
+        at -= int(self.starts[k])
+        value = shift = 0
+        for width, chunks, bits, ranks in self._places(k):
+            value |= self.file.read_at(1, chunks + at)[0] << shift
+            if not self.file.read_at(1, bits + (at >> 3))[0] >> (at & 7) & 1:
+                break
+            shift += width
+            block = at // BLOCK
+            before = np.frombuffer(self.file.read_at(at // 8 + 1 - block * BLOCK // 8, bits + block * BLOCK // 8), np.uint8)
+            inside = np.unpackbits(before, bitorder="little")[: at - block * BLOCK]
+            at = struct.unpack("<Q", self.file.read_at(8, ranks + 8 * block))[0] + int(inside.sum())
+        return value
+
+    def _places(self, k: int) -> list[tuple[int, int, int, int]]:
+        """(width, place of the chunks, of the bitmap, of the ranks) of each level of a segment, from its header; kept, as it is small."""
+        if k not in self._levels:
+            begin = self.listed[k][0]
+            mark, size = struct.unpack("<4sI", self.file.read_at(8, begin))
+            if mark != b"DAC1":
+                raise ValueError("not a token file")
+            head, at, found = json.loads(self.file.read_at(size, begin + 8)), begin + 8 + size, []
+            for width, (n, n_bits, n_ranks) in zip(head["widths"], head["levels"], strict=False):
+                found.append((width, at, at + n, at + n + n_bits))
+                at += n + n_bits + 8 * n_ranks
+            self._levels[k] = found
+        return self._levels[k]
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
