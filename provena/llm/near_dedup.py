@@ -315,39 +315,43 @@ def _rare(sets: DataFrame) -> DataFrame:
     return alone.groupBy("doc_id").agg(F.count("*").alias("rare"))
 
 
+#: Two hashes of a text, which tell texts of one doc_id apart.
+HASH = ["hash", "hash2"]
+
+
 def keep_firsts(docs: DataFrame, cent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; columns stay as they are.
 
     Unlike texts of one doc_id are documents of their own, and so are texts without a doc_id, which come last: of each
-    component the row with the smallest (doc_id, hash of the text) stays. Of rows equal in doc_id and text one stays. Null, empty
+    component the row with the smallest (doc_id, hash of the text) stays; texts are told apart by 128 bits. Of rows equal in doc_id and text one stays. Null, empty
     and wordless texts are in no component and all stay. An empty table stays empty. Column names may differ in case only;
     the text and the doc_id are those that ``only`` takes.
     """
     names = docs.columns
     placed = small_batches(docs).toDF(*(f"_{k}" for k in range(len(names))))
     doc, text = F.col(f"_{place_of(names, 'doc_id')}").cast("long"), F.col(f"_{place_of(names, 'text')}").cast("string")
-    rows = placed.withColumn("doc_id", doc).withColumn("hash", F.xxhash64(text)).withColumn("text", text)
+    rows = placed.withColumn("doc_id", doc).withColumn("hash", F.xxhash64(text)).withColumn("hash2", F.xxhash64(F.lit(1), text)).withColumn("text", text)
 
-    seen = written(rows.where("text is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("times")), "seen")
+    seen = written(rows.where("text is not null").groupBy("doc_id", *HASH).agg(F.count("*").alias("times")), "seen")
     by_text = seen.groupBy("doc_id").agg(F.count("*").alias("texts")).where("doc_id is null or texts > 1").limit(1).count() > 0
     if by_text:
         # Numbers in the order of (doc_id, hash) stand for the texts.
-        order = [F.asc_nulls_last("doc_id"), F.asc("hash")]
+        order = [F.asc_nulls_last("doc_id"), *map(F.asc, HASH)]
         nodes = seen.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-        nodes = written(nodes.select("doc_id", "hash", F.monotonically_increasing_id().alias("node")), "nodes")
+        nodes = written(nodes.select("doc_id", *HASH, F.monotonically_increasing_id().alias("node")), "nodes")
         given = _with(rows, nodes, "inner").select(F.col("node").alias("doc_id"), "text")
     else:
         given = rows.select("doc_id", "text")
     gone = near_duplicates(given, cent).where("not kept").select("doc_id").distinct()
     if by_text:
-        rest = _with(rows, written(nodes.join(gone.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("doc_id", "hash"), "gone"), "left_anti")
+        rest = _with(rows, written(nodes.join(gone.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("doc_id", *HASH), "gone"), "left_anti")
     else:
         rest = rows.join(written(gone, "gone"), "doc_id", "left_anti")
-    twice = seen.where("times > 1").select("doc_id", "hash")
+    twice = seen.where("times > 1").select("doc_id", *HASH)
     if twice.limit(1).count():
         worded = F.col("text").rlike(r"[^ \t-\r]")
         plain = [c for c, kind in placed.dtypes if not any(k in kind for k in ("map<", "variant"))]
-        again = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64(*plain)))
+        again = F.row_number().over(Window.partitionBy("doc_id", *HASH).orderBy(F.xxhash64(*plain)))
         some = _with(rest.where(worded), twice, "left_semi").withColumn("again", again).where("again = 1").drop("again")
         rest = rest.where(~F.coalesce(worded, F.lit(False))).unionByName(_with(rest.where(worded), twice, "left_anti")).unionByName(some)
     return rest.select(*placed.columns).toDF(*names)
@@ -355,5 +359,6 @@ def keep_firsts(docs: DataFrame, cent: int = 80) -> DataFrame:
 
 def _with(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
     """The rows joined on doc_id, null or not, and hash."""
-    others = others.withColumnRenamed("doc_id", "other_id").withColumnRenamed("hash", "other_hash")
-    return rows.join(others, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash")), how)
+    others = others.withColumnsRenamed({name: f"other_{name}" for name in ("doc_id", *HASH)})
+    same = [F.col(name) == F.col(f"other_{name}") for name in HASH]
+    return rows.join(others, [F.col("doc_id").eqNullSafe(F.col("other_doc_id")), *same], how)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provena.llm import chat, near_dedup, toxicity, urls
+from provena.llm.common import noted
 from provena.llm.registry import QUERIES, RULES, SQL
 
 from . import data
@@ -124,6 +125,30 @@ def test_trees_on_urls_that_they_have_not_seen(spark):
         assert sum(x.allow == x.said for x in seen) / len(seen) > 0.9
 
 
+def test_undecided_pages_are_judged_by_what_carries_over(spark):
+    """Over unseen hosts of the pages that rules decide the trees beat their share, and a suffix that no rule names gets both verdicts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = [urls.held_out(pages, RULES, fold) for fold in (0, 1)]
+    assert all(f["n"] > 10 and f["loss"] < 0.7 * f["share_loss"] and f["accuracy"] > 0.7 for f in found)
+    r = random.Random(4)
+    words = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = [(k, f"https://{words()}.{r.choice(['com', 'net', 'org'])}/{r.choice(['docs', 'ads'])}/{words()}") for k in range(600)]
+    rules = [urls.Rule("com", "/docs", True), urls.Rule("net", "/docs", True), urls.Rule("com", "/ads", False), urls.Rule("net", "/ads", False)]
+    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    assert len(got) > 150 and all((x.verdict == "allow") == x.path.startswith("/docs") for x in got)
+
+
+def test_branches_are_ranked_before_paths_are_written(spark):
+    """A chain of 60 messages, each with 5 leaves beside it: only the best leaf's path is written out."""
+    rows = [("t", k, k - 1 if k else None, "user", str(k), 0.5) for k in range(60)]
+    rows += [("t", 1000 + 5 * k + j, k, "assistant", f"{k}/{j}", 0.9 if (k, j) == (40, 3) else 0.1) for k in range(60) for j in range(5)]
+    with noted() as paths:
+        got = chat.best_paths(spark.createDataFrame(rows, "tree string, msg long, parent long, role string, text string, score double")).collect()
+    assert len(got) == 42 and {x.leaf for x in got} == {1203} and max((x.depth, x.text) for x in got) == (41, "40/3")
+    sizes = [spark.read.parquet(p).count() for p in paths if "/paths-" in p]
+    assert max(sizes) == 42
+
+
 def test_messages_that_share_an_id(spark):
     shape = "tree string, msg long, parent long, role string, text string, score double, TREE int"
     rows = [("t", 1, None, "user", "first", 1.0, 0)] * 3 + [("t", 2, 1, "assistant", "b", 0.1, 0), ("t", 2, 1, "assistant", "a", 0.1, 0), ("t", 3, 1, "assistant", None, None, 0), (None, 4, 1, "user", "x", 1.0, 0), ("t", None, 1, "user", "x", 1.0, 0)]
@@ -235,4 +260,4 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].partition("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(SQL) <= set(QUERIES)

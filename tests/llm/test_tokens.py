@@ -153,6 +153,30 @@ def test_any_token_of_a_file(tmp_path):
         token_files.FileReader(f"file://{tmp_path}/bad")
 
 
+def test_a_token_is_read_from_a_few_cells(tmp_path):
+    file = token_files.FileWriter(f"file://{tmp_path}/x.dac")
+    ids = (np.arange(300_000, dtype=np.uint64) ** 3 % 2**32).astype(np.uint32)
+    for at in range(0, len(ids), 100_000):
+        file.add([(at, ids[at : at + 100_000])])
+    file.close()
+    read, asked = token_files.FileReader(f"file://{tmp_path}/x.dac"), []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def read_at(self, n, offset):
+            asked.append(n)
+            return self.file.read_at(n, offset)
+
+    read.file = Counted(read.file)
+    for k in (0, 511, 512, 99_999, 100_000, 250_001, 299_999):
+        asked.clear()
+        assert read.token(k) == ids[k] and sum(asked) < 1000  # a header once, then cells
+    asked.clear()
+    assert [read.token(k) for k in range(0, 300_000, 997)] == ids[::997].tolist() and max(asked) <= 64
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=60), max_size=8))
 def test_addressable_codes(docs):
