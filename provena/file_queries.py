@@ -6,6 +6,7 @@ Files are written into the shared folder from the benchmark tables and read back
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -23,8 +24,8 @@ from provena.functions import wording
 from provena.operators import chains, keys, lookup, views
 from provena.plans import ledger as ledgers
 from provena.plans import lookup as lookups
-from provena.shared import new_path
-from provena.sources import catalog, crosswalk, files, lists, replies
+from provena.shared import new_path, written
+from provena.sources import catalog, crosswalk, files, lists, replies, requests
 
 def pk() -> Column:
     return F.col("p_partkey")
@@ -177,6 +178,26 @@ def crosswalk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kind", F.col("value").alias("query"), text("GSE", sk()).alias("accessions"), F.col("hit") & (F.coalesce(flat("accessions"), F.lit("")) == text("GSE", sk())) & (F.size("samples") == 1)).toDF("kind", "query", "accessions", "hit").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def index_page(address: str) -> bytes:
+    """A transport that answers searches for even numbers and knows no others."""
+    number = int(address.rpartition("=")[2])
+    if number % 2:
+        raise requests.Refused(404)
+    return json.dumps({"esearchresult": {"idlist": [str(number // 2)]}}).encode()
+
+
+def at_once(seconds: float) -> None:
+    """No waiting: the transport is no server."""
+
+
+@query("requests_asked", "SELECT 'https://index.example/search?term=' || s_suppkey AS address, CASE WHEN s_suppkey % 2 = 0 THEN 200 ELSE 404 END AS status, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey // 2 AS VARCHAR) END AS found FROM supplier")
+def requests_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for each supplier, asked by tasks and stored; every address comes twice and is asked once."""
+    rows = suppliers(spark, sf_dir).select(text("https://index.example/search?term=", sk()).alias("address"))
+    got = written(requests.asked(rows.union(rows), index_page, lanes=4, sleep=at_once), "replies")
+    return got.select("address", "status", F.get_json_object("body", "$.esearchresult.idlist[0]").alias("found"))
+
+
 # Stored replies -----------------------------------------------------------------------------------------------------------
 
 

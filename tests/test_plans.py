@@ -181,6 +181,33 @@ def test_requests():
         index.search("gds", "x")
 
 
+def test_requests_by_tasks(spark, tmp_path):
+    """Every lane keeps its share of the rate, refusals are rows, and what fails for a while is asked for again."""
+    log = f"{tmp_path}/log"
+
+    def fetch(address):
+        with open(log, "a") as f:
+            f.write(address + "\n")
+        n = int(address[1:])
+        if n == 5 and open(log).read().split().count("a5") < 3:
+            raise requests.Refused(503)
+        if n % 4 == 1 and n != 5:
+            raise requests.Refused(404)
+        return f"body {n}".encode()
+
+    def sleep(seconds):
+        with open(f"{tmp_path}/slept", "a") as f:
+            f.write(f"{seconds}\n")
+
+    rows = spark.createDataFrame([(f"a{k % 12}",) for k in range(36)] + [(None,)], "address string")
+    got = {r.address: (r.status, r.body) for r in requests.asked(rows, fetch, per_second=8, lanes=2, sleep=sleep).collect()}
+    assert got == {f"a{k}": (404, None) if k in (1, 9) else (200, f"body {k}") for k in range(12)}
+    calls = open(log).read().split()
+    assert len(calls) == 14 and calls.count("a5") == 3
+    waits = [float(x) for x in open(f"{tmp_path}/slept")]
+    assert {0.5, 1.0} <= set(waits) and sum(0.2 < w <= 0.25 for w in waits) >= 8  # two lanes at four a second each
+
+
 def test_cached_replies_are_read_as_tables(spark, tmp_path):
     (tmp_path / "a.json").write_text(body(result={"uids": ["7"], "7": {"title": "T", "articleids": []}}))
     rows = spark.read.text(f"{tmp_path}/*.json", wholetext=True).withColumnRenamed("value", "body")
