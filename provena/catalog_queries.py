@@ -47,8 +47,8 @@ PARTS = dict(syn.BASE) | {
     "hit": """SELECT DISTINCT t.model, t.stage, t.dataset, t.key, k.source, k.r FROM target t JOIN att a USING (model, stage, dataset) JOIN tok k USING (model, stage, key, value) WHERE list_contains(a.tried, t.key)""",
     "row_": """SELECT model, stage, 'studies' AS source, k AS r, k, CAST(NULL AS VARCHAR) AS sample, CAST(NULL AS BIGINT) AS cells FROM study
         UNION ALL SELECT model, stage, 'samples', k * 10 + n, k, 'GEO-GSM' || (k * 10 + n), cells FROM sample""",
-    "evid": """SELECT DISTINCT h.model, h.stage, h.dataset, x.source, x.r, x.sample, x.cells FROM hit h JOIN row_ o USING (model, stage, source, r)
-        JOIN row_ x ON x.model = o.model AND x.stage = o.stage AND x.sample IS NOT NULL AND CASE WHEN o.sample IS NULL THEN x.k = o.k ELSE x.source = o.source AND x.r = o.r END""",
+    "evid": """SELECT h.model, h.stage, h.dataset, o.source, o.r, o.sample, o.cells FROM hit h JOIN row_ o USING (model, stage, source, r) WHERE o.sample IS NOT NULL
+        UNION SELECT h.model, h.stage, h.dataset, x.source, x.r, x.sample, x.cells FROM hit h JOIN row_ o USING (model, stage, source, r) JOIN row_ x ON x.model = o.model AND x.stage = o.stage AND x.k = o.k WHERE o.sample IS NULL AND x.sample IS NOT NULL""",
     "hits_": """SELECT h.model, h.stage, h.dataset, list_sort(list_distinct(list(h.key))) AS found, list_sort(list_distinct(coalesce(list(h.key) FILTER (NOT (c.doubt AND h.source = 'studies')), []))) AS sure,
         list_sort(list_distinct(list('GSE' || o.k))) AS listed FROM hit h JOIN corp c USING (model, stage) JOIN row_ o USING (model, stage, source, r) GROUP BY ALL""",
     "evids": """SELECT model, stage, dataset, list_sort(list_distinct(list(substr(sample, 5)))) AS samples, CAST(sum(cells) AS BIGINT) AS cells FROM evid GROUP BY ALL""",
@@ -82,7 +82,7 @@ def with_(select: str) -> str:
                 used.append(name)
 
     need(select)
-    return ("WITH " + ", ".join(f"{n} AS ({PARTS[n]})" for n in used) + " " if used else "") + select
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in used) + " " if used else "") + select
 
 
 def _names(name: str, text: str) -> bool:
@@ -224,8 +224,9 @@ def roles_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All tables, listed corpora, targets, attempts; asked are only triples that share a line item."""
     t = syn.tables(spark, sf_dir)
-    listed = t.corpora.where(~F.col("type").isin("C-vague", "D", "by-design"))
-    asked = syn.pairs(spark, sf_dir).join(F.broadcast(listed.select(*CORPUS)), CORPUS, "left_semi")
+    # Stored, so that Spark knows its size.
+    listed = written(t.corpora.where(~F.col("type").isin("C-vague", "D", "by-design")), "corpora")
+    asked = syn.pairs(spark, sf_dir).join(listed.select(*CORPUS), CORPUS, "left_semi")
     targets = keys.usable(asked, listed, t.identifiers)
     return t, listed, targets, keys.attempted(asked, listed, targets, t.absent)
 

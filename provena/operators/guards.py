@@ -37,7 +37,7 @@ def repeated(rows: DataFrame, on: list[str]) -> DataFrame:
 
 def missing_keys(attempts: DataFrame, corpora: DataFrame) -> DataFrame:
     """The attempts with required keys that are neither attempted nor recorded as not existing."""
-    rows = attempts.join(F.broadcast(corpora.select(*CORPUS, "requires_keys")), CORPUS)
+    rows = attempts.join(corpora.select(*CORPUS, "requires_keys"), CORPUS)
     rest = F.array_except(F.array_except(filled(F.col("requires_keys")), F.col("keys_attempted")), F.col("keys_absent"))
     return rows.withColumn("missing", F.sort_array(rest)).where(F.size("missing") > 0)
 
@@ -127,7 +127,7 @@ def issues(spark: SparkSession, t: dict[str, DataFrame], reviewers: set[str], fi
     add(t["splits"].join(own, ["model", "dataset"], "left_anti"), "G29", say("a by-design split must be one of the model's own evaluations"), place)
     add(t["splits"].join(t["recorded"], [*CORPUS, "dataset"], "left_anti"), "G29", say("the split has no finding"), place)
     types = corpora.select(*CORPUS, "type", "keys_available", "requires_keys", "accession_types", "sources", "sources_searched", "unconfirmed", "unresolved")
-    known = t["recorded"].join(datasets.select("dataset").distinct(), "dataset", "left_semi").join(F.broadcast(types), CORPUS)
+    known = t["recorded"].join(datasets.select("dataset").distinct(), "dataset", "left_semi").join(types, CORPUS)
     design = known.where("by_design is not null or type = 'by-design'")
     add(design.where("type <> 'by-design'"), "G29", say("by_design is only for a by-design stage"), place)
     said = design.where("type = 'by-design'").join(t["splits"].select(*CORPUS, "dataset", "held_out"), [*CORPUS, "dataset"], "left")

@@ -35,7 +35,7 @@ def searchable(identifiers: DataFrame) -> DataFrame:
 def usable(pairs: DataFrame, corpora: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(model, stage, dataset, key, type, value, confirmed, basis) that may be tried in each corpus."""
     limits = corpora.select(*CORPUS, "accession_types")
-    rows = pairs.select(*ASKED).join(F.broadcast(limits), CORPUS).join(searchable(identifiers), "dataset")
+    rows = pairs.select(*ASKED).join(limits, CORPUS).join(searchable(identifiers), "dataset")
     fits = (F.col("key") != "accession") | F.col("accession_types").isNull() | F.array_contains("accession_types", F.col("type"))
     return rows.where(fits).drop("accession_types")
 
@@ -48,7 +48,7 @@ def attempted(pairs: DataFrame, corpora: DataFrame, targets: DataFrame, absent:
     """
     have = targets.groupBy(*ASKED).agg(F.collect_set("key").alias("have"))
     none = absent.where(F.col("key").isin(ids.EXACT_KEYS)).groupBy("dataset").agg(F.collect_set("key").alias("none"))
-    rows = pairs.select(*ASKED).join(F.broadcast(corpora.select(*CORPUS, "keys_available")), CORPUS).join(have, ASKED, "left").join(none, "dataset", "left")
+    rows = pairs.select(*ASKED).join(corpora.select(*CORPUS, "keys_available"), CORPUS).join(have, ASKED, "left").join(none, "dataset", "left")
     open_ = exact(filled(F.col("keys_available")))
     rows = rows.withColumn("keys_attempted", F.sort_array(F.array_intersect(filled(F.col("have")), open_)))
     rows = rows.withColumn("keys_absent", F.sort_array(F.array_except(F.array_intersect(filled(F.col("none")), open_), F.col("keys_attempted"))))

@@ -88,7 +88,7 @@ def summary(attempts: DataFrame, found: DataFrame, records: DataFrame, corpora:
     Adds keys_hit, keys_hit_confirmed (on rows of sources that aren't unconfirmed), listed_accessions, sample_ids,
     cells, overlap_level, match_level. Cells add up over evidence rows, never over join multiplicity.
     """
-    rows = found.join(F.broadcast(corpora.select(*CORPUS, "unconfirmed")), CORPUS)
+    rows = found.join(corpora.select(*CORPUS, "unconfirmed"), CORPUS)
     sure = ~F.coalesce(F.array_contains("unconfirmed", F.col("source")), F.lit(False))
     matched = rows.groupBy(*ASKED).agg(
         F.sort_array(F.collect_set("key")).alias("keys_hit"),

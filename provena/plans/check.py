@@ -37,19 +37,20 @@ def findings(tables: Tables, pairs: DataFrame) -> DataFrame:
 
     Corpora without a list to search take no part in the match. By-design stages give their splits as PRESENT.
     """
-    corpora = tables.corpora
+    # Stored, so that Spark knows its size and broadcasts it by its own threshold.
+    corpora = written(tables.corpora, "corpora")
     listed = corpora.where(~F.col("type").isin("C-vague", "D", "by-design"))
     asked = pairs.select(*ASKED).distinct()
-    search = asked.join(F.broadcast(listed.select(*CORPUS)), CORPUS, "left_semi")
+    search = asked.join(listed.select(*CORPUS), CORPUS, "left_semi")
     # Targets, attempts, records and matches are each read by several later steps; of records only the columns that matching reads.
     targets = written(keys.usable(search, listed, tables.identifiers), "targets")
     attempts = written(keys.attempted(search, listed, targets, tables.absent), "attempts")
     records = written(tables.records.select(*matching.READ), "records")
     found = written(matching.matches(targets, attempts, records, targets.count()), "matches")
     rows = keys.identified(matching.summary(attempts, found, records, listed), targets)
-    rows = rows.join(F.broadcast(corpora.select(*CORPUS, "type", "can_prove_presence", "requires_keys", "unconfirmed", "unsearched", "unresolved")), CORPUS)
+    rows = rows.join(corpora.select(*CORPUS, "type", "can_prove_presence", "requires_keys", "unconfirmed", "unsearched", "unresolved"), CORPUS)
     rows = verdict.decided(rows.withColumn("checkable", F.lit(True))).withColumn("by_design", F.lit(None).cast("string"))
-    vague = asked.join(F.broadcast(corpora.where(F.col("type").isin("C-vague", "D")).select(*CORPUS, "type")), CORPUS)
+    vague = asked.join(corpora.where(F.col("type").isin("C-vague", "D")).select(*CORPUS, "type"), CORPUS)
     vague = verdict.decided(vague.withColumn("checkable", F.lit(False)).withColumn("can_prove_presence", F.lit(False)))
     out = rows.unionByName(vague, allowMissingColumns=True)
     if tables.splits is not None:
