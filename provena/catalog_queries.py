@@ -44,7 +44,8 @@ PARTS = dict(syn.BASE) | {
     "att": """SELECT s.model, s.stage, s.dataset, list_sort(list_distinct(coalesce(list(t.key) FILTER (t.key IS NOT NULL AND list_contains(c.have, t.key)), []))) AS tried,
         bool_or(a.key IS NOT NULL AND list_contains(c.have, 'pmid')) AND NOT coalesce(bool_or(t.key = 'pmid' AND list_contains(c.have, 'pmid')), false) AS no_pmid
         FROM search s JOIN corp c USING (model, stage) LEFT JOIN target t USING (model, stage, dataset) LEFT JOIN absent a USING (dataset) GROUP BY ALL""",
-    "hit": """SELECT DISTINCT t.model, t.stage, t.dataset, t.key, k.source, k.r FROM target t JOIN att a USING (model, stage, dataset) JOIN tok k USING (model, stage, key, value) WHERE list_contains(a.tried, t.key)""",
+    "near": """SELECT t.model, t.stage, t.dataset, t.key, k.source, k.r FROM target t JOIN tok k USING (model, stage, key, value)""",
+    "hit": """SELECT DISTINCT n.model, n.stage, n.dataset, n.key, n.source, n.r FROM near n JOIN att a USING (model, stage, dataset) WHERE list_contains(a.tried, n.key)""",
     "row_": """SELECT model, stage, 'studies' AS source, k AS r, k, CAST(NULL AS VARCHAR) AS sample, CAST(NULL AS BIGINT) AS cells FROM study
         UNION ALL SELECT model, stage, 'samples', k * 10 + n, k, 'GEO-GSM' || (k * 10 + n), cells FROM sample""",
     "evid": """SELECT h.model, h.stage, h.dataset, o.source, o.r, o.sample, o.cells FROM hit h JOIN row_ o USING (model, stage, source, r) WHERE o.sample IS NOT NULL
@@ -459,7 +460,7 @@ def catalog_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDE = {"pairs": "SELECT c.model, c.stage, d.dataset FROM corpus c CROSS JOIN datasets d", "absent": "SELECT dataset, key FROM absent WHERE false"}
-PARTS |= {f"{n}_all": WIDE.get(n) or re.sub(r"\b(FROM|JOIN) (pairs|absent|search|target|att|hit|evid|hits_|evids|prov|summ|dec)\b", r"\1 \2_all", PARTS[n]) for n in ("pairs", "absent", "search", "target", "att", "hit", "evid", "hits_", "evids", "prov", "summ", "dec", "coded")}
+PARTS |= {f"{n}_all": WIDE.get(n) or re.sub(r"\b(FROM|JOIN) (pairs|absent|search|target|att|near|hit|evid|hits_|evids|prov|summ|dec)\b", r"\1 \2_all", PARTS[n]) for n in ("pairs", "absent", "search", "target", "att", "near", "hit", "evid", "hits_", "evids", "prov", "summ", "dec", "coded")}
 
 
 LOOKUP_SQL = """SELECT a.dataset AS query_id, a.model, a.stage, f.model IS NOT NULL AS recorded, CASE WHEN f.model IS NOT NULL THEN 'recorded' ELSE a.code END AS code, coalesce(f.verdict, CASE a.code WHEN 'present' THEN 'PRESENT' WHEN 'not_present' THEN 'NOT PRESENT' WHEN 'no_manifest' THEN 'NOT CHECKABLE' ELSE 'INCONCLUSIVE' END) AS verdict,
