@@ -69,8 +69,8 @@ def open_registry(spark: SparkSession, root: str | Path, models: list[str] | Non
         if part is not None:
             found = part if found is None else found.unionByName(part)
     corpora = t["corpora"].withColumn("unsearched", F.array().cast("array<string>"))
-    for model, stage in failed:
-        corpora = corpora.where((F.col("model") != model) | (F.col("stage") != stage))
+    if failed:
+        corpora = corpora.join(spark.createDataFrame([*failed], "model string, stage string"), ["model", "stage"], "left_anti")
     records = found if found is not None else spark.createDataFrame([], RECORDS)
     return Tables(corpora, t["identifiers"], t["absent"], records, t["evaluated_on"], t["splits"]), t, failed
 

@@ -224,3 +224,20 @@ def test_scratch_is_deleted(spark, root, tmp_path):
     with scratch(spark):
         registry.check(spark, root, models=["north"], datasets=["lagoon"]).write.parquet(f"file://{tmp_path}/out")
     assert set(os.listdir(folder)) == before and spark.read.parquet(f"file://{tmp_path}/out").where(F.col("stage") == "pretraining").count() == 1
+
+
+def test_lists_that_cannot_be_opened_add_nothing_to_the_plan(spark, tmp_path):
+    """Sixty corpora without their lists are taken out by one join; a filter for each made plans of thousands of corpora too deep."""
+    from provena.sources import catalog
+
+    def table(name, **columns):
+        empty = spark.createDataFrame([], catalog.SCHEMAS[name])
+        made = spark.range(61).select(*(c.alias(n) for n, c in columns.items())) if columns else empty
+        return empty.unionByName(made, allowMissingColumns=True)
+
+    model = F.concat(F.lit("m"), F.col("id").cast("string"))
+    t = {name: table(name) for name in catalog.SCHEMAS}
+    t["corpora"] = table("corpora", model=model, stage=F.lit("s"), type=F.when(F.col("id") == 60, "D").otherwise("A"), resolver=F.lit("none such"))
+    tables, _, failed = registry.open_registry(spark, tmp_path, skip=True, tables=t)
+    assert len(failed) == 60 and [r.model for r in tables.corpora.select("model").collect()] == ["m60"]
+    assert tables.corpora._jdf.queryExecution().logical().toString().count("Filter") < 10
