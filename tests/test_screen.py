@@ -55,3 +55,35 @@ def test_one_project_with_most_rows(spark):
         assert len(sizes) == 4 and sizes[-1] < 1.5 * sizes[0]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_tokens_are_screened_by_value_where_targets_are_too_many(spark):
+    """40 corpora ask for the same 50 values: their 2,000 targets have no filter of 1,000 bytes, the values have."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    corpora, none = spark.range(40).select(text("m", "id").alias("model"), F.lit("s").alias("stage")), F.array().cast("array<string>")
+    wanted = corpora.crossJoin(spark.range(50).select(text("d", "id").alias("dataset"), F.lit("accession").alias("key"), text("GSE", "id").alias("value")))
+    records = spark.range(4000).select(
+        text("m", "id").alias("model"), F.lit("s").alias("stage"), F.lit("list").alias("source"), F.col("id").alias("row"), F.lit("P").alias("project"), F.lit(None).cast("string").alias("sample"), F.lit(1).cast("long").alias("cells"),
+        F.array(text("GSE", "id")).alias("accessions"), none.alias("pmids"), none.alias("dois"),
+    ).withColumn("model", F.concat(F.lit("m"), (F.col("row") % 80).cast("string")))
+    plain, less = matching.met(wanted, records), matching.met(wanted, records, 2000, 1000)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, less.collect())) and plain.count() == 40
+    plan = less._jdf.queryExecution().optimizedPlan().toString()
+    assert "words_" in plan and "LeftSemi" in plan
+
+
+def test_what_is_tried_of_a_pair_equals_the_tables(spark):
+    """``keys.tried`` tells in one row of a pair what usable, attempted and identified tell, without a shuffle by pair."""
+    shape = "model string, stage string, keys_available array<string>, accession_types array<string>"
+    corpora = spark.createDataFrame([("a", "s", ["accession", "pmid"], None), ("b", "s", ["pmid"], ["sra"]), ("c", "s", ["accession", "doi", "title"], []), ("d", "s", None, None)], shape)
+    rows = [("x", 0, "geo", "gse1", "true", "one"), ("x", 1, "pmid", "7", "provisional", "two"), ("x", 2, "pmid", "8", "provisional", ""), ("y", 0, "sra", "srp1", "provisional", None), ("y", 1, "geo", "gse2", "false", "z"), ("z", 0, "url", "u", "true", None)]
+    identifiers = spark.createDataFrame(rows, "dataset string, ord long, type string, value string, confirmed string, basis string")
+    absent = spark.createDataFrame([("y", "pmid"), ("x", "pmid"), ("w", "doi"), ("z", "title")], "dataset string, key string")
+    pairs = corpora.select("model", "stage").crossJoin(spark.createDataFrame([(d,) for d in "wxyz"], "dataset string"))
+    targets = keys.usable(pairs, corpora, identifiers)
+    attempts = keys.identified(keys.attempted(pairs, corpora, targets, absent), targets)
+    one = keys.tried(pairs, corpora, identifiers, absent)
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(one.drop("targets")) == shown(attempts.select(*one.drop("targets").columns)) and one.count() == 16
+    open_ = attempts.select("model", "stage", "dataset", F.explode("keys_attempted").alias("key"))
+    assert shown(matching.wanted(one)) == shown(targets.join(open_, ["model", "stage", "dataset", "key"]).select("model", "stage", "dataset", "key", "value").distinct())
