@@ -241,3 +241,15 @@ def test_lists_that_cannot_be_opened_add_nothing_to_the_plan(spark, tmp_path):
     tables, _, failed = registry.open_registry(spark, tmp_path, skip=True, tables=t)
     assert len(failed) == 60 and [r.model for r in tables.corpora.select("model").collect()] == ["m60"]
     assert tables.corpora._jdf.queryExecution().logical().toString().count("Filter") < 10
+
+
+def test_queries_and_papers_of_series_are_not_sent_through_the_driver(spark):
+    """However small Spark takes them for, both joins of the GEO chain are dealt by key."""
+    body = lambda e: json.dumps({"result": {"uids": ["1"], "1": e}})
+    series = body({"entrytype": "GSE", "accession": "GSE5", "title": "t", "taxon": "o", "pubmedids": ["9"], "samples": [], "bioproject": "PRJNA5", "extrelations": []})
+    told = spark.createDataFrame([("GSE5", series), ("GSE6", series)], "key string, body string")
+    paper = spark.createDataFrame([("9", json.dumps({"result": {"uids": ["9"], "9": {"title": "p", "articleids": [{"idtype": "doi", "value": "10.1/p"}]}}}))], "key string, body string")
+    rows = chains.geo(spark.createDataFrame([("GSE5",)], "query string"), chains.Replies(told, told, paper, told, told))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    assert [(r.query, r.doi, r.pmids) for r in rows.collect()] == [("GSE5", "10.1/p", ["9"])]
