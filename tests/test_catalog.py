@@ -68,6 +68,7 @@ def test_the_grid_has_all_datasets_and_models(spark, tables):
 #: Views that verdicts alone decide, with the tables that they store.
 VIEWS = {
     "dataset_grid": ["corpora"],
+    "stage_cards": ["corpora"],
 }
 
 
