@@ -69,6 +69,7 @@ def test_the_grid_has_all_datasets_and_models(spark, tables):
 VIEWS = {
     "dataset_grid": ["corpora"],
     "stage_cards": ["corpora"],
+    "ledger_rows": ["corpora", "exposure"],
 }
 
 
