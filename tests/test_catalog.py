@@ -70,6 +70,7 @@ VIEWS = {
     "dataset_grid": ["corpora"],
     "stage_cards": ["corpora"],
     "ledger_rows": ["corpora", "exposure"],
+    "reuse_map": ["corpora"],
 }
 
 
