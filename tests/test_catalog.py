@@ -71,6 +71,7 @@ VIEWS = {
     "stage_cards": ["corpora"],
     "ledger_rows": ["corpora", "exposure"],
     "reuse_map": ["corpora"],
+    "reuse_table": ["corpora"],
 }
 
 
