@@ -72,6 +72,7 @@ VIEWS = {
     "ledger_rows": ["corpora", "exposure"],
     "reuse_map": ["corpora"],
     "reuse_table": ["corpora"],
+    "group_findings_by_reason": ["corpora"],
 }
 
 
