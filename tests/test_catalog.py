@@ -73,6 +73,7 @@ VIEWS = {
     "reuse_map": ["corpora"],
     "reuse_table": ["corpora"],
     "group_findings_by_reason": ["corpora"],
+    "stage_plausibility": ["corpora"],
 }
 
 
