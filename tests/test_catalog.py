@@ -74,6 +74,7 @@ VIEWS = {
     "reuse_table": ["corpora"],
     "group_findings_by_reason": ["corpora"],
     "stage_plausibility": ["corpora"],
+    "unconfirmed_cap": ["corpora"],
 }
 
 
