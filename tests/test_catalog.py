@@ -75,6 +75,7 @@ VIEWS = {
     "group_findings_by_reason": ["corpora"],
     "stage_plausibility": ["corpora"],
     "unconfirmed_cap": ["corpora"],
+    "exposure_rows": ["corpora"],
 }
 
 
