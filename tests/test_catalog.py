@@ -76,6 +76,7 @@ VIEWS = {
     "stage_plausibility": ["corpora"],
     "unconfirmed_cap": ["corpora"],
     "exposure_rows": ["corpora"],
+    "superset_cap": ["corpora"],
 }
 
 
