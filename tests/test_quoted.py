@@ -92,3 +92,18 @@ def test_parts_do_not_pass_through_the_driver(spark, tmp_path):
     plan = lists.read_list(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "LocalTableScan" not in plan and "CartesianProduct" not in plan and "Python" not in plan
     assert [tuple(x) for x in lists.read_list(spark, path).orderBy("row").collect()] == [(1, "a\nb", "1"), (2, "c", "2")]
+
+
+def test_a_block_is_many_parts(spark, tmp_path, monkeypatch):
+    """Lines are put in order a few at a time, however many a file's block holds."""
+    monkeypatch.setattr(quoted, "LINES", 3)
+    path, out, want = tmp_path / "list.csv", io.StringIO(), []
+    out.write("id,note\n")
+    writer = csv.writer(out, lineterminator="\n")
+    for k in range(400):
+        want.append((k + 1, str(k), 'a\n"b",\n\n# c' if k % 3 == 0 else "by rail"))
+        writer.writerow(want[-1][1:])
+    path.write_text(out.getvalue())
+    rows = lists.read_list(spark, path)
+    assert "hashpartitioning(block#" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "chunk#" in plan
+    assert [tuple(x) for x in rows.orderBy("row").collect()] == want
