@@ -233,3 +233,15 @@ def test_given_sections(spark):
     got = {(r.doc_id, r.section): r.n_tokens for r in attribution.token_counts(docs, BYTE_BPE, "s").collect()}
     assert sum(n for (d, _), n in got.items() if d == 1) == len(ids_of(BYTE_BPE, "alpha beta gamma"))
     assert (1, 0) in got and (1, 1) in got and (2, -1) in got and (3, -1) not in got
+
+
+def test_unsure_and_plain_texts_by_character():
+    import re
+    import sys
+
+    from provena.llm import tokens
+
+    odd = re.compile("[\x1c-\x1f\x85᠎]")
+    for k in range(sys.maxunicode + 1):
+        text = f"a{chr(k)}b"
+        assert tokens.unsure(text) == bool(odd.search(text)) and tokens.plain(text) == (not tokens.PLAIN.search(text))
