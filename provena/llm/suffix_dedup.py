@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.llm.common import held, only, place_of, text_of, written
+from provena.operators.screen import parted, screened
 
 LEAST, WINDOW, GRAM = 50, 16, 5
 REST = LEAST - WINDOW + 1
@@ -193,8 +194,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     documents of their own if their texts differ, told apart by ``text_hash``, and the one with the smaller hash is earlier; equal rows are one
     document. Null and short texts repeat nothing; an empty table gives no rows; other columns are ignored.
 
-    Texts are read twice. For the second time they are joined with the matches, which Spark broadcasts only if their files are within
-    its own threshold.
+    Texts are read twice. For the second time they are joined with the matches, before which a Bloom filter leaves out texts without any, so these don't move.
     """
     docs = only(docs, ("doc_id", "long"), ("text", "string")).where("text is not null")
     docs = docs.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
@@ -208,7 +208,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copied = alike.where("least < most or least is not null and nulls > 0").groupBy("h").agg(F.collect_list(F.struct("h2", "least")).alias("firsts"))
     wanted = written(places.join(copied, "h", "full"), "matches")
 
-    passages = docs.join(wanted, "h").select("doc_id", "h", "h2", "text", "places", "firsts").mapInPandas(_extended, PASSAGES)
+    near = screened(docs, wanted.select("h"), ["h"], wanted.count())
+    passages = near.join(wanted, "h").select("doc_id", "h", "h2", "text", "places", "firsts").mapInPandas(_extended, PASSAGES)
     order = Window.partitionBy("k1", "k2").orderBy(F.asc_nulls_last("doc_id"), "h", "place")
     own = F.struct("doc_id", "h", "place")
     before = F.lag(own).over(order)
@@ -256,5 +257,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     placed = docs.toDF(*(f"_{k}" for k in range(len(names))))
     cuts = written(spans, "cuts")
     doc, text = F.col(f"_{place_of(names, 'doc_id')}").cast("long"), F.col(f"_{at}").cast("string")
-    joined = placed.join(cuts, doc.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")), "left")
-    return joined.select(*placed.columns, "cuts").mapInArrow(cut, placed.schema).toDF(*names)
+    # Texts that have nothing to cut stay where they are read.
+    near, rest = parted(placed.withColumn("h_", F.xxhash64(text)), cuts.select(F.col("text_hash").alias("h_")), ["h_"], cuts.count())
+    joined = near.join(cuts, doc.eqNullSafe(F.col("doc_id")) & (F.col("h_") == F.col("text_hash")), "left")
+    out = joined.select(*placed.columns, "cuts").mapInArrow(cut, placed.schema)
+    return (out if rest is None else out.union(rest.select(*placed.columns))).toDF(*names)

@@ -374,3 +374,14 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
     many = sorted(map(tuple, decontamination.leaks(df, bench).collect()))
     assert one == many and len({x[:2] for x in one}) == len(one) - 1  # both forms of item 9 in document 2
     assert [x[1] for x in one if x[0] == 0] == [7, 8] and [x[1] for x in one if x[0] == 2] == [9, 9]
+
+
+def test_texts_without_repeats_do_not_move(spark):
+    """Only texts that may have something to cut are joined with the cuts."""
+    words = lambda seed, n: " ".join(f"w{seed}x{k}" for k in range(n))
+    docs = [(k, words(k, 70)) for k in range(300)] + [(300 + k, words(k, 60)) for k in range(3)] + [(400, None), (None, words(5, 55))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = suffix_dedup.without_repeats(df)
+    assert "Union" in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert got == {x for x in docs if x[0] is not None and x[0] not in (300, 301, 302)} and out.count() == 301

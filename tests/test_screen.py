@@ -87,3 +87,14 @@ def test_what_is_tried_of_a_pair_equals_the_tables(spark):
     assert shown(one.drop("targets")) == shown(attempts.select(*one.drop("targets").columns)) and one.count() == 16
     open_ = attempts.select("model", "stage", "dataset", F.explode("keys_attempted").alias("key"))
     assert shown(matching.wanted(one)) == shown(targets.join(open_, ["model", "stage", "dataset", "key"]).select("model", "stage", "dataset", "key", "value").distinct())
+
+
+def test_rows_with_and_without_partner(spark):
+    keys_ = spark.range(0, 7000, 7).withColumnRenamed("id", "h")
+    rows = spark.range(20_000).selectExpr("if(id % 19 = 0, null, id) as h", "id")
+    near, rest = screen.parted(rows, keys_, ["h"], 1000)
+    got, left = ({r.id for r in x.collect()} for x in (near, rest))
+    assert near.columns == rest.columns == rows.columns and got | left == set(range(20_000)) and not got & left
+    assert {k for k in range(0, 7000, 7) if k % 19} <= got and len(got) < 1500
+    every, nothing = screen.parted(rows, keys_, ["h"], 1000, most=10)
+    assert every.count() == 20_000 and nothing is None
