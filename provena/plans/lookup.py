@@ -67,8 +67,7 @@ def _answered(spark: SparkSession, inputs: Iterable[str] | DataFrame, cache: str
     elif not isinstance(cache, DataFrame):
         cache = crosswalk.read(spark, cache)
     queries, identifiers = ops.interpreted(typed(spark, inputs), t["datasets"], t["identifiers"], cache)
-    rows = ops.answers(queries, identifiers, t["corpora"], records, t["recorded"])
     shown = t["models"].select("model", F.col("name").alias("model_name"), F.nullif("reviewed_by", F.lit("")).alias("reviewed_by"), "reviewed_date", "draft")
-    searched = t["corpora"].select("model", "stage", "sources_searched")
-    rows = rows.join(F.broadcast(shown), "model").join(F.broadcast(searched), ["model", "stage"])  # one row for each model and stage
+    # Each corpus brings what is shown beside its answers, so answers are not joined for it.
+    rows = ops.answers(queries, identifiers, t["corpora"].join(shown, "model"), records, t["recorded"], more=["model_name", "reviewed_by", "reviewed_date", "draft", "sources_searched"])
     return Lookup(queries, identifiers, rows, ops.warned(queries, rows))

@@ -253,3 +253,21 @@ def test_queries_and_papers_of_series_are_not_sent_through_the_driver(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
     assert [(r.query, r.doi, r.pmids) for r in rows.collect()] == [("GSE5", "10.1/p", ["9"])]
+
+
+def test_small_documents_share_tasks(spark, tmp_path):
+    """A registry of many small files is read by as many tasks as there is work for, whatever Spark counts for opening a file."""
+    from provena.shared import shuffle_parts
+    from provena.sources import catalog
+
+    for k in range(120):
+        (tmp_path / "datasets").mkdir(exist_ok=True)
+        (tmp_path / "datasets" / f"d{k}.yaml").write_text(f"id: d{k}\nname: Set {k}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = catalog.documents(spark, tmp_path)
+        most = catalog.TASKS * max(shuffle_parts(spark), spark.sparkContext.defaultParallelism)
+        assert rows.rdd.getNumPartitions() <= most < 120 and rows.count() == 120
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
