@@ -100,3 +100,13 @@ def test_records_with_collections_move_once(spark, tables):
     both(spark, tables, "lookup_join_records")
     plan = catalog_queries.QUERIES["lookup_join_records"](spark, str(tables))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(project" in plan and "hashpartitioning(model" not in plan
+
+
+def test_lists_are_parsed_and_stored_once(spark, tables):
+    """Findings, the lookup and the stored index read one table of records."""
+    from provena import catalog_queries
+    from provena.shared import noted
+
+    with noted() as paths:
+        catalog_queries.lookup_answers(spark, tables)
+    assert sum("/records-" in p for p in paths) == 1
